@@ -3,6 +3,6 @@
 
 def load():
     """(queries, oracle SQL) of every check module."""
-    from checks import joining, recodes, reshaping, sources, summaries  # noqa: F401
+    from checks import figures, joining, recodes, reshaping, series, sources, summaries  # noqa: F401
     from checks.registry import ORACLES, QUERIES
     return QUERIES, ORACLES

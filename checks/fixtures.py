@@ -243,3 +243,11 @@ SQL_PHASED = """phased as (
 SQL_WELLS = """wells as (
   select c * 8 + r as i, chr(65 + r) || cast(c + 1 as varchar) as well
   from (select cast(unnest(range(12)) as integer) as c), (select cast(unnest(range(8)) as integer) as r))"""
+
+SQL_ANN = """ann as (
+  select date, well, gf, treatment, celldensity, coalesce(serum, 'FBS') as serum, try_cast(conc_gf as double) as conc,
+         try_cast(doses_treatment as double) as dose from wide)"""
+
+SQL_RELEASE = """rel as (
+  select p.*, a.* exclude (date, well) from phased p join ann a on p.date = a.date and p.well = a.well
+  where p.mark = 'Release' and a.celldensity = '5000')"""

@@ -51,10 +51,10 @@ def j6(spark, sf):
 
 @check("j7_replicated_series", f"""with {NUMBERED}
 select date, well, time_h, gf, conc, treatment from a where (gf, conc, treatment) in
-  (select (gf, conc, treatment) from a group by gf, conc, treatment having count(distinct date) >= 3)""", "readings wide")
+  (select (gf, conc, treatment) from a group by gf, conc, treatment having count(distinct date) >= 4)""", "readings wide")
 def j7(spark, sf):
     df = numbered(spark, sf).select("date", "well", "time_h", "gf", "conc", "treatment")
-    return joins.replicated_series(df, ["gf", "conc", "treatment"], min_n=3).select(
+    return joins.replicated_series(df, ["gf", "conc", "treatment"], min_n=4).select(
         "date", "well", "time_h", "gf", "conc", "treatment")
 
 
@@ -86,9 +86,9 @@ def j8b(spark, sf):
 
 
 @check("j9_dates_with_treated", f"""with {_MEANS} select * from pr p where exists (
-  select 1 from pr q where q.gf = p.gf and q.pair_ind = p.pair_ind and q.date = p.date and q.dose > 1000)""", "readings wide")
+  select 1 from pr q where q.gf = p.gf and q.pair_ind = p.pair_ind and q.date = p.date and q.value > 62)""", "readings wide")
 def j9(spark, sf):
-    paired = joins.pairs(_means(spark, sf), ["gf"]).withColumn("over", F.col("dose") - 1000)
+    paired = joins.pairs(_means(spark, sf), ["gf"]).withColumn("over", F.col("value") - 62)
     return joins.dates_with_treated(paired, ["gf", "pair_ind"], "over").drop("over")
 
 

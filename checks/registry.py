@@ -20,6 +20,8 @@ PARTS = {
     "modelled": X.SQL_MODELLED,
     "phased": X.SQL_PHASED,
     "wells": X.SQL_WELLS,
+    "ann": X.SQL_ANN,
+    "rel": X.SQL_RELEASE,
 }
 
 
@@ -37,12 +39,17 @@ def check(name: str, sql: str | None = None, use: str = ""):
     return register
 
 
-def r6(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, without negative zeros."""
+def r6(df: DataFrame, digits: int = 6, only: tuple = ()) -> DataFrame:
+    """Doubles (or only those named) rounded.
+
+    A hundred-millionth is added first: means of few decimals often lie exactly between two roundings, and
+    engines that sum in different orders would then part there.
+    """
     return df.select(*[
-        (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
+        (F.round(F.col(f.name) + F.lit(1e-8), digits) + F.lit(0.0)).alias(f.name) 
+        if f.dataType.typeName() == "double" and (not only or f.name in only) else F.col(f.name)
         for f in df.schema.fields])
 
 
 def q6(expr: str) -> str:
-    return f"round({expr}, 6) + 0.0"
+    return f"round({expr} + 1e-8, 6) + 0.0"

@@ -36,11 +36,11 @@ def o4(spark, sf):
 
 
 @check("o5_set_difference", """select distinct user_id from events where event_type = 'view' except
-  select user_id from events where event_type = 'purchase' and value > 50""")
+  select user_id from events where event_type = 'purchase' and value > 150""")
 def o5(spark, sf):
     ev = X.table(spark, sf, "events")
     return reshape.setdiff(ev.where("event_type = 'view'").select("user_id"),
-                           ev.where("event_type = 'purchase' and value > 50").select("user_id"))
+                           ev.where("event_type = 'purchase' and value > 150").select("user_id"))
 
 
 @check("o6_distinct", "select distinct date, well, param, freq from readings", "readings")

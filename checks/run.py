@@ -25,7 +25,8 @@ def _normal(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
         df[c] = df[c].astype(object).where(df[c].notna(), None)
-        df[c] = df[c].map(lambda x: None if x is None else (float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x))
+        df[c] = pd.Series([None if x is None else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x
+                           for x in df[c]], dtype=object)
     key = df.map(lambda x: "" if x is None else repr(x))
     return df.loc[key.sort_values(list(df.columns)).index].reset_index(drop=True)
 

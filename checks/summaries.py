@@ -132,8 +132,8 @@ def a11(spark, sf):
 @check("a12_profile", """with l as (
   select 'l_quantity' as "column", l_quantity as v from lineitem union all select 'l_extendedprice', l_extendedprice from lineitem
   union all select 'l_discount', l_discount from lineitem union all select 'l_linenumber', l_linenumber::double from lineitem)
-select "column", min(v) as min, round(quantile_cont(v, 0.25), 6) + 0.0 as q1, round(quantile_cont(v, 0.5), 6) + 0.0 as median,
-       round(avg(v), 6) + 0.0 as mean, round(quantile_cont(v, 0.75), 6) + 0.0 as q3, max(v) as max,
+select "column", min(v) as min, round(quantile_cont(v, 0.25) + 1e-8, 6) + 0.0 as q1, round(quantile_cont(v, 0.5) + 1e-8, 6) + 0.0 as median,
+       round(avg(v) + 1e-8, 6) + 0.0 as mean, round(quantile_cont(v, 0.75) + 1e-8, 6) + 0.0 as q3, max(v) as max,
        cast(sum(case when v is null then 1 else 0 end) as bigint) as n_missing from l group by "column" """)
 def a12(spark, sf):
     return r6(summary.profile(X.table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]))
@@ -171,7 +171,7 @@ def a15(spark, sf):
     return r6(summary.box_stats(X.readings(spark, sf), ["date", "freq", "param"]))
 
 
-@check("a16_sample_series", """with k as (select date, well, param from readings group by all
+@check("a16_sample_series", """with k as (select date, well, param from (select distinct date, well, param from readings)
   order by md5(date || '|' || well || '|' || param || '|7'), date, well, param limit 25)
 select * from readings where (date, well, param) in (select (date, well, param) from k)""", "readings")
 def a16(spark, sf):

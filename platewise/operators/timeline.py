@@ -80,7 +80,7 @@ def bin_of(hour: Column, on_break: Column, rank: Column, following: Column, out:
 
 def hour_bins(df: DataFrame, by: Sequence[str] = ("date",), time: str = "time_h", out: str = "ordinal",
               name: str = "time_bin", hour: str | None = None, on_break: str | None = None,
-              windowed: bool = False) -> DataFrame:
+              windowed: bool = False, breaks: DataFrame | None = None) -> DataFrame:
     """Add the hour bin of each row: its ordinal among the group's bins, or its upper break.
 
     `hour` and `on_break` name columns that already hold the whole hour and the whole-hour test, as the
@@ -88,7 +88,8 @@ def hour_bins(df: DataFrame, by: Sequence[str] = ("date",), time: str = "time_h"
 
     The breaks are found from the distinct hours and joined back. `windowed` finds them by a window over the
     rows instead, which saves reading the input twice; it is for cells grouped by whole series, where a
-    group is never longer than its recording has hours.
+    group is never longer than its recording has hours. `breaks` gives them, as `hour_breaks` makes them,
+    when they belong to a larger set of rows than is binned.
     """
     by = list(by)
     work = df
@@ -101,7 +102,8 @@ def hour_bins(df: DataFrame, by: Sequence[str] = ("date",), time: str = "time_h"
         joined = work.withColumn("_rank", F.when(F.col(hour).isNotNull(), F.dense_rank().over(w)))
         joined = joined.withColumn("_next", F.min(hour).over(later))
     else:
-        joined = attach(work, hour_breaks(work, by, hour), [*by, hour], "left")
+        found = hour_breaks(work, by, hour) if breaks is None else breaks
+        joined = attach(work, found, [*by, hour], "left")
     binned = joined.withColumn(
         name, bin_of(F.col(hour), F.col(on_break), F.col("_rank"), F.col("_next"), out))
     return binned.select(*df.columns, name)

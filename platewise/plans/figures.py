@@ -193,13 +193,20 @@ def sirna_summary(readings: DataFrame, annotations: DataFrame, marks: DataFrame,
 
 
 def sirna_cells(values: DataFrame, annotations: DataFrame, marks: DataFrame, series: Sequence[str] = SERIES,
-                carrier: str = "siCD44", mark_label: str = "GF") -> DataFrame:
-    """Hourly cells of silencing experiments, binned by hours from release, annotated, complete rows only."""
+                carrier: str = "siCD44", mark_label: str = "GF", **wanted) -> DataFrame:
+    """Hourly cells of silencing experiments, binned by hours from release, annotated, complete rows only.
+
+    Only the wanted parameters and frequencies are reduced to cells; the hours that make the bins are those of
+    all of an experiment's rows, for which dates and times alone are read.
+    """
     dates = dates_with(annotations, carrier)
     release = release_time(keep_dates(marks, dates), label_like=mark_label)
     rows = rebase_to_mark(keep_dates(values, dates), release)
-    cells = materialise(hourly_cells(rows, series), "cells")
-    binned = hour_bins(cells, ["date"], out="label", hour="hour", on_break="on_break")
+    cells = hourly_cells(select_readings(rows, **wanted), series)
+    some = any(want is not None for want in wanted.values())
+    cells = cells if some else materialise(cells, "cells")
+    breaks = hour_breaks(rows.withColumn("hour", F.floor("time_h")) if some else cells, ["date"], "hour")
+    binned = hour_bins(cells, ["date"], out="label", hour="hour", on_break="on_break", breaks=breaks)
     wide = wide_annotations(keep_dates(annotations, dates)).where("full")
     kept = annotate(binned, wide).where("time_bin is not null and n > 0")
     return relevel(recode(kept, "treatment", TREATMENT_RENAMES), "treatment", SIRNA_LEVELS)
@@ -212,10 +219,9 @@ SIRNA_SETS = {"VEGF": "growth factor", "FGF2": "growth factor", "5% FBS": "FBS",
 def sirna_figure(readings: DataFrame, annotations: DataFrame, marks: DataFrame, param: str = "Z", freq: int = 64000,
                  first_bin: int = -2) -> DataFrame:
     """Growth factor, serum and GDF-2 comparisons at one frequency; series of one experiment only for GDF-2."""
-    cells = sirna_cells(select_readings(readings, param=param, freq=freq), annotations, marks)
+    cells = materialise(sirna_cells(readings, annotations, marks, param=param, freq=freq), "cells")
     kept = replicated_horizon(cells.where(F.col("time_bin") >= first_bin))
     kept = relevel(kept, "gf", list(GF_LABELS), GF_LABELS).where(F.col("treatment") != "UT")
-    kept = materialise(kept, "kept")
     shared = replicated_series(kept.where(F.col("gf") != "GDF-2"), ["gf", "conc"])
     both = shared.unionByName(kept.where(F.col("gf") == "GDF-2"))
     means = both.groupBy("param", "freq", "date", "conc", "gf", "treatment", "time_bin").agg(
