@@ -139,9 +139,15 @@ def marks_wide(marks: DataFrame) -> DataFrame:
 
 def segment_by_marks(df: DataFrame, marks: DataFrame, time: str = "time_h", name: str = "mark",
                      on_invalid: str = "error") -> DataFrame:
+    """Phase of each row from the marks table; see `segment_by_cuts`."""
+    return segment_by_cuts(df, marks_wide(marks), time, name, on_invalid)
+
+
+def segment_by_cuts(df: DataFrame, cuts: DataFrame, time: str = "time_h", name: str = "mark",
+                    on_invalid: str = "error") -> DataFrame:
     """Phase of each row. Two marks part Seed, Starv, Release; three part Seed, Starv, Preinc, Release.
 
-    Phases are open to the left, so time 0 has none. Dates with any other number of marks raise an error,
+    `cuts` is what `marks_wide` gives. Phases are open to the left, so time 0 has none. Dates with any other number of marks raise an error,
     or get NULL with on_invalid='null'. Each date contributes one row, so the join adds no rows.
     """
     t = F.col(time)
@@ -155,7 +161,7 @@ def segment_by_marks(df: DataFrame, marks: DataFrame, time: str = "time_h", name
     bad = F.lit(None).cast("string") if on_invalid == "null" else F.raise_error(
         F.concat(F.lit("two or three marks are needed, date "), F.col("date"))).cast("string")
     phase = F.when(n == 2, F.when(t > 0, by_two)).when(n == 3, F.when(t > 0, by_three)).otherwise(bad)
-    joined = attach(df, marks_wide(marks), ["date"], "left")
+    joined = attach(df, cuts, ["date"], "left")
     return joined.withColumn(name, phase).drop("n_marks", "mark_1", "mark_2", "mark_3")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.numbers import DOSE_BREAKS, cut_breaks, pool_values, safe_ratio, to_micromolar, unlog
-from platewise.functions.text import comparison_label, to_number
+from platewise.functions.text import comparison_label
 from platewise.operators.joins import (
     annotate, attach, dates_with, dates_with_treated, keep_dates, pairs, replicated_series, widen_annotations,
 )
@@ -22,11 +22,10 @@ from platewise.operators.recode import (
     effective_doses, exclude_dates, exclude_first_date, group_label, legend_label, mark_untreated, numeric_annotations,
     recode, relevel, select_readings,
 )
-from platewise.operators.rows import edge_rows
 from platewise.operators.summary import cell_mean, histogram, mean_by, mean_se, summarise_experiments
 from platewise.operators.timeline import (
-    align_right, bin_of, clip_time, common_length, hour_bins, hour_breaks, hourly_cells, rebase_to_mark,
-    rebase_to_start, release_time, replicated_horizon, segment_by_marks, start_times,
+    align_right, bin_of, clip_time, common_length, hour_bins, hour_breaks, hourly_cells, marks_wide, rebase_to_mark,
+    rebase_to_start, release_time, replicated_horizon, segment_by_cuts, start_times,
 )
 from platewise.schema import MODEL_SERIES, SERIES, WELL
 from platewise.session import materialise
@@ -50,13 +49,18 @@ def wide_annotations(annotations: DataFrame, defaults: Mapping[str, str] | None
     return numeric_annotations(wide.withColumn("full", full))
 
 
-def phase_rows(readings: DataFrame, annotations: DataFrame, marks: DataFrame, phases: Sequence[str] = ("Release",),
+def plates(annotations: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Wide annotations and the marks of each date in one row: written once, read by every later step."""
+    wide = materialise(wide_annotations(annotations, {"serum": "FBS"}), "wide")
+    return wide, materialise(marks_wide(marks), "cuts")
+
+
+def phase_rows(readings: DataFrame, wide: DataFrame, cuts: DataFrame, phases: Sequence[str] = ("Release",),
                density: str | None = "5000", serum: str | None = None, **wanted) -> DataFrame:
     """Readings of the chosen phases, joined with the annotations of wells of one cell density or serum."""
-    wide = wide_annotations(annotations, {"serum": "FBS"})
-    wide = select_readings(wide, celldensity=density, serum=serum)
-    phased = segment_by_marks(select_readings(readings, **wanted), marks)
-    return annotate(phased.where(F.col("mark").isin(list(phases))), wide)
+    phased = segment_by_cuts(select_readings(readings, **wanted), cuts)
+    wells = select_readings(wide, celldensity=density, serum=serum)
+    return annotate(phased.where(F.col("mark").isin(list(phases))), wells)
 
 
 def scale_cells(cells: DataFrame, base: str) -> DataFrame:
@@ -82,7 +86,7 @@ def paired_release(readings: DataFrame, annotations: DataFrame, marks: DataFrame
                    param=None, freq=None) -> DataFrame:
     """Experiment means per hour of wells relative to their first three readings, in control/induced pairs."""
     series = list(series)
-    rows = phase_rows(readings, annotations, marks, param=param, freq=freq)
+    rows = phase_rows(readings, *plates(annotations, marks), param=param, freq=freq)
     rows = clip_time(rebase_to_start(rows), hi=max_time)
     rows = exclude_dates(effective_doses(rows, min_dose=min_dose), exclude)
     keys = ["conc", "dose", "gf", "treatment"]
@@ -111,14 +115,15 @@ def pre_release_summary(readings: DataFrame, annotations: DataFrame, marks: Data
                         ind: float = 25, param=None, freq=None, min_dose: float = 1000, first_bin: int = -40,
                         max_time: float = 73, exclude: Sequence[str] = ()) -> DataFrame:
     """Hours before release, relative to the last three readings, over the experiments of one pair."""
-    after = clip_time(rebase_to_start(phase_rows(readings, annotations, marks, param=param, freq=freq)), hi=max_time)
+    wide, cuts = plates(annotations, marks)
+    after = clip_time(rebase_to_start(phase_rows(readings, wide, cuts, param=param, freq=freq)), hi=max_time)
     after = exclude_dates(effective_doses(after, min_dose=min_dose), exclude)
     levels = materialise(after.select("gf", "conc", "dose", "date").distinct(), "levels")
     dates = (
         pairs(levels, ["gf"]).where((F.col("gf") == gf) & (F.col("pair_ind") == ind) & (F.col("dose") > 0))
         .select("date").distinct()
     )
-    rows = phase_rows(readings, annotations, marks, ("Seed", "Starv", "Preinc"), param=param, freq=freq)
+    rows = phase_rows(readings, wide, cuts, ("Seed", "Starv", "Preinc"), param=param, freq=freq)
     rows = rows.withColumn("hour", F.floor("time_h")).withColumn("on_break", F.col("time_h") == F.col("hour"))
     # Bins run over the hours of all dates together; the distinct hours per date carry them.
     hours = materialise(rows.select("date", "hour", "on_break").distinct(), "hours")
@@ -177,7 +182,7 @@ def before_release_summary(readings: DataFrame, annotations: DataFrame, marks: D
 
 def sirna_hourly(readings: DataFrame, annotations: DataFrame, marks: DataFrame, **wanted) -> DataFrame:
     """Hourly experiment means after release, up to the last hour two experiments share."""
-    rows = rebase_to_start(phase_rows(readings, annotations, marks, **wanted))
+    rows = rebase_to_start(phase_rows(readings, *plates(annotations, marks), **wanted))
     keys = ["date", "gf", "conc", "param", "freq", "treatment"]
     cells = materialise(hourly_cells(rows, [*keys, "full"]), "cells")
     binned = hour_bins(cells, ["date"], hour="hour", on_break="on_break")
@@ -253,8 +258,8 @@ def barrier_resistance_v1(modelled: DataFrame, readings: DataFrame, annotations:
                           param: str = "Rb") -> DataFrame:
     """Barrier resistance around the first reading after release: single values for VEGF, experiment means
     for FGF2."""
-    start = start_times(phase_rows(readings, annotations, marks)).withColumnRenamed("start_h", "mark_h")
-    wide = wide_annotations(annotations, {"serum": "FBS"})
+    wide, cuts = plates(annotations, marks)
+    start = start_times(phase_rows(readings, wide, cuts)).withColumnRenamed("start_h", "mark_h")
     rows = rebase_to_mark(annotate(modelled, wide), start, how="inner")
     kept = hour_bins(rows, ["date"], out="label").where("full and time_bin is not null and value is not null")
     kept = relevel(recode(kept.where(F.col("param") == param), "treatment", TREATMENT_RENAMES), "treatment",
@@ -269,7 +274,8 @@ def barrier_resistance_v1(modelled: DataFrame, readings: DataFrame, annotations:
 # --- modelled parameters ----------------------------------------------------------------------------
 
 def modelled_rows(modelled: DataFrame, annotations: DataFrame, min_dose: float = 1000) -> DataFrame:
-    wide = select_readings(wide_annotations(annotations, {"serum": "FBS"}), celldensity="5000")
+    wide = materialise(wide_annotations(annotations, {"serum": "FBS"}), "wide")
+    wide = select_readings(wide, celldensity="5000")
     return effective_doses(rebase_to_start(annotate(modelled, wide)), min_dose=min_dose)
 
 
@@ -303,7 +309,7 @@ NORMALISATIONS = {"Raw": "raw", "Divide": "div_first", "Subtract": "sub_first"}
 def treatment_overview(readings: DataFrame, annotations: DataFrame, marks: DataFrame, normalisation: str = "Raw",
                        max_time: float = 72, min_dose: float = 100) -> DataFrame:
     """Every experiment's pairs over time by dose class, raw or relative to each well's first value."""
-    rows = clip_time(rebase_to_start(phase_rows(readings, annotations, marks)), hi=max_time)
+    rows = clip_time(rebase_to_start(phase_rows(readings, *plates(annotations, marks))), hi=max_time)
     rows = rows.where((F.col("dose") == 0) | (F.col("dose") > min_dose))
     rows = rows.withColumn("dose_bin", cut_breaks("dose", DOSE_BREAKS, include_lowest=True))
     rows = normalise(rows, SERIES, NORMALISATIONS[normalisation])
@@ -318,7 +324,7 @@ def treatment_overview(readings: DataFrame, annotations: DataFrame, marks: DataF
 
 def setup_overview(readings: DataFrame, annotations: DataFrame, marks: DataFrame, serum: str = "FBS") -> DataFrame:
     """Setup experiments after release by cell density, every growth factor, parameter and frequency."""
-    rows = rebase_to_start(phase_rows(readings, annotations, marks, density=None, serum=serum))
+    rows = rebase_to_start(phase_rows(readings, *plates(annotations, marks), density=None, serum=serum))
     return mean_se(rows, ["date", "gf", "param", "freq", "conc", "celldensity", "time_h"])
 
 
@@ -363,7 +369,7 @@ def dose_response(hourly: DataFrame, gfs: Sequence[str], pools: Mapping[float, S
 def frequency_spectrum(readings: DataFrame, annotations: DataFrame, marks: DataFrame, how: str = "div_first",
                        panels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """All frequencies side by side: wells relative to their first value after release, by treatment and dose."""
-    rows = rebase_to_start(phase_rows(readings, annotations, marks))
+    rows = rebase_to_start(phase_rows(readings, *plates(annotations, marks)))
     scaled = normalise(hour_bins(rows, ["date"]), SERIES, how).where("time_bin is not null")
     return mean_se(with_panels(scaled, panels or SPECTRUM_PANELS), ["panel", "param", "freq", "treatment", "conc", "time_bin"])
 
@@ -371,7 +377,7 @@ def frequency_spectrum(readings: DataFrame, annotations: DataFrame, marks: DataF
 def early_sirna(readings: DataFrame, annotations: DataFrame, marks: DataFrame, how: str = "sub_head",
                 panels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Silencing experiments after release, wells against the mean of their first three values (or raw)."""
-    rows = rebase_to_start(phase_rows(readings, annotations, marks))
+    rows = rebase_to_start(phase_rows(readings, *plates(annotations, marks)))
     kept = hour_bins(rows, ["date"]).where("full and time_bin is not null and value is not null")
     kept = replicated_horizon(kept.drop("mark"))
     shown = with_panels(normalise(kept, SERIES, how), panels or EARLY_PANELS)
