@@ -368,7 +368,7 @@ _spectrum("q14_frequency_spectrum", "div_first", "value / nullif(base, 0)")
 _spectrum("q14_frequency_spectrum_change", "sub_first", "value - base")
 
 
-def _early(name: str, how: str, expr: str):
+def _early(name: str, subtract: bool, expr: str):
     @check(name, f"""with r0 as (select *, time_h - min(time_h) over (partition by date) as t from rel),
 {bins('r0', 'date', 't', 'ordinal')}, k as (select * from binned where time_bin is not null and value is not null),
 {horizon('k')}, {head_base('hz', 'date, well, param, freq')},
@@ -376,9 +376,9 @@ p as (select panel, b.*, {expr} as x from hz b join hb using (date, well, param,
   (select * from {_SPECTRUM} where panel <> 'GDF-2') pn on pn.gf = b.gf)
 {mean_se('p', 'panel, param, freq, conc, treatment, time_bin', 'x')}""", BASE + " rel")
     def run(spark, sf):
-        return r6(figures.early_sirna(*_inputs(spark, sf), how))
+        return r6(figures.early_sirna(*_inputs(spark, sf), subtract))
     return run
 
 
-_early("q16_early_sirna_raw", "raw", "value")
-_early("q16_early_sirna_change", "sub_head", "value - base")
+_early("q16_early_sirna_raw", False, "value")
+_early("q16_early_sirna_change", True, "value - base")

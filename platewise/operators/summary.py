@@ -24,6 +24,16 @@ def cell_mean(na_rm: bool = True) -> Column:
     return mean if na_rm else F.when(F.sum("n") == F.sum("n_rows"), mean)
 
 
+def cells_mean_se(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """y, y_min, y_max as `mean_se` gives them for the values, finished from hourly cells with m2."""
+    n, total = F.sum("n"), F.sum("total")
+    squares = F.sum(F.col("m2") + F.try_divide(F.col("total") * F.col("total"), F.col("n")))
+    y = F.try_divide(total, n)
+    var = F.greatest(F.try_divide(squares - total * y, n - 1), F.lit(0.0))
+    out = cells.where(F.col("n") > 0).groupBy(*keys).agg(y.alias("y"), F.sqrt(F.when(n > 1, var / n)).alias("_se"))
+    return out.withColumn("y_min", F.col("y") - F.col("_se")).withColumn("y_max", F.col("y") + F.col("_se")).drop("_se")
+
+
 def summarise_experiments(df: DataFrame, keys: Sequence[str], value: str = "value", na_rm: bool = False) -> DataFrame:
     """mean, sd, n, se over experiments. n counts rows, missing values too; sd of one row is missing."""
     n = F.count(F.lit(1))

@@ -42,6 +42,11 @@ def rebase_to_mark(df: DataFrame, release: DataFrame, time: str = "time_h", out:
     return joined.withColumn(out or time, F.col(time) - F.col("mark_h")).drop("mark_h")
 
 
+def rebase_to(df: DataFrame, starts: DataFrame, by: Sequence[str] = ("date",), time: str = "time_h") -> DataFrame:
+    """Time counted from given starts (by, start_h); groups without one are dropped."""
+    return attach(df, starts, by).withColumn(time, F.col(time) - F.col("start_h")).drop("start_h")
+
+
 def clip_time(df: DataFrame, lo: float | None = None, hi: float | None = None, time: str = "time_h") -> DataFrame:
     if lo is not None:
         df = df.where(F.col(time) >= lo)
@@ -109,15 +114,17 @@ def hour_bins(df: DataFrame, by: Sequence[str] = ("date",), time: str = "time_h"
     return binned.select(*df.columns, name)
 
 
-def hourly_cells(df: DataFrame, keys: Sequence[str], time: str = "time_h", value: str = "value") -> DataFrame:
-    """Sum and counts per key, whole hour and whole-hour test.
+def hourly_cells(df: DataFrame, keys: Sequence[str], time: str = "time_h", value: str = "value",
+                 spread: bool = False) -> DataFrame:
+    """Sum and counts per key, whole hour and whole-hour test; `spread` adds the squared deviations (m2).
 
-    Any hour bin is a union of such cells, so means over bins can be finished from them; the readings are
-    reduced to hours before the first shuffle and before any join that follows.
+    Any hour bin is a union of such cells, so means and standard errors over bins can be finished from them;
+    the readings are reduced to hours before the first shuffle and before any join that follows.
     """
     hour = F.floor(time)
+    more = [(F.var_pop(value) * F.count(value)).alias("m2")] if spread else []
     return df.groupBy(*keys, hour.alias("hour"), (F.col(time) == hour).alias("on_break")).agg(
-        F.sum(value).alias("total"), F.count(value).alias("n"), F.count(F.lit(1)).alias("n_rows"))
+        F.sum(value).alias("total"), F.count(value).alias("n"), F.count(F.lit(1)).alias("n_rows"), *more)
 
 
 def align_right(df: DataFrame, by: Sequence[str] = ("date",), name: str = "time_bin") -> DataFrame:

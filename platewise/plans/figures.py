@@ -1,7 +1,9 @@
 """The data tables behind the published figures, end to end.
 
-Shared shape: readings are filtered and annotated, reduced to hourly cells, and only the cells are binned,
-normalised and averaged. Tables that feed several later steps are written once (`materialise`).
+Shared shape. Readings meet only tables with one row per experiment (phases, starts), which are small enough
+to be broadcast at almost any scale. They are then reduced to hourly cells, or to the first rows of each
+series, and only those meet the annotations, which have one row per well. Bins, baselines, means and pairs
+are made from cells. Tables that feed several later steps are written once (`materialise`).
 """
 
 from __future__ import annotations
@@ -16,16 +18,17 @@ from platewise.functions.text import comparison_label
 from platewise.operators.joins import (
     annotate, attach, dates_with, dates_with_treated, keep_dates, pairs, replicated_series, widen_annotations,
 )
-from platewise.operators.normalise import baseline, normalise
+from platewise.operators.normalise import DIVIDE, baseline, normalise
 from platewise.operators.recode import (
     GF_LABELS, LABEL_RENAMES_V1, LABEL_RENAMES_V2, SIRNA_LEVELS, SIRNA_LEVELS_NO_UT, TREATMENT_RENAMES, complete_cases,
     effective_doses, exclude_dates, exclude_first_date, group_label, legend_label, mark_untreated, numeric_annotations,
     recode, relevel, select_readings,
 )
-from platewise.operators.summary import cell_mean, histogram, mean_by, mean_se, summarise_experiments
+from platewise.operators.rows import edge_rows
+from platewise.operators.summary import cell_mean, cells_mean_se, histogram, mean_by, mean_se, summarise_experiments
 from platewise.operators.timeline import (
-    align_right, bin_of, clip_time, common_length, hour_bins, hour_breaks, hourly_cells, marks_wide, rebase_to_mark,
-    rebase_to_start, release_time, replicated_horizon, segment_by_cuts, start_times,
+    align_right, bin_of, clip_time, common_length, hour_bins, hour_breaks, hourly_cells, marks_wide, rebase_to,
+    rebase_to_mark, release_time, replicated_horizon, segment_by_cuts, start_times,
 )
 from platewise.schema import MODEL_SERIES, SERIES, WELL
 from platewise.session import materialise
@@ -55,20 +58,48 @@ def plates(annotations: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFra
     return wide, materialise(marks_wide(marks), "cuts")
 
 
-def phase_rows(readings: DataFrame, wide: DataFrame, cuts: DataFrame, phases: Sequence[str] = ("Release",),
-               density: str | None = "5000", serum: str | None = None, **wanted) -> DataFrame:
-    """Readings of the chosen phases, joined with the annotations of wells of one cell density or serum."""
+def phase_rows(readings: DataFrame, cuts: DataFrame, phases: Sequence[str] = ("Release",), **wanted) -> DataFrame:
+    """Readings of the chosen phases."""
     phased = segment_by_cuts(select_readings(readings, **wanted), cuts)
+    return phased.where(F.col("mark").isin(list(phases))).drop("mark")
+
+
+def starts_of(rows: DataFrame, wells: DataFrame) -> DataFrame:
+    """(date, start_h): first time of any of the wells. Times are reduced to one per well before the wells are joined."""
+    per_well = rows.groupBy(*WELL).agg(F.min("time_h").alias("time_h"))
+    return materialise(start_times(keep_wells(per_well, wells)), "starts")
+
+
+def keep_wells(df: DataFrame, wells: DataFrame) -> DataFrame:
+    return df.join(wells.select(*WELL), list(WELL), "left_semi")
+
+
+def release_rows(readings: DataFrame, annotations: DataFrame, marks: DataFrame, density: str | None = "5000",
+                 serum: str | None = None, **wanted) -> tuple[DataFrame, DataFrame]:
+    """(readings after release, by time from their experiment's first one; the annotated wells they belong to).
+
+    The readings are not yet limited to those wells: joining cells with the wells does that.
+    """
+    wide, cuts = plates(annotations, marks)
     wells = select_readings(wide, celldensity=density, serum=serum)
-    return annotate(phased.where(F.col("mark").isin(list(phases))), wells)
+    rows = phase_rows(readings, cuts, **wanted)
+    return rebase_to(rows, starts_of(rows, wells)), wells
 
 
 def scale_cells(cells: DataFrame, base: str) -> DataFrame:
     """Cells divided by their series' baseline; without a usable baseline they count as missing."""
     scaled = cells.withColumn("total", safe_ratio("total", base))
+    if "m2" in cells.columns:
+        scaled = scaled.withColumn("m2", safe_ratio("m2", F.col(base) * F.col(base)))
     return scaled.withColumn("n", F.when(F.col("total").isNotNull(), F.col("n")).otherwise(F.lit(0)))
 
 
+def shift_cells(cells: DataFrame, base: str) -> DataFrame:
+    """Cells minus their series' baseline; without one they count as missing."""
+    moved = cells.withColumn("total", F.col("total") - F.col("n") * F.col(base))
+    return moved.withColumn("n", F.when(F.col(base).isNotNull(), F.col("n")).otherwise(F.lit(0)))
+
+
 def with_panels(df: DataFrame, panels: Mapping[str, Sequence[str]], gf: str = "gf") -> DataFrame:
     """A row per panel its growth factor belongs to."""
     names = F.array(*[F.when(F.col(gf).isin(list(members)), F.lit(p)) for p, members in panels.items()])
@@ -85,12 +116,10 @@ def paired_release(readings: DataFrame, annotations: DataFrame, marks: DataFrame
                    max_time: float = 73, min_dose: float = 1000, exclude: Sequence[str] = (),
                    param=None, freq=None) -> DataFrame:
     """Experiment means per hour of wells relative to their first three readings, in control/induced pairs."""
-    series = list(series)
-    rows = phase_rows(readings, *plates(annotations, marks), param=param, freq=freq)
-    rows = clip_time(rebase_to_start(rows), hi=max_time)
-    rows = exclude_dates(effective_doses(rows, min_dose=min_dose), exclude)
+    rows, wells = release_rows(exclude_dates(readings, exclude), annotations, marks, param=param, freq=freq)
+    rows = clip_time(rows, hi=max_time)
     keys = ["conc", "dose", "gf", "treatment"]
-    cells = hourly_cells(rows, [*SERIES, *keys])
+    cells = annotate(hourly_cells(rows, SERIES), effective_doses(wells, min_dose=min_dose).select(*WELL, *keys))
     binned = hour_bins(cells, series, hour="hour", on_break="on_break", windowed=True).where("time_bin is not null")
     scaled = scale_cells(attach(binned, baseline(rows, series, "div_head"), series), "base")
     means = scaled.groupBy("freq", "param", "date", *keys, "time_bin").agg(cell_mean(na_rm=False).alias("value"))
@@ -116,25 +145,32 @@ def pre_release_summary(readings: DataFrame, annotations: DataFrame, marks: Data
                         max_time: float = 73, exclude: Sequence[str] = ()) -> DataFrame:
     """Hours before release, relative to the last three readings, over the experiments of one pair."""
     wide, cuts = plates(annotations, marks)
-    after = clip_time(rebase_to_start(phase_rows(readings, wide, cuts, param=param, freq=freq)), hi=max_time)
-    after = exclude_dates(effective_doses(after, min_dose=min_dose), exclude)
-    levels = materialise(after.select("gf", "conc", "dose", "date").distinct(), "levels")
+    wells = select_readings(wide, celldensity="5000")
+    # The pair's experiments: those with a treated well that has readings after release.
+    after = phase_rows(exclude_dates(readings, exclude), cuts, param=param, freq=freq)
+    after = clip_time(rebase_to(after, starts_of(after, wells)), hi=max_time)
+    seen = keep_wells(effective_doses(wells, min_dose=min_dose), after.select(*WELL).distinct())
+    levels = materialise(seen.select("gf", "conc", "dose", "date").distinct(), "levels")
     dates = (
         pairs(levels, ["gf"]).where((F.col("gf") == gf) & (F.col("pair_ind") == ind) & (F.col("dose") > 0))
         .select("date").distinct()
     )
-    rows = phase_rows(readings, wide, cuts, ("Seed", "Starv", "Preinc"), param=param, freq=freq)
-    rows = rows.withColumn("hour", F.floor("time_h")).withColumn("on_break", F.col("time_h") == F.col("hour"))
-    # Bins run over the hours of all dates together; the distinct hours per date carry them.
-    hours = materialise(rows.select("date", "hour", "on_break").distinct(), "hours")
-    binned = attach(hours, hour_breaks(hours, [], "hour"), ["hour"], "left").select(
-        "date", "hour", "on_break",
-        bin_of(F.col("hour"), F.col("on_break"), F.col("_rank"), F.col("_next"), "ordinal").alias("time_bin"))
-    binned = align_right(keep_dates(binned.where("time_bin is not null"), dates))
-    rows = attach(rows, binned.where(F.col("time_bin") >= first_bin), ["date", "hour", "on_break"])
-    cells = rows.groupBy(*SERIES, "time_bin").agg(
-        F.sum("value").alias("total"), F.count("value").alias("n"), F.count(F.lit(1)).alias("n_rows"))
-    scaled = scale_cells(attach(cells, baseline(rows, SERIES, "div_tail"), SERIES), "base")
+    rows = phase_rows(readings, cuts, ("Seed", "Starv", "Preinc"), param=param, freq=freq)
+    cells = materialise(keep_wells(hourly_cells(rows, SERIES), wells), "cells")
+    # Bins run over the hours of all experiments together.
+    breaks = materialise(hour_breaks(cells, [], "hour"), "breaks")
+    binned = keep_dates(hour_bins(cells, [], hour="hour", on_break="on_break", breaks=breaks), dates)
+    binned = align_right(binned.where("time_bin is not null").withColumn("ordinal", F.col("time_bin")))
+    binned = binned.where(F.col("time_bin") >= first_bin)
+    # Bins grow with time, so the bins kept of an experiment are one span of time: from the lower edge of its
+    # first one, which belongs to it only if it is the lowest of all, to the last break.
+    edges = breaks.select(F.col("_rank").alias("_first"), F.col("hour").alias("lo"))
+    spans = binned.groupBy("date").agg(F.max(F.col("ordinal") - F.col("time_bin")).alias("_last")).select(
+        "date", F.greatest(F.col("_last") + first_bin, F.lit(1)).alias("_first")).join(edges, "_first")
+    last = breaks.agg(F.max("hour")).scalar()
+    inside = (F.col("time_h") > F.col("lo")) | ((F.col("_first") == 1) & (F.col("time_h") == F.col("lo")))
+    kept = attach(rows, spans, ["date"]).where(inside & (F.col("time_h") <= last))
+    scaled = scale_cells(attach(binned, baseline(kept, SERIES, "div_tail"), SERIES), "base")
     means = scaled.groupBy("freq", "param", "date", "time_bin").agg(cell_mean(na_rm=False).alias("value"))
     return summarise_experiments(means, ["freq", "param", "time_bin"])
 
@@ -182,9 +218,10 @@ def before_release_summary(readings: DataFrame, annotations: DataFrame, marks: D
 
 def sirna_hourly(readings: DataFrame, annotations: DataFrame, marks: DataFrame, **wanted) -> DataFrame:
     """Hourly experiment means after release, up to the last hour two experiments share."""
-    rows = rebase_to_start(phase_rows(readings, *plates(annotations, marks), **wanted))
+    rows, wells = release_rows(readings, annotations, marks, **wanted)
     keys = ["date", "gf", "conc", "param", "freq", "treatment"]
-    cells = materialise(hourly_cells(rows, [*keys, "full"]), "cells")
+    cells = annotate(hourly_cells(rows, SERIES), wells.select(*WELL, "gf", "conc", "treatment", "full"))
+    cells = materialise(cells, "cells")
     binned = hour_bins(cells, ["date"], hour="hour", on_break="on_break")
     kept = replicated_horizon(binned.where("full and time_bin is not null and n > 0"))
     means = kept.groupBy(*keys, "time_bin").agg(cell_mean().alias("value"))
@@ -259,33 +296,37 @@ def barrier_resistance_v1(modelled: DataFrame, readings: DataFrame, annotations:
     """Barrier resistance around the first reading after release: single values for VEGF, experiment means
     for FGF2."""
     wide, cuts = plates(annotations, marks)
-    start = start_times(phase_rows(readings, wide, cuts)).withColumnRenamed("start_h", "mark_h")
-    rows = rebase_to_mark(annotate(modelled, wide), start, how="inner")
-    kept = hour_bins(rows, ["date"], out="label").where("full and time_bin is not null and value is not null")
-    kept = relevel(recode(kept.where(F.col("param") == param), "treatment", TREATMENT_RENAMES), "treatment",
-                   SIRNA_LEVELS_NO_UT)
+    dense = select_readings(wide, celldensity="5000")
+    rows = rebase_to(modelled, starts_of(phase_rows(readings, cuts), dense))
+    cells = materialise(annotate(hourly_cells(rows, MODEL_SERIES, spread=True), wide), "cells")
+    binned = hour_bins(cells, ["date"], out="label", hour="hour", on_break="on_break")
+    kept = binned.where("full and time_bin is not null and n > 0").where(F.col("param") == param)
+    kept = relevel(recode(kept, "treatment", TREATMENT_RENAMES), "treatment", SIRNA_LEVELS_NO_UT)
     panelled = with_panels(kept, SIRNA_PANELS)
-    means = mean_by(panelled.where(F.col("panel") == "FGF2"), ["panel", "date", "time_bin", "conc", "treatment"])
-    cols = ["panel", "date", "time_bin", "conc", "treatment", "value"]
-    both = panelled.where(F.col("panel") == "VEGF").select(*cols).unionByName(means.select(*cols))
-    return mean_se(both, ["panel", "treatment", "conc", "time_bin"])
+    keys = ["panel", "treatment", "conc", "time_bin"]
+    single = cells_mean_se(panelled.where(F.col("panel") == "VEGF"), keys)
+    means = panelled.where(F.col("panel") == "FGF2").groupBy(*keys, "date").agg(cell_mean().alias("value"))
+    return single.unionByName(mean_se(means, keys))
 
 
 # --- modelled parameters ----------------------------------------------------------------------------
 
-def modelled_rows(modelled: DataFrame, annotations: DataFrame, min_dose: float = 1000) -> DataFrame:
+def modelled_wells(modelled: DataFrame, annotations: DataFrame, density: str | None = "5000",
+                   serum: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(modelled values by time from their experiment's first one, the annotated wells they belong to)."""
     wide = materialise(wide_annotations(annotations, {"serum": "FBS"}), "wide")
-    wide = select_readings(wide, celldensity="5000")
-    return effective_doses(rebase_to_start(annotate(modelled, wide)), min_dose=min_dose)
+    wells = select_readings(wide, celldensity=density, serum=serum)
+    return rebase_to(modelled, starts_of(modelled, wells)), wells
 
 
 def modelled_summary(modelled: DataFrame, annotations: DataFrame, max_time: float = 72,
                      exclude: Sequence[str] = ()) -> DataFrame:
     """Modelled parameters of treated wells against controls, pairs formed inside each experiment."""
-    rows = modelled_rows(modelled, annotations)
+    rows, wells = modelled_wells(modelled, annotations)
     keys = ["date", "gf", "conc", "dose", "treatment", "param"]
     # Pairing sees all hours, the time limit comes after it: the flag keeps both in one pass.
-    cells = materialise(hourly_cells(rows.withColumn("inside", F.col("time_h") <= max_time), [*keys, "inside"]), "cells")
+    cells = hourly_cells(rows.withColumn("inside", F.col("time_h") <= max_time), [*MODEL_SERIES, "inside"])
+    cells = materialise(annotate(cells, effective_doses(wells).select(*WELL, "gf", "conc", "dose", "treatment")), "cells")
     paired = exclude_dates(pairs(cells, ["date", "gf"]).where("inside"), exclude)
     binned = hour_bins(paired, ["gf", "pair_ind"], hour="hour", on_break="on_break").where("time_bin is not null")
     means = binned.groupBy("gf", "pair_ind", *[k for k in keys if k != "gf"], "time_bin").agg(
@@ -296,9 +337,12 @@ def modelled_summary(modelled: DataFrame, annotations: DataFrame, max_time: floa
 
 def modelled_qc(modelled: DataFrame, annotations: DataFrame, column: str = "rmse", bins: int = 30) -> DataFrame:
     """Histogram of fit error or drift per pair, split by treatment."""
-    rows = modelled_rows(modelled, annotations).select("date", "gf", "conc", "treatment", column)
-    # The concentrations of each experiment come from the annotated wells that have modelled values.
-    return histogram(pairs(rows, ["date", "gf"]), column, ["gf", "pair_ind"], ["treatment"], bins)
+    wide = select_readings(wide_annotations(annotations, {"serum": "FBS"}), celldensity="5000")
+    wells = effective_doses(wide).select(*WELL, "gf", "conc", "treatment")
+    # A well's pairs are found from the wells that have values, one row each, before the values are joined.
+    wells = materialise(keep_wells(wells, modelled.select(*WELL).distinct()), "wells")
+    paired = annotate(modelled.select(*WELL, column), pairs(wells, ["date", "gf"]))
+    return histogram(paired, column, ["gf", "pair_ind"], ["treatment"], bins)
 
 
 # --- treatment and setup overviews ------------------------------------------------------------------
@@ -309,9 +353,10 @@ NORMALISATIONS = {"Raw": "raw", "Divide": "div_first", "Subtract": "sub_first"}
 def treatment_overview(readings: DataFrame, annotations: DataFrame, marks: DataFrame, normalisation: str = "Raw",
                        max_time: float = 72, min_dose: float = 100) -> DataFrame:
     """Every experiment's pairs over time by dose class, raw or relative to each well's first value."""
-    rows = clip_time(rebase_to_start(phase_rows(readings, *plates(annotations, marks))), hi=max_time)
-    rows = rows.where((F.col("dose") == 0) | (F.col("dose") > min_dose))
-    rows = rows.withColumn("dose_bin", cut_breaks("dose", DOSE_BREAKS, include_lowest=True))
+    rows, wells = release_rows(readings, annotations, marks)
+    wells = wells.where((F.col("dose") == 0) | (F.col("dose") > min_dose))
+    wells = wells.withColumn("dose_bin", cut_breaks("dose", DOSE_BREAKS, include_lowest=True))
+    rows = annotate(clip_time(rows, hi=max_time), wells)
     rows = normalise(rows, SERIES, NORMALISATIONS[normalisation])
     keys = ["date", "gf", "param", "conc", "treatment", "dose", "dose_bin", "freq", "time_h"]
     summary = materialise(mean_se(rows, keys), "overview")
@@ -324,13 +369,14 @@ def treatment_overview(readings: DataFrame, annotations: DataFrame, marks: DataF
 
 def setup_overview(readings: DataFrame, annotations: DataFrame, marks: DataFrame, serum: str = "FBS") -> DataFrame:
     """Setup experiments after release by cell density, every growth factor, parameter and frequency."""
-    rows = rebase_to_start(phase_rows(readings, *plates(annotations, marks), density=None, serum=serum))
+    rows, wells = release_rows(readings, annotations, marks, density=None, serum=serum)
+    rows = annotate(rows, wells.select(*WELL, "gf", "conc", "celldensity"))
     return mean_se(rows, ["date", "gf", "param", "freq", "conc", "celldensity", "time_h"])
 
 
 def setup_overview_modelled(modelled: DataFrame, annotations: DataFrame, serum: str = "FBS") -> DataFrame:
-    wide = select_readings(wide_annotations(annotations, {"serum": "FBS"}), serum=serum)
-    rows = rebase_to_start(annotate(modelled, wide))
+    rows, wells = modelled_wells(modelled, annotations, density=None, serum=serum)
+    rows = annotate(rows, wells.select(*WELL, "gf", "conc", "celldensity"))
     return mean_se(rows, ["date", "gf", "param", "conc", "celldensity", "time_h"])
 
 
@@ -369,16 +415,31 @@ def dose_response(hourly: DataFrame, gfs: Sequence[str], pools: Mapping[float, S
 def frequency_spectrum(readings: DataFrame, annotations: DataFrame, marks: DataFrame, how: str = "div_first",
                        panels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """All frequencies side by side: wells relative to their first value after release, by treatment and dose."""
-    rows = rebase_to_start(phase_rows(readings, *plates(annotations, marks)))
-    scaled = normalise(hour_bins(rows, ["date"]), SERIES, how).where("time_bin is not null")
-    return mean_se(with_panels(scaled, panels or SPECTRUM_PANELS), ["panel", "param", "freq", "treatment", "conc", "time_bin"])
-
-
-def early_sirna(readings: DataFrame, annotations: DataFrame, marks: DataFrame, how: str = "sub_head",
-                panels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    rows, wells = release_rows(readings, annotations, marks)
+    cells = hourly_cells(rows, SERIES, spread=True)
+    cells = materialise(annotate(cells, wells.select(*WELL, "gf", "conc", "treatment")), "cells")
+    binned = hour_bins(cells, ["date"], hour="hour", on_break="on_break").where("time_bin is not null")
+    based = attach(binned, baseline(rows, SERIES, how), SERIES)
+    moved = scale_cells(based, "base") if how in DIVIDE else shift_cells(based, "base")
+    return cells_mean_se(
+        with_panels(moved, panels or SPECTRUM_PANELS), ["panel", "param", "freq", "treatment", "conc", "time_bin"])
+
+
+def early_sirna(readings: DataFrame, annotations: DataFrame, marks: DataFrame, subtract_head: bool = True,
+                panels: Mapping[str, Sequence[str]] | None = None, n: int = 3) -> DataFrame:
     """Silencing experiments after release, wells against the mean of their first three values (or raw)."""
-    rows = rebase_to_start(phase_rows(readings, *plates(annotations, marks)))
-    kept = hour_bins(rows, ["date"]).where("full and time_bin is not null and value is not null")
-    kept = replicated_horizon(kept.drop("mark"))
-    shown = with_panels(normalise(kept, SERIES, how), panels or EARLY_PANELS)
-    return mean_se(shown, ["panel", "param", "freq", "conc", "treatment", "time_bin"])
+    rows, wells = release_rows(readings, annotations, marks)
+    cells = hourly_cells(rows, SERIES, spread=True)
+    cells = materialise(annotate(cells, wells.select(*WELL, "gf", "conc", "treatment", "full")), "cells")
+    binned = hour_bins(cells, ["date"], hour="hour", on_break="on_break")
+    shown = replicated_horizon(binned.where("full and time_bin is not null and n > 0"))
+    if subtract_head:
+        # The cells kept of a series are its earliest, so its first kept values are those of its first values
+        # that lie in kept cells.
+        head = edge_rows(rows.where(F.col("value").isNotNull()), SERIES, n).withColumn("hour", F.floor("time_h"))
+        head = head.withColumn("on_break", F.col("time_h") == F.col("hour")).drop("rn")
+        inside = head.join(shown.select(*SERIES, "hour", "on_break"), [*SERIES, "hour", "on_break"], "left_semi")
+        base = inside.groupBy(*SERIES).agg(F.avg("value").alias("base"))
+        shown = shift_cells(attach(shown, base, SERIES), "base")
+    return cells_mean_se(
+        with_panels(shown, panels or EARLY_PANELS), ["panel", "param", "freq", "conc", "treatment", "time_bin"])

@@ -12,11 +12,10 @@ def build_session(app: str = "platewise", master: str | None = None, **conf: str
     """A session with adaptive execution on; `conf` keys use '__' for '.'."""
     builder = (
         SparkSession.builder.appName(app)
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
     )
+    for key, value in SETTINGS.items():
+        builder = builder.config(key, value)
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -24,6 +23,24 @@ def build_session(app: str = "platewise", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+# Settings that matter at scale. Tables with one row per experiment are joined to readings by date;
+# below the threshold, by measured size, they are broadcast and the readings are not shuffled. Above it the join
+# is a shuffle join whose skewed partitions are split, also where that costs one more shuffle later on.
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.autoBroadcastJoinThreshold": str(128 * 1024 * 1024),
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings to a running session."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`, or a new one where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
