@@ -251,7 +251,7 @@ def q10(spark, sf):
 def _qc(column: str):
     @check(f"q10_histogram_{column}", f"""with {_MODELLED}, {pairs('s', 'date gf')},
 e as (select gf, pair_ind, min({column}) as lo, max({column}) as hi from pr group by gf, pair_ind)
-select gf, pair_ind, treatment, cast(least(floor(({column} - lo) / nullif(hi - lo, 0) * 30), 29) + 1 as integer) as bin, count(*) as n
+select gf, pair_ind, treatment, cast(case when hi = lo then 1 else least(floor(({column} - lo) * 30 / (hi - lo)), 29) + 1 end as integer) as bin, count(*) as n
 from pr join e using (gf, pair_ind) group by gf, pair_ind, treatment, bin""", "readings wide ann modelled")
     def run(spark, sf):
         return figures.modelled_qc(X.modelled(spark, sf), X.annotations(spark, sf), column)

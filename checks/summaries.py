@@ -147,7 +147,7 @@ def a12b(spark, sf):
 
 @check("a13_histogram", """with m as (select m.*, w.gf, w.treatment from modelled m join wide w on m.date = w.date and m.well = w.well),
 e as (select gf, min(rmse) as lo, max(rmse) as hi from m group by gf)
-select gf, treatment, cast(least(floor((rmse - lo) / (hi - lo) * 30), 29) + 1 as integer) as bin, count(*) as n
+select gf, treatment, cast(case when hi = lo then 1 else least(floor((rmse - lo) * 30 / (hi - lo)), 29) + 1 end as integer) as bin, count(*) as n
 from m join e using (gf) group by gf, treatment, bin""", "readings wide modelled")
 def a13(spark, sf):
     from platewise.operators import joins

@@ -93,7 +93,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping[str,
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
     width = F.col("_hi") - F.col("_lo")
     place = F.floor((F.col("_v") - F.col("_lo")) / F.nullif(width, F.lit(0.0)) * buckets)
-    ranged = attach(counted, ends, keys).withColumn("_b", F.coalesce(F.least(place, F.lit(buckets - 1)), F.lit(0)))
+    ranged = attach(counted, ends, keys).withColumn("_b", F.least(F.coalesce(place, F.lit(0)), F.lit(buckets - 1)))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy(*keys, "_b").agg(F.sum("_n").alias("_size")).select(
         *keys, "_b", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
@@ -153,8 +153,8 @@ def histogram(df: DataFrame, col: str, panel: Sequence[str], split: Sequence[str
     panel = list(panel)
     ends = df.groupBy(*panel).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
     width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    place = F.floor((F.col(col) - F.col("_lo")) / width * bins)
-    bin_no = F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)) + 1
+    place = F.floor((F.col(col) - F.col("_lo")) * bins / width)
+    bin_no = F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)) + 1
     return attach(df.where(F.col(col).isNotNull()), ends, panel).groupBy(
         *panel, *split, bin_no.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -39,10 +39,10 @@ def list_inputs(spark: SparkSession, root: str, kind: str | None = None, version
 
 def read_texts(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
     """(path, content): one row per file."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    text = reader.text(path if isinstance(path, str) else list(path))
+    text = reader.text(path if isinstance(path, str) else list(path), wholetext=True, recursiveFileLookup=True)
     return text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
@@ -68,6 +68,12 @@ def sheet_from_path(path: Column | str) -> Column:
     return F.replace(F.regexp_extract(path, "([^/]+)\\.csv$", 1), F.lit("%20"), F.lit(" "))
 
 
+def workbook_date(path: Column | str, version: int = 2) -> Column:
+    """Date of a sheet's CSV: it stands in the folder that represents the workbook."""
+    path = F.col(path) if isinstance(path, str) else path
+    return date_from_path(F.regexp_replace(path, "/[^/]+$", ""), version)
+
+
 def sheets_to_long(texts: DataFrame) -> DataFrame:
     """(path, sheet, time_h, variable, value): one row per cell of every sheet CSV, each with its own header."""
     sheets = data_sheets(texts.withColumn("sheet", sheet_from_path("path")))
@@ -96,7 +102,7 @@ def readings_from_sheets(texts: DataFrame, version: int = 2) -> DataFrame:
     """Sheet CSVs to the readings table."""
     long = split_variable(sheets_to_long(texts), version)
     return long.select(
-        date_from_path("path", version).alias("date"), "well", "param",
+        workbook_date("path", version).alias("date"), "well", "param",
         freq_from_sheet("sheet", version).alias("freq"), "time_h", "value")
 
 
@@ -115,14 +121,14 @@ def comment_lines(texts: DataFrame, version: int = 2) -> DataFrame:
     """Comment sheet CSVs to numbered lines."""
     comments = texts.where(sheet_from_path("path") == "Comments")
     return comments.select(
-        date_from_path("path", version).alias("date"), F.posexplode(_lines("content")).alias("line_no", "text"))
+        workbook_date("path", version).alias("date"), F.posexplode(_lines("content")).alias("line_no", "text"))
 
 
 def detail_pairs(texts: DataFrame, version: int = 2, n: int = 8) -> DataFrame:
     """(date, key, value, pos) of the first n lines of every details sheet."""
     details = texts.where(sheet_from_path("path") == "Details")
     lines = details.select(
-        date_from_path("path", version).alias("date"), F.posexplode(_lines("content")).alias("pos", "_line"))
+        workbook_date("path", version).alias("date"), F.posexplode(_lines("content")).alias("pos", "_line"))
     cells = _cells(F.col("_line"))
     return lines.where(F.col("pos") < n).select(
         "date", F.try_element_at(cells, F.lit(1)).alias("key"), F.try_element_at(cells, F.lit(2)).alias("value"), "pos")
