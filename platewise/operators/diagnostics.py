@@ -26,29 +26,38 @@ def ar1_fit(df: DataFrame, by: Sequence[str] = SERIES, value: str = "value",
 
 def ar1_residuals(df: DataFrame, by: Sequence[str] = SERIES, value: str = "value", time: str = "time_h") -> DataFrame:
     """(by, time, residual): what the fit leaves of every value but the series' first."""
-    points = df.select(*by, time, value, F.struct(time, value).alias("_p"))
+    points = df.select(*by, time, F.struct(time, value).alias("_p"))
     lagged = following_values(points, by, "_p", 1, (time,)).where(F.col("next_1").isNotNull())
-    fit = lagged.groupBy(*by).agg(
-        F.regr_slope(F.col(f"next_1.{value}"), F.col(value)).alias("_phi"),
-        F.regr_intercept(F.col(f"next_1.{value}"), F.col(value)).alias("_c"))
-    left = F.col(f"next_1.{value}") - F.col("_c") - F.col("_phi") * F.col(value)
-    return attach(lagged, fit, by).select(*by, F.col(f"next_1.{time}").alias(time), left.alias("residual"))
+    lagged = lagged.select(*by, F.col(f"_p.{value}").alias("_x"), F.col(f"next_1.{value}").alias("_y"),
+                           F.col(f"next_1.{time}").alias(time))
+    fit = lagged.groupBy(*by).agg(F.regr_slope("_y", "_x").alias("_phi"), F.regr_intercept("_y", "_x").alias("_c"))
+    left = F.col("_y") - F.col("_c") - F.col("_phi") * F.col("_x")
+    return attach(lagged, fit, by).select(*by, time, left.alias("residual"))
 
 
 def autocorrelation(df: DataFrame, by: Sequence[str] = SERIES, max_lag: int = 3, value: str = "value",
                     order: Sequence[str] = ("time_h",)) -> DataFrame:
-    """(by, lag, r, n): products of deviations `lag` rows apart over the sum of squared deviations."""
-    by = list(by)
-    known = df.where(F.col(value).isNotNull()).select(*by, *order, value)
-    means = known.groupBy(*by).agg(F.avg(value).alias("_m"))
-    centred = attach(known, means, by).withColumn("_d", F.col(value) - F.col("_m")).drop("_m", value)
-    ahead = following_values(centred, by, "_d", max_lag, order)
-    sums = ahead.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("_d") * F.col("_d")).alias("_s0"),
-        *[F.sum(F.col("_d") * F.col(f"next_{k}")).alias(f"_s{k}") for k in range(1, max_lag + 1)])
-    lags = F.array(*[
-        F.struct(F.lit(k).alias("lag"), F.try_divide(F.coalesce(F.col(f"_s{k}"), F.lit(0.0)), F.col("_s0")).alias("r"))
-        for k in range(1, max_lag + 1)])
+    """(by, lag, r, n): products of deviations `lag` rows apart over the sum of squared deviations.
+
+    The sum of products about the series' mean is the pairs' own covariance plus the product of how far the
+    two ends' means lie from it, so one aggregate over the pairs gives it and no mean is joined first.
+    """
+    by, x = list(by), F.col(value)
+    known = df.where(x.isNotNull()).select(*by, *order, value)
+    ahead = following_values(known, by, value, max_lag, order)
+    parts = [F.count(F.lit(1)).alias("n"), F.avg(x).alias("_m"), F.var_pop(x).alias("_v")]
+    for k in range(1, max_lag + 1):
+        y = F.col(f"next_{k}")
+        parts += [F.count(y).alias(f"_n{k}"), F.covar_pop(x, y).alias(f"_c{k}"),
+                  F.avg(F.when(y.isNotNull(), x)).alias(f"_x{k}"), F.avg(y).alias(f"_y{k}")]
+    sums = ahead.groupBy(*by).agg(*parts)
+
+    def r(k: int):
+        ends = (F.col(f"_x{k}") - F.col("_m")) * (F.col(f"_y{k}") - F.col("_m"))
+        products = F.col(f"_n{k}") * (F.col(f"_c{k}") + ends)
+        return F.try_divide(F.coalesce(products, F.lit(0.0)), F.col("n") * F.col("_v"))
+
+    lags = F.array(*[F.struct(F.lit(k).alias("lag"), r(k).alias("r")) for k in range(1, max_lag + 1)])
     return sums.withColumn("_l", F.explode(lags)).select(*by, "_l.lag", "_l.r", "n")
 
 

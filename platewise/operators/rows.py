@@ -1,8 +1,8 @@
 """Row numbers and neighbours inside long series.
 
 A series may hold a large part of all rows, so no window here spans a whole series: rows are numbered per
-(series, time chunk), chunk sizes give the offsets, and neighbours are looked up in blocks of fixed length
-that carry a margin of the next block's first rows.
+(series, time chunk), chunk sizes give the offsets, and neighbours are looked up in chunks that carry a margin
+of the first rows after them.
 """
 
 from __future__ import annotations
@@ -35,20 +35,26 @@ def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str] = ("time_
 
 
 def following_values(df: DataFrame, by: Sequence[str], value: str = "value", lags: int = 1,
-                     order: Sequence[str] = ("time_h",), block: int = 4096, chunk: float = 1.0) -> DataFrame:
-    """Adds `rn` and `next_1 .. next_<lags>`: the values 1 .. `lags` rows later in the series, NULL past its end."""
-    if not 1 <= lags < block:
-        raise ValueError("lags must lie between 1 and the block length")
+                     order: Sequence[str] = ("time_h",), chunk: float = 1.0) -> DataFrame:
+    """Adds `next_1 .. next_<lags>`: the values 1 .. `lags` rows later in the series, NULL past its end.
+
+    Rows are looked at per (series, time chunk). The rows that follow a chunk are among the first `lags` of
+    the chunks after it, so each chunk is given a margin of at most `lags` of those; the readings are
+    shuffled once.
+    """
+    if lags < 1:
+        raise ValueError("lags must be at least 1")
     by = list(by)
-    numbered = number_rows(df, by, order, chunk)
-    pos = F.col("rn") - 1
-    home = F.floor(pos / block)
-    in_margin = (pos % block < lags) & (home > 0)
-    spread = numbered.withColumn(
-        "_block", F.explode(F.when(in_margin, F.array(home, home - 1)).otherwise(F.array(home))))
-    w = Window.partitionBy(*by, "_block").orderBy("rn")
-    ahead = spread.select("*", *[F.lead(value, k).over(w).alias(f"next_{k}") for k in range(1, lags + 1)])
-    return ahead.where(F.col("_block") == F.floor((F.col("rn") - 1) / block)).drop("_block")
+    cut = df.select(*by, *order, value, F.floor(F.col(order[0]) / chunk).alias("_chunk"))
+    heads = edge_rows(cut, [*by, "_chunk"], lags, order).drop("rn")
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(-lags, -1)
+    served = F.array_except(F.collect_set("_chunk").over(before), F.array("_chunk"))
+    margin = heads.withColumn("_served", served).withColumn("_home", F.explode("_served")).drop("_served")
+    margin = margin.withColumn("_own", F.lit(False))
+    both = cut.withColumn("_home", F.col("_chunk")).withColumn("_own", F.lit(True)).unionByName(margin)
+    w = Window.partitionBy(*by, "_home").orderBy(*order)
+    ahead = both.select("*", *[F.lead(value, k).over(w).alias(f"next_{k}") for k in range(1, lags + 1)])
+    return ahead.where("_own").drop("_chunk", "_home", "_own")
 
 
 def edge_rows(df: DataFrame, by: Sequence[str], n: int, order: Sequence[str] = ("time_h",),

@@ -31,20 +31,22 @@ def test_numbers(hot):
     assert got == {(s, t): i for s, ps in by_series(data).items() for i, (t, _) in enumerate(ps, 1)}
 
 
-@pytest.mark.parametrize("block", [4, 7, 4096])
-def test_neighbours_across_blocks(hot, block):
+@pytest.mark.parametrize("chunk", [0.05, 1.0, 100.0])
+@pytest.mark.parametrize("lags", [1, 4])
+def test_neighbours_across_chunks(hot, chunk, lags):
     data, df = hot
-    got = {(r["s"], r["rn"]): (r["next_1"], r["next_3"]) for r in following_values(df, ["s"], lags=3, block=block).collect()}
+    got = {(r["s"], r["time_h"]): tuple(r[f"next_{k}"] for k in range(1, lags + 1))
+           for r in following_values(df, ["s"], lags=lags, chunk=chunk).collect()}
     want = {}
     for s, ps in by_series(data).items():
-        v = [p[1] for p in ps] + [None] * 3
-        want.update({(s, i + 1): (v[i + 1], v[i + 3]) for i in range(len(ps))})
+        v = [p[1] for p in ps] + [None] * lags
+        want.update({(s, t): tuple(v[i + 1:i + 1 + lags]) for i, (t, _) in enumerate(ps)})
     assert got == want
 
 
-def test_block_must_exceed_lags(hot):
+def test_lags_are_positive(hot):
     with pytest.raises(ValueError):
-        following_values(hot[1], ["s"], lags=4, block=4)
+        following_values(hot[1], ["s"], lags=0)
 
 
 def test_edges(hot):
