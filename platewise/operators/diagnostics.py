@@ -32,7 +32,7 @@ def ar1_residuals(df: DataFrame, by: Sequence[str] = SERIES, value: str = "value
                            F.col(f"next_1.{time}").alias(time))
     fit = lagged.groupBy(*by).agg(F.regr_slope("_y", "_x").alias("_phi"), F.regr_intercept("_y", "_x").alias("_c"))
     left = F.col("_y") - F.col("_c") - F.col("_phi") * F.col("_x")
-    return attach(lagged, fit, by).select(*by, time, left.alias("residual"))
+    return attach(lagged, fit, by, null_safe=True).select(*by, time, left.alias("residual"))
 
 
 def autocorrelation(df: DataFrame, by: Sequence[str] = SERIES, max_lag: int = 3, value: str = "value",

@@ -17,7 +17,12 @@ from platewise.schema import LAYERS, WELL
 
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
            null_safe: bool = False) -> DataFrame:
-    """Join the other columns of `right` to `left` on `keys`; with `null_safe`, NULL keys match each other."""
+    """Join the other columns of `right` to `left` on `keys`; with `null_safe`, NULL keys match each other.
+
+    Use `null_safe` where `right` is an aggregate of `left` by the same keys. Groups with NULL keys then stay,
+    and a hot key can be split: adaptive execution splits skewed partitions only where both sides of a join
+    have an exchange of their own. Under plain equality an aggregate's exchange would serve the join too.
+    """
     keys = list(keys)
     if not null_safe:
         return left.join(right, keys, how)
@@ -45,8 +50,12 @@ def widen_annotations(annotations: DataFrame, layers: Mapping[str, str] | None =
 
 
 def annotate(df: DataFrame, wide: DataFrame) -> DataFrame:
-    """Inner join of readings or modelled values with wide annotations on (date, well)."""
-    return attach(df, wide, WELL)
+    """Inner join of readings or modelled values with wide annotations on (date, well).
+
+    Rows without a date or well match nothing; they are dropped first, so that the join can be the kind whose
+    hot keys are split also when `wide` comes straight from an aggregate.
+    """
+    return attach(df.na.drop("any", subset=list(WELL)), wide, WELL, null_safe=True)
 
 
 def dates_with(annotations: DataFrame, value: str) -> DataFrame:

@@ -58,16 +58,16 @@ def normalise(df: DataFrame, by: Sequence[str], how: str, value: str = "value",
     if how == "minmax":
         ends = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
         scaled = safe_ratio(v - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-        return attach(df, ends, by).withColumn(out, scaled).drop("_lo", "_hi")
+        return attach(df, ends, by, null_safe=True).withColumn(out, scaled).drop("_lo", "_hi")
     if how == "sub_recycled":
         head = edge_rows(df.select(*by, *order, value), by, n, order).groupBy(*by).agg(
             *[F.max(F.when(F.col("rn") == i, F.col(value))).alias(f"_head_{i}") for i in range(1, n + 1)])
         picked = F.element_at(F.array(*[f"_head_{i}" for i in range(1, n + 1)]),
                               ((F.col("_rn") - 1) % n + 1).cast("int"))
-        joined = attach(number_rows(df, by, order, name="_rn"), head, by)
+        joined = attach(number_rows(df, by, order, name="_rn"), head, by, null_safe=True)
         return joined.withColumn(out, v - picked).drop("_rn", *[f"_head_{i}" for i in range(1, n + 1)])
     base = baseline(df, by, how, value, order, n, bin_name, at).withColumnRenamed("base", "_base")
-    joined = attach(df, base, by)
+    joined = attach(df, base, by, null_safe=True)
     if how in DIVIDE:
         return joined.withColumn(out, safe_ratio(v, F.col("_base"))).drop("_base")
     if how in SUBTRACT:

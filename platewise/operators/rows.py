@@ -28,7 +28,7 @@ def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str] = ("time_
     )
     local = df.withColumn("_local", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return (
-        attach(local, offsets, keys)
+        attach(local, offsets, keys, null_safe=True)
         .withColumn(name, F.col("_local") + F.col("_offset"))
         .drop("_chunk", "_local", "_offset")
     )

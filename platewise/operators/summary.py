@@ -93,12 +93,12 @@ def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping[str,
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
     width = F.col("_hi") - F.col("_lo")
     place = F.floor((F.col("_v") - F.col("_lo")) / F.nullif(width, F.lit(0.0)) * buckets)
-    ranged = attach(counted, ends, keys).withColumn("_b", F.least(F.coalesce(place, F.lit(0)), F.lit(buckets - 1)))
+    ranged = attach(counted, ends, keys, null_safe=True).withColumn("_b", F.least(F.coalesce(place, F.lit(0)), F.lit(buckets - 1)))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy(*keys, "_b").agg(F.sum("_n").alias("_size")).select(
         *keys, "_b", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = attach(ranged, starts, [*keys, "_b"]).withColumn("_upto", F.col("_start") + F.sum("_n").over(inside))
+    ranked = attach(ranged, starts, [*keys, "_b"], null_safe=True).withColumn("_upto", F.col("_start") + F.sum("_n").over(inside))
 
     def value_at(rank: Column) -> Column:
         return F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank), F.col("_v")))
@@ -141,7 +141,7 @@ def box_stats(df: DataFrame, keys: Sequence[str], col: str = "value") -> DataFra
     """Quartiles, whiskers (outermost values within 1.5 interquartile ranges of the box) and outlier count."""
     keys = list(keys)
     v, reach = F.col(col), (F.col("q3") - F.col("q1")) * 1.5
-    joined = attach(df.select(*keys, col), quantiles(df, keys, col, QUARTILES), keys)
+    joined = attach(df.select(*keys, col), quantiles(df, keys, col, QUARTILES), keys, null_safe=True)
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
     return joined.groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, v)).alias("lower"), F.max(F.when(inside, v)).alias("upper"),
@@ -155,7 +155,7 @@ def histogram(df: DataFrame, col: str, panel: Sequence[str], split: Sequence[str
     width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     place = F.floor((F.col(col) - F.col("_lo")) * bins / width)
     bin_no = F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)) + 1
-    return attach(df.where(F.col(col).isNotNull()), ends, panel).groupBy(
+    return attach(df.where(F.col(col).isNotNull()), ends, panel, null_safe=True).groupBy(
         *panel, *split, bin_no.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

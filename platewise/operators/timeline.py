@@ -23,7 +23,7 @@ def start_times(df: DataFrame, by: Sequence[str] = ("date",), time: str = "time_
 def rebase_to_start(df: DataFrame, by: Sequence[str] = ("date",), time: str = "time_h",
                     out: str | None = None) -> DataFrame:
     """Time counted from the group's first reading."""
-    joined = attach(df, start_times(df, by, time), by)
+    joined = attach(df, start_times(df, by, time), by, null_safe=True)
     return joined.withColumn(out or time, F.col(time) - F.col("start_h")).drop("start_h")
 
 
@@ -38,13 +38,13 @@ def release_time(marks: DataFrame, how: str = "max", label_like: str | None = No
 def rebase_to_mark(df: DataFrame, release: DataFrame, time: str = "time_h", out: str | None = None,
                    how: str = "left") -> DataFrame:
     """Time counted from the date's release; negative before it. A left join leaves NULL where no mark exists."""
-    joined = attach(df, release.select("date", "mark_h"), ["date"], how)
+    joined = attach(df, release.select("date", "mark_h"), ["date"], how, null_safe=True)
     return joined.withColumn(out or time, F.col(time) - F.col("mark_h")).drop("mark_h")
 
 
 def rebase_to(df: DataFrame, starts: DataFrame, by: Sequence[str] = ("date",), time: str = "time_h") -> DataFrame:
     """Time counted from given starts (by, start_h); groups without one are dropped."""
-    return attach(df, starts, by).withColumn(time, F.col(time) - F.col("start_h")).drop("start_h")
+    return attach(df, starts, by, null_safe=True).withColumn(time, F.col(time) - F.col("start_h")).drop("start_h")
 
 
 def clip_time(df: DataFrame, lo: float | None = None, hi: float | None = None, time: str = "time_h") -> DataFrame:
@@ -108,7 +108,7 @@ def hour_bins(df: DataFrame, by: Sequence[str] = ("date",), time: str = "time_h"
         joined = joined.withColumn("_next", F.min(hour).over(later))
     else:
         found = hour_breaks(work, by, hour) if breaks is None else breaks
-        joined = attach(work, found, [*by, hour], "left")
+        joined = attach(work, found, [*by, hour], "left", null_safe=True)
     binned = joined.withColumn(
         name, bin_of(F.col(hour), F.col(on_break), F.col("_rank"), F.col("_next"), out))
     return binned.select(*df.columns, name)
@@ -130,7 +130,7 @@ def hourly_cells(df: DataFrame, keys: Sequence[str], time: str = "time_h", value
 def align_right(df: DataFrame, by: Sequence[str] = ("date",), name: str = "time_bin") -> DataFrame:
     """Bins counted back from the group's last one, which becomes 0."""
     last = df.groupBy(*by).agg(F.max(name).alias("_last"))
-    return attach(df, last, by).withColumn(name, F.col(name) - F.col("_last")).drop("_last")
+    return attach(df, last, by, null_safe=True).withColumn(name, F.col(name) - F.col("_last")).drop("_last")
 
 
 # --- phases -----------------------------------------------------------------------------------------
@@ -168,7 +168,7 @@ def segment_by_cuts(df: DataFrame, cuts: DataFrame, time: str = "time_h", name:
     bad = F.lit(None).cast("string") if on_invalid == "null" else F.raise_error(
         F.concat(F.lit("two or three marks are needed, date "), F.col("date"))).cast("string")
     phase = F.when(n == 2, F.when(t > 0, by_two)).when(n == 3, F.when(t > 0, by_three)).otherwise(bad)
-    joined = attach(df, cuts, ["date"], "left")
+    joined = attach(df, cuts, ["date"], "left", null_safe=True)
     return joined.withColumn(name, phase).drop("n_marks", "mark_1", "mark_2", "mark_3")
 
 
