@@ -126,7 +126,7 @@ WELLS = [f"{r}{c}" for c in range(1, 13) for r in "ABCDEFGH"]
 def plate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """96 parts make a plate of sizes; part key order runs along the plate's rows."""
     lines = _grid_text(table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_size"), 12, 8)
-    return _file_text(lines, [], F.concat(F.lit("rawdata/ECIS_"), _digits(F.col("file")), F.lit("_Metadata_p_size.csv")))
+    return _file_text(lines, [], F.concat(F.lit("rawdata/RUN_"), _digits(F.col("file")), F.lit("_Metadata_p_size.csv")))
 
 
 def sheet_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ def sheet_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.concat(F.lit("Time (hrs),"), F.array_join(
         F.transform(F.array(*[F.lit(w) for w in WELLS]), lambda w: F.concat(w, F.lit(" "), param)), ","))
     freq = (F.pow(F.lit(2), F.col("file") % 4).cast("int") * 1000).cast("string")
-    path = F.concat(F.lit("rawdata/ECIS_"), _digits(F.col("file")), F.lit("_MFT_1.xls/"), param, F.lit(" "), freq,
+    path = F.concat(F.lit("rawdata/RUN_"), _digits(F.col("file")), F.lit("_MFT_1.xls/"), param, F.lit(" "), freq,
                     F.lit(" Hz.csv"))
     return _file_text(lines, [head], path)
 
@@ -153,7 +153,7 @@ def modelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     head.append(F.lit("Time (hrs), " + ", ".join(p for _ in WELLS for p in MODEL_PARAMS)))
     head.append(F.lit("well, " + ", ".join(w for w in WELLS for _ in MODEL_PARAMS)))
     head += [F.lit("unit"), F.lit("")]
-    return _file_text(lines, head, F.concat(F.lit("rawdata/ECIS_"), _digits(F.col("file")), F.lit("_MFT_1_RbA.csv")))
+    return _file_text(lines, head, F.concat(F.lit("rawdata/RUN_"), _digits(F.col("file")), F.lit("_MFT_1_RbA.csv")))
 
 
 def comment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +185,7 @@ def comment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_date = m.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("time_h", "label"))).alias("m"))
     lines = F.flatten(F.transform("m", lambda x: F.array(
         F.concat(F.lit("<Mark> Time: "), x["time_h"].cast("string")), F.lit(""), x["label"])))
-    path = F.concat(F.lit("rawdata/ECIS_"), F.lit("99000"), F.substring("date", 4, 1), F.lit("_MFT_1.xls/Comments.csv"))
+    path = F.concat(F.lit("rawdata/RUN_"), F.lit("99000"), F.substring("date", 4, 1), F.lit("_MFT_1.xls/Comments.csv"))
     return per_date.select(path.alias("path"), F.array_join(lines, "\n").alias("content"))
 
 
@@ -195,7 +195,7 @@ def detail_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.array(*[F.concat(F.lit(f"key{i},"), v.cast("string")) for i, v in enumerate(
         [F.col("c_name"), F.col("c_nationkey"), F.col("c_mktsegment"), F.col("c_custkey"), F.lit("a"), F.lit("b"),
          F.lit("c"), F.lit("d"), F.lit("not read"), F.lit("not read")], 1)])
-    path = F.concat(F.lit("rawdata/ECIS_"), _digits(F.col("c_custkey")), F.lit("_MFT_1.xls/Details.csv"))
+    path = F.concat(F.lit("rawdata/RUN_"), _digits(F.col("c_custkey")), F.lit("_MFT_1.xls/Details.csv"))
     return c.select(path.alias("path"), F.array_join(lines, "\n").alias("content"))
 
 

@@ -12,7 +12,7 @@ from platewise.session import new_path
 from platewise.sources import files, tables
 
 _PATHS_SQL = """paths as (
-  select p_partkey, 'rawdata/ECIS_' || lpad(cast(p_partkey as varchar), cast(4 + p_partkey % 3 as integer), '0') ||
+  select p_partkey, 'rawdata/RUN_' || lpad(cast(p_partkey as varchar), cast(4 + p_partkey % 3 as integer), '0') ||
          case p_size % 6 when 0 then '_MFT_1.xls' when 1 then '_MFT_3.xls' when 2 then '_MFT_1_RbA.csv'
                          when 3 then '_Metadata_treatment.csv' when 4 then '_metadata_conc_GF.csv' else '_notes.txt' end as path
   from part)"""
@@ -24,7 +24,7 @@ def _paths(spark, sf):
     suffix = (F.when(n == 0, "_MFT_1.xls").when(n == 1, "_MFT_3.xls").when(n == 2, "_MFT_1_RbA.csv")
               .when(n == 3, "_Metadata_treatment.csv").when(n == 4, "_metadata_conc_GF.csv").otherwise("_notes.txt"))
     digits = F.lpad(F.col("p_partkey").cast("string"), (F.lit(4) + F.col("p_partkey") % 3).cast("int"), F.lit("0"))
-    return p.select("p_partkey", F.concat(F.lit("rawdata/ECIS_"), digits, suffix).alias("path"))
+    return p.select("p_partkey", F.concat(F.lit("rawdata/RUN_"), digits, suffix).alias("path"))
 
 
 @check("s1_input_kinds", f"""with {_PATHS_SQL}
@@ -64,7 +64,7 @@ _SHEETS_SQL = """cells as (
 
 
 @check("s3_sheets_to_long", f"""with {_SHEETS_SQL}
-select 'rawdata/ECIS_' || date || '_MFT_1.xls/' || param || ' ' || freq || ' Hz.csv' as path,
+select 'rawdata/RUN_' || date || '_MFT_1.xls/' || param || ' ' || freq || ' Hz.csv' as path,
        param || ' ' || freq || ' Hz' as sheet, time_h, well || ' ' || param as variable, value from sheets""", "wells")
 def s3(spark, sf):
     # Sheets of comments and details lie among the readings' sheets and are left out.

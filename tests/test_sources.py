@@ -21,23 +21,23 @@ def rawdata(tmp_path_factory):
         os.makedirs(path.parent, exist_ok=True)
         path.write_text(content)
 
-    put("ECIS_140419_Metadata_treatment.csv", TREATMENT)
-    put("ECIS_140419_Metadata_doses_treatment.csv", DOSES)
-    put("ECIS_140419_MFT_1.xls/Z 4000 Hz.csv", "Time (hrs),A1 Z,H12 Z\n0.0,10,20\n0.1,11,\n")
-    put("ECIS_140419_MFT_1.xls/C 64000 Hz.csv", "Time (hrs),B2 C\n0.0,1e-9\n")
-    put("ECIS_140419_MFT_1.xls/Comments.csv", "<New Experiment>\n<Mark> Time: 30.5\nx\nStarv\nnoise\n<Mark> Time: 46\n\nGF added\n")
-    put("ECIS_140419_MFT_1.xls/Details.csv", "".join(f"key{i},value {i}\n" for i in range(12)))
+    put("RUN_140419_Metadata_treatment.csv", TREATMENT)
+    put("RUN_140419_Metadata_doses_treatment.csv", DOSES)
+    put("RUN_140419_MFT_1.xls/Z 4000 Hz.csv", "Time (hrs),A1 Z,H12 Z\n0.0,10,20\n0.1,11,\n")
+    put("RUN_140419_MFT_1.xls/C 64000 Hz.csv", "Time (hrs),B2 C\n0.0,1e-9\n")
+    put("RUN_140419_MFT_1.xls/Comments.csv", "<New Experiment>\n<Mark> Time: 30.5\nx\nStarv\nnoise\n<Mark> Time: 46\n\nGF added\n")
+    put("RUN_140419_MFT_1.xls/Details.csv", "".join(f"key{i},value {i}\n" for i in range(12)))
     head = [f"preamble {i}" for i in range(19)]
     head += ["Time (hrs), Rb (ohm.cm^2), Alpha", "Well, A1, A1", "", ""]
-    put("ECIS_140419_MFT_1_RbA.csv", "\n".join(head + ["0.5, 1.5, 2.5", "1.0, 3.5, 4.5"]) + "\n")
+    put("RUN_140419_MFT_1_RbA.csv", "\n".join(head + ["0.5, 1.5, 2.5", "1.0, 3.5, 4.5"]) + "\n")
     put("notes.txt", "nothing")
     return str(root)
 
 
 def test_list_inputs(spark, rawdata):
     kinds = {os.path.basename(p): k for p, k in rows(files.list_inputs(spark, rawdata, version=1))}
-    assert kinds["ECIS_140419_Metadata_treatment.csv"] == "layer"
-    assert kinds["ECIS_140419_MFT_1_RbA.csv"] == "modelled"
+    assert kinds["RUN_140419_Metadata_treatment.csv"] == "layer"
+    assert kinds["RUN_140419_MFT_1_RbA.csv"] == "modelled"
     assert "notes.txt" not in kinds
     assert files.list_inputs(spark, rawdata, "layer").count() == 2
 
@@ -71,7 +71,7 @@ def test_plate_layers_version_1(spark, rawdata):
 def test_modelled_version_1_is_positional(spark):
     values = ",".join(str(float(i)) for i in range(480))
     content = "\n".join(["x"] * 23 + ["2.0," + values])
-    df = spark.createDataFrame([("rawdata/ECIS_140419_MFT_1_RbA.csv", content)], "path string, content string")
+    df = spark.createDataFrame([("rawdata/RUN_140419_MFT_1_RbA.csv", content)], "path string, content string")
     got = {(r["well"], r["param"]): (r["value"], r["drift"], r["rmse"]) for r in files.read_modelled_v1(df).collect()}
     assert len(got) == 96 * 3
     assert got["A1", "Rb"] == (0.0, 3.0, 4.0)
@@ -80,9 +80,9 @@ def test_modelled_version_1_is_positional(spark):
 
 
 def test_names_in_paths(spark):
-    df = spark.createDataFrame([("/rawdata/ECIS_140419_MFT_1.xls",), ("no digits",), ("/a/123456789/b",)], "p string")
+    df = spark.createDataFrame([("/rawdata/RUN_140419_MFT_1.xls",), ("no digits",), ("/a/123456789/b",)], "p string")
     got = rows(df.select("p", text.date_from_path("p", 1).alias("a"), text.date_from_path("p", 2).alias("b")))
-    assert got == [("/a/123456789/b", "20123456", "456789"), ("/rawdata/ECIS_140419_MFT_1.xls", "20140419", "140419"),
+    assert got == [("/a/123456789/b", "20123456", "456789"), ("/rawdata/RUN_140419_MFT_1.xls", "20140419", "140419"),
                    ("no digits", None, "no digits")]
 
 
