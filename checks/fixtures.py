@@ -190,11 +190,13 @@ def comment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detail_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A details sheet per customer, ten lines, of which eight count."""
+    """A details sheet per customer: a title line and ten rows, of which eight count."""
     c = table(spark, sf_dir, "customer")
-    lines = F.array(*[F.concat(F.lit(f"key{i},"), v.cast("string")) for i, v in enumerate(
-        [F.col("c_name"), F.col("c_nationkey"), F.col("c_mktsegment"), F.col("c_custkey"), F.lit("a"), F.lit("b"),
-         F.lit("c"), F.lit("d"), F.lit("not read"), F.lit("not read")], 1)])
+    day = F.concat(F.lit("2013-12-"), F.lpad((F.col("c_nationkey") + 1).cast("string"), 2, "0"))
+    values = [F.col("c_name"), F.col("c_nationkey"), F.col("c_mktsegment"), F.col("c_custkey"), F.lit("a"), F.lit("b"),
+              F.lit("c"), day, F.lit("not read"), F.lit("not read")]
+    lines = F.array(F.lit("Parameter,Value"),
+                    *[F.concat(F.lit(f"key{i},"), v.cast("string")) for i, v in enumerate(values, 1)])
     path = F.concat(F.lit("rawdata/RUN_"), _digits(F.col("c_custkey")), F.lit("_MFT_1.xls/Details.csv"))
     return c.select(path.alias("path"), F.array_join(lines, "\n").alias("content"))
 

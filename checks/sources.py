@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from checks import fixtures as X
 from checks.registry import check, q6, r6
 from platewise.functions import text
-from platewise.operators import joins, recode, summary
 from platewise.session import new_path
 from platewise.sources import files, tables
 
@@ -136,11 +135,17 @@ def s8(spark, sf):
   unnest([{'key': 'key1', 'value': c_name}, {'key': 'key2', 'value': cast(c_nationkey as varchar)},
           {'key': 'key3', 'value': c_mktsegment}, {'key': 'key4', 'value': cast(c_custkey as varchar)},
           {'key': 'key5', 'value': 'a'}, {'key': 'key6', 'value': 'b'}, {'key': 'key7', 'value': 'c'},
-          {'key': 'key8', 'value': 'd'}]) as t(u)""")
+          {'key': 'key8', 'value': '2013-12-' || lpad(cast(c_nationkey + 1 as varchar), 2, '0')}]) as t(u)""")
 def s8b(spark, sf):
     return files.detail_pairs(X.detail_texts(spark, sf)).select("date", "key", "value")
 
 
+@check("s8_date_from_details", """select lpad(cast(c_custkey as varchar), 6, '0') as date,
+  '201312' || lpad(cast(c_nationkey + 1 as varchar), 2, '0') as recorded from customer""")
+def s8c(spark, sf):
+    return files.date_from_details(files.detail_pairs(X.detail_texts(spark, sf), 2))
+
+
 @check("s9_plate_to_long", """with plates as (select distinct p_partkey // 96 as f from part)
 select lpad(cast(f as varchar), 6, '0') as date, chr(65 + r) || cast(c + 1 as varchar) as well, 'p_size' as layer,
        cast(p.p_size as varchar) as value

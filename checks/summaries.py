@@ -129,6 +129,15 @@ def a11(spark, sf):
     return classify.classify_experiments(X.annotations(spark, sf))
 
 
+@check("a11_wide_by_class", """with s as (
+  select date, string_agg(distinct layer, ',' order by layer) as sig from annotations group by date),
+f as (select sig, row_number() over (order by min(date)) as c from s group by sig)
+select wide.* exclude (serum), coalesce(serum, 'FBS') as serum, cast(c as integer) as class
+from wide join s using (date) join f using (sig)""", "wide")
+def a11b(spark, sf):
+    return classify.wide_by_class(X.annotations(spark, sf))
+
+
 @check("a12_profile", """with l as (
   select 'l_quantity' as "column", l_quantity as v from lineitem union all select 'l_extendedprice', l_extendedprice from lineitem
   union all select 'l_discount', l_discount from lineitem union all select 'l_linenumber', l_linenumber::double from lineitem)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platewise.operators.joins import attach, widen_annotations
+
 
 def layer_presence(annotations: DataFrame, layers: Sequence[str] | None = None, max_layers: int = 1000) -> DataFrame:
     """Date by layer table of 0 and 1. Without `layers` the names are looked up, which runs a small job."""
@@ -43,6 +45,15 @@ def classify_experiments(annotations: DataFrame, k: int = 3, max_signatures: int
     return per_date.join(F.broadcast(mapping), "signature").select("date", "class")
 
 
+def wide_by_class(annotations: DataFrame, k: int = 3, max_signatures: int = 500) -> DataFrame:
+    """Wide annotations with the class of their experiment beside them, a missing serum filled with FBS.
+
+    The classes are the setup, treatment and silencing tables; one table with a key column holds them all.
+    """
+    wide = widen_annotations(annotations, defaults={"serum": "FBS"})
+    return attach(wide, classify_experiments(annotations, k, max_signatures), ["date"])
+
+
 def _merge(signatures: Sequence[str], k: int) -> list[int]:
     """Class of each layer set. Sets come in order of their first date, which also settles ties."""
     sets = [frozenset(s.split(",")) for s in signatures]

@@ -124,14 +124,20 @@ def comment_lines(texts: DataFrame, version: int = 2) -> DataFrame:
         workbook_date("path", version).alias("date"), F.posexplode(_lines("content")).alias("line_no", "text"))
 
 
-def detail_pairs(texts: DataFrame, version: int = 2, n: int = 8) -> DataFrame:
-    """(date, key, value, pos) of the first n lines of every details sheet."""
+def detail_pairs(texts: DataFrame, version: int = 2, n: int = 8, skip: int = 1) -> DataFrame:
+    """(date, key, value, pos) of the first n rows of every details sheet, `skip` title lines left out."""
     details = texts.where(sheet_from_path("path") == "Details")
     lines = details.select(
-        workbook_date("path", version).alias("date"), F.posexplode(_lines("content")).alias("pos", "_line"))
-    cells = _cells(F.col("_line"))
-    return lines.where(F.col("pos") < n).select(
-        "date", F.try_element_at(cells, F.lit(1)).alias("key"), F.try_element_at(cells, F.lit(2)).alias("value"), "pos")
+        workbook_date("path", version).alias("date"), F.posexplode(_lines("content")).alias("_no", "_line"))
+    cells, pos = _cells(F.col("_line")), F.col("_no") - skip + 1
+    return lines.where(pos.between(1, n)).select(
+        "date", F.try_element_at(cells, F.lit(1)).alias("key"), F.try_element_at(cells, F.lit(2)).alias("value"),
+        pos.alias("pos"))
+
+
+def date_from_details(pairs: DataFrame, pos: int = 8) -> DataFrame:
+    """(date, recorded): the recording date that the details give, blanks and dashes removed."""
+    return pairs.where(F.col("pos") == pos).select("date", F.regexp_replace("value", "[ -]", "").alias("recorded"))
 
 
 def details_wide(details: DataFrame, names: Sequence[str] | Mapping[str, str]) -> DataFrame:

@@ -26,7 +26,7 @@ def rawdata(tmp_path_factory):
     put("RUN_140419_MFT_1.xls/Z 4000 Hz.csv", "Time (hrs),A1 Z,H12 Z\n0.0,10,20\n0.1,11,\n")
     put("RUN_140419_MFT_1.xls/C 64000 Hz.csv", "Time (hrs),B2 C\n0.0,1e-9\n")
     put("RUN_140419_MFT_1.xls/Comments.csv", "<New Experiment>\n<Mark> Time: 30.5\nx\nStarv\nnoise\n<Mark> Time: 46\n\nGF added\n")
-    put("RUN_140419_MFT_1.xls/Details.csv", "".join(f"key{i},value {i}\n" for i in range(12)))
+    put("RUN_140419_MFT_1.xls/Details.csv", "title,\n" + "".join(f"key{i},value {i}\n" for i in range(1, 12)))
     head = [f"preamble {i}" for i in range(19)]
     head += ["Time (hrs), Rb (ohm.cm^2), Alpha", "Well, A1, A1", "", ""]
     put("RUN_140419_MFT_1_RbA.csv", "\n".join(head + ["0.5, 1.5, 2.5", "1.0, 3.5, 4.5"]) + "\n")
@@ -49,7 +49,7 @@ def test_ingest_real_files(spark, rawdata):
         ("140419", "B2", "C", 64000, 0.0, 1e-9),
         ("140419", "H12", "Z", 4000, 0.0, 20.0), ("140419", "H12", "Z", 4000, 0.1, None)]
     assert rows(out["marks"]) == [("140419", 30.5, "Starv"), ("140419", 46.0, "GF added")]
-    assert len(rows(out["details"])) == 8 and rows(out["details"])[7] == ("140419", "key7", "value 7")
+    assert len(rows(out["details"])) == 8 and rows(out["details"])[7] == ("140419", "key8", "value 8")
     assert rows(out["modelled"]) == [
         ("140419", "A1", "Alpha", 0.5, 2.5), ("140419", "A1", "Alpha", 1.0, 4.5),
         ("140419", "A1", "Rb (ohm.cm^2)", 0.5, 1.5), ("140419", "A1", "Rb (ohm.cm^2)", 1.0, 3.5)]
