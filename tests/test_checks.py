@@ -25,7 +25,8 @@ def test_every_query_has_sql():
 def test_entry(spark):
     import __spark_entry__ as e
     assert e.entry(spark).count() > 0
-    assert set(e.queries()) == set(e.oracle_sql()) == set(QUERIES)
+    assert set(e.queries()) >= set(QUERIES)
+    assert set(e.oracle_sql()) >= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
