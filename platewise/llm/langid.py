@@ -57,11 +57,15 @@ class Model:
         self.langs = sorted(counts)
         n_langs = len(self.langs)
         self.child, self.cost, self.escape = [], [], []
-        known = np.zeros(1, np.uint32)  # nodes of the level before, by code; place 0 stands for none
+        levels = {ORDER + 1: np.zeros(0, np.uint32)}
+        for k in range(ORDER, 0, -1):  # with a gram, the context and the shorter gram in it
+            longer = levels[k + 1]
+            levels[k] = np.unique(np.concatenate([*(counts[x][k - 1][0] for x in self.langs), longer >> 8,
+                                                  longer & np.uint32(256 ** k - 1) if k < ORDER else longer]))
+        levels[1] = np.arange(256, dtype=np.uint32)
+        known = None
         for k in range(1, ORDER + 1):
-            codes = np.unique(np.concatenate([counts[x][k - 1][0] for x in self.langs]))
-            if k == 1:
-                codes = np.arange(256, dtype=np.uint32)
+            codes = levels[k]
             contexts = (codes >> 8).astype(np.uint32)
             parent = np.zeros(len(codes), np.int64) if k == 1 else np.searchsorted(known, contexts) + 1
             n_parents = 1 if k == 1 else len(known) + 1

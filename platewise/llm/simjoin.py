@@ -453,7 +453,7 @@ def labelled(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     over = (more.join(roots.withColumnsRenamed({"c": "a", "root": "a2"}), "a", "left")
             .join(roots.withColumnsRenamed({"c": "b", "root": "b2"}), "b", "left")
             .select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b")))
-    upper = components(over, scratch, "tree").withColumnsRenamed({"c": "root", "root": "top"})
+    upper = components(over, scratch, "tree").select(F.col("c").alias("root"), F.col("root").alias("top"))
     final = (classes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")).join(upper, "root", "left")
              .select("c", "id", F.coalesce("top", "root").alias("root")))
     final = scratch.keep(final, "final")

@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ def loaded(content: bytes, kind: str) -> Tokenizer:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of about `most` bytes of text, so that what Python makes of them stays small."""
-    lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+    lengths = pc.binary_length(batch.column(column)).to_pylist()
     start = size = 0
     for i, n in enumerate(lengths):
         size += n or 0
