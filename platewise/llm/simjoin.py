@@ -9,11 +9,11 @@ set form a class, and all further work is on classes:
    empty for both agree too; they are sent only by sets with at most H others, which is when they could be needed. Classes
    with an equal part form a bucket. No pair is lost, and a passage that many texts share does not fill a bucket by itself,
    since all that a text has in a part must be equal.
-2. *Leaders.* In each bucket every class is compared with the least one, which is linear in the bucket; verified links
-   join dense groups of near copies into components at once.
-3. *Signature trees.* Only pairs of different components are left. Buckets that still hold several components get a tree
-   over their members (large ones one per pair of blocks), whose nodes hold OR-combined bitmaps of hashed shingles and size
-   ranges. A dual traversal drops node pairs whose sizes cannot go together or whose largest possible overlap is too
+2. *Leaders.* A bucket's leader is its least class. Every class is compared with the leader it shares most buckets with,
+   which is linear; verified links join dense groups of near copies into components at once.
+3. *Signature trees.* Only pairs of different components are left. All classes that share a leader form a group, so all
+   that share a bucket are in one. Groups that still hold several components get a tree over their members (large ones one
+   per pair of blocks), whose nodes hold OR-combined bitmaps of hashed shingles and size ranges. A dual traversal drops node pairs whose sizes cannot go together or whose largest possible overlap is too
    small, and single pairs likewise; what remains is verified on the full sets.
 4. *Components* by contraction, in tables.
 """
@@ -234,11 +234,13 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataF
     plain = docs.select(F.col(id).alias("id"), text_of(text).alias("text"))
 
     def run(batches):
+        done = set()  # rows of an id come to one task, or are repeated, which does no harm
         for batch in batches:
             for part in slices(batch, "text"):
                 for c, t in zip(part.column("c").to_pylist(), part.column("text").to_pylist(), strict=True):
                     s = shingles(t)
-                    if class_of(s)[0] == c:  # an id may come with several texts
+                    if c not in done and class_of(s)[0] == c:  # an id may come with several texts, or more than once
+                        done.add(c)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([c], pa.int64()), pa.array([len(s)], pa.int64()),
                              pa.array([s.tobytes()], pa.binary()), pa.array([_bitmap(s)], pa.binary())],
@@ -352,7 +354,8 @@ def tree_pairs(x: SignatureTree, y: SignatureTree, percent: int) -> Iterator[tup
 
 
 def across(members: DataFrame, percent: int, block: int = 1024) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and may link; members: bucket, c, n, bitmap, comp.
+    """Pairs (a, b) of different components that share a bucket and may link; members: bucket, c, n, bitmap, comp and
+    buckets (all that c is in, sorted). A pair comes from the least bucket that it shares, and only once.
 
     A bucket of more than `block` members is cut into blocks by hash, and every pair of blocks is a group of its own, so
     that no task holds a bucket of any size.
@@ -362,11 +365,12 @@ def across(members: DataFrame, percent: int, block: int = 1024) -> DataFrame:
     rows = (members.join(many, "bucket").withColumn("mine", mine)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "c", "n",
-                    "bitmap", "comp"))
+                    "bitmap", "comp", "buckets"))
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def of_group(group) -> Iterator[pa.RecordBatch]:
-        _, i, j, mine, c, n, bitmap, comp = zip(*group, strict=True)
+        bucket, i, j, mine, c, n, bitmap, comp, others = zip(*group, strict=True)
+        others = [set(x) for x in others]
         n, comp, mine = np.array(n, np.int64), np.array(comp, np.int64), np.array(mine)
         width = min(len(b) for b in bitmap)
         bits = np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, width // 8)) for b in bitmap])
@@ -377,7 +381,8 @@ def across(members: DataFrame, percent: int, block: int = 1024) -> DataFrame:
             right = left if i[0] == j[0] else SignatureTree(n, bits, comp, y)
             names = np.array(c, np.int64)
             for p, q in tree_pairs(left, right, percent):
-                a, b = names[p], names[q]
+                here = [min(others[x] & others[y]) == bucket[0] for x, y in zip(p.tolist(), q.tolist(), strict=True)]
+                a, b = names[p[here]], names[q[here]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches):
@@ -437,14 +442,18 @@ def labelled(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     names = classes.withColumn("alias", F.col("c").bitwiseAND(F.lit(ALIAS)))
     members = scratch.keep(met.join(one, "bucket").join(names.select("alias", "c"), "alias").select("bucket", "c"), "members")
     wanted = scratch.keep(members.select("c").distinct().join(classes, "c").select("c", "id"), "wanted")
-    sets = scratch.keep(stored_sets(docs, wanted, id, text).dropDuplicates(["c"]), "sets")
+    sets = scratch.keep(stored_sets(docs, wanted, id, text), "sets")
     first = scratch.keep(members.groupBy("bucket").agg(F.min("c").alias("a")), "leaders")
-    pairs = members.join(first, "bucket").filter("a != c").select("a", F.col("c").alias("b"))
+    # classes that share a bucket share its leader: a group per leader has each class once, not once per bucket
+    groups = scratch.keep(members.join(first, "bucket").groupBy("a", "c").agg(F.count("*").alias("k")), "groups")
+    # every class meets one leader, that with which it shares most buckets
+    best = F.max_by("a", F.struct("k", -F.col("a").cast("decimal(20,0)")))
+    pairs = groups.filter("a != c").groupBy("c").agg(best.alias("a")).select("a", F.col("c").alias("b"))
     links = linked(pairs, sets, percent, scratch, "leader")
     roots = components(links, scratch, "leader")
-    # buckets that still hold several components
-    known = members.join(roots, "c", "left").select("bucket", "c", F.coalesce("root", "c").alias("comp"))
-    known = scratch.keep(known, "known")
+    # groups that still hold several components
+    known = groups.join(roots, "c", "left").select(F.col("a").alias("bucket"), "c", F.coalesce("root", "c").alias("comp"))
+    known = scratch.keep(known.join(groups.groupBy("c").agg(F.collect_list("a").alias("buckets")), "c"), "known")
     mixed = scratch.keep(known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                          .filter("lo != hi").select("bucket"), "mixed")
     cards = sets.select("c", "n", "bitmap")

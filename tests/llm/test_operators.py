@@ -679,10 +679,10 @@ def test_tree_drops_no_linked_pair():
 def test_large_buckets_are_cut(spark):
     rng = np.random.default_rng(10)
     sets = [np.unique(rng.integers(0, 1 << 63, 20).astype(np.uint64)) for _ in range(30)]
-    rows = [(1, i, 20, bytearray(simjoin._bitmap(sets[i // 2])), i) for i in range(60)]
-    df = spark.createDataFrame(rows, "bucket long, c long, n long, bitmap binary, comp long")
-    got = {tuple(r) for r in simjoin.across(df, 80, block=7).collect()}
-    assert {(2 * i, 2 * i + 1) for i in range(30)} <= got
+    rows = [(k, i, 20, bytearray(simjoin._bitmap(sets[i // 2])), i, [1, 2]) for i in range(60) for k in (1, 2)]
+    df = spark.createDataFrame(rows, "bucket long, c long, n long, bitmap binary, comp long, buckets array<long>")
+    got = [tuple(r) for r in simjoin.across(df, 80, block=7).collect()]
+    assert {(2 * i, 2 * i + 1) for i in range(30)} <= set(got) and len(got) == len(set(got))
 
 
 def test_components(spark):
