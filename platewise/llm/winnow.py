@@ -82,31 +82,33 @@ def compare_with_next(docs: DataFrame, id: str = "doc_id", text: str = "text", g
     """`id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next` per row of `docs`.
 
     The edited text has its last third (in code points, rounded down) replaced by as many first code points of the next
-    document, by descending id, the first after the last; a null id comes last; rows that differ in text only are
+    document, by descending id, the first after the last; a null id (and the least of all longs, taken for it) comes last; rows that differ in text only are
     ordered by a hash of it, and rows alike in id and text count as one there and repeat in the result. Null text
     is empty. A single document is its own next one. An empty table gives no rows.
 
-    Texts go through one shuffle, with their fingerprints, and both uses of it share it; from each document only the
-    third that its neighbour needs, and its fingerprint, are sent on.
+    Texts go through one shuffle that both uses of it share; from each document only the third that its neighbour needs,
+    and the hashes of its fingerprint, are sent on.
     """
     a = F.coalesce(F.col(id).cast("long"), F.lit(-1 << 63))
     plain = docs.select(F.col(id).alias("id"), a.alias("a"), text_of(text).alias("text")).withColumn(
         "h", F.xxhash64("text", F.col("id").isNull()))
     keys = plain.select("a", "h", F.char_length("text").cast("long").alias("n")).distinct()
     order = Scratch(docs.sparkSession, "neighbours").keep(in_order(keys), "order")
-    base = plain.withColumn("fp", fingerprint("text", gram, window)).groupBy("a", "h").agg(
-        F.any_value(F.struct("id", "text", "fp")).alias("v"), F.count("*").alias("m"))
-    heads = base.join(order, ["a", "h"]).select(
-        F.col("prev_a").alias("a"), F.col("prev_h").alias("h"),
-        F.substring("v.text", F.lit(1), F.floor(F.col("prev_n") / 3).cast("int")).alias("head"), F.col("v.fp").alias("next_fp"))
-    both = base.join(heads, ["a", "h"])
-    n = F.char_length("v.text")
-    edited = F.concat(F.substring("v.text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head"))
-    out = both.select(F.col("v.id").alias("id"), n.cast("long").alias("n_chars"), edited.alias("edited"),
-                      F.col("v.fp").alias("fp"), "next_fp", "m")
-    out = out.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp",
-                     fingerprint("edited", gram, window).alias("edited_fp"), "next_fp", "m")
-    out = out.select(F.col("id").alias(id), "n_chars", "edited_sha256", shown("fp").alias("fingerprint"),
-                     shown("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"),
-                     likeness("fp", "next_fp").alias("near_next"), "m")
+    # alike for both uses, so that they share one shuffle; fingerprints are made after it, which moves less
+    base = plain.select("a", "h", "text").groupBy("a", "h").agg(
+        F.any_value("text").alias("text"), F.count("*").alias("m")).filter("m > 0")
+    hashes = F.expr(f"transform(fp, x -> cast(shiftright(x, {PLACES}) - {1 << 31}L as int))")  # half the bytes of entries
+    heads = (base.join(order, ["a", "h"]).withColumn("fp", fingerprint("text", gram, window))
+             .select(F.col("prev_a").alias("a"), F.col("prev_h").alias("h"), hashes.alias("next_hashes"),
+                     F.substring("text", F.lit(1), F.floor(F.col("prev_n") / 3).cast("int")).alias("head")))
+    n = F.char_length("text")
+    edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head"))
+    out = base.join(heads, ["a", "h"]).select("a", "text", n.cast("long").alias("n_chars"), edited.alias("edited"),
+                                              "next_hashes", "m")
+    out = out.select("a", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                     fingerprint("text", gram, window).alias("fp"), fingerprint("edited", gram, window).alias("edited_fp"),
+                     F.expr(f"transform(next_hashes, x -> shiftleft(x + {1 << 31}L, {PLACES}))").alias("next_fp"), "m")
+    out = out.select(F.nullif(F.col("a"), F.lit(-1 << 63)).alias(id), "n_chars", "edited_sha256",
+                     shown("fp").alias("fingerprint"), shown("edited_fp").alias("edited_fingerprint"),
+                     likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), "m")
     return out.withColumn("m", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))).drop("m")
