@@ -79,6 +79,9 @@ def head_base(src: str, by: str, n: int = 3, desc: bool = False, t: str = "t", n
 
 # --- after release ------------------------------------------------------------------------------------
 
+# The class of experiments that silencing figures are about.
+_SILENCING = "date in (select date from annotations where value = 'siCD44')"
+
 _AFTER = """r0 as (select *, time_h - min(time_h) over (partition by date) as t from rel where {where}),
 s as (select * exclude (dose), ceil(dose) as dose from r0 where t <= 36 and (dose = 0 or dose > 1000) and date <> 'exp9')"""
 
@@ -165,7 +168,7 @@ def horizon(src: str, name: str = "hz") -> str:
   select time_bin from {src} group by time_bin having count(distinct date) >= 2)))"""
 
 
-@check("q6_sirna_summary", f"""with r0 as (select *, time_h - min(time_h) over (partition by date) as t from rel),
+@check("q6_sirna_summary", f"""with r0 as (select *, time_h - min(time_h) over (partition by date) as t from rel where {_SILENCING}),
 {bins('r0', 'date', 't', 'ordinal')},
 k as (select * from binned where time_bin is not null and value is not null), {horizon('k')},
 m as (select date, gf, conc, param, freq, treatment, time_bin, avg(value) as value from hz group by all),
@@ -219,7 +222,7 @@ def q9(spark, sf):
     return r6(figures.barrier_resistance(X.modelled(spark, sf), X.annotations(spark, sf), X.marks(spark, sf)))
 
 
-@check("q9_barrier_resistance_v1", f"""with st as (select date, min(time_h) as h from rel group by date),
+@check("q9_barrier_resistance_v1", f"""with st as (select date, min(time_h) as h from rel where {_SILENCING} group by date),
 src as (select m.*, m.time_h - st.h as t, a.* exclude (date, well) from modelled m join ann a on m.date = a.date and m.well = a.well
   join st on st.date = m.date), {bins('src', 'date', 't', 'label')},
 k as (select panel, b.* exclude (treatment), case when treatment <> 'UT' then {_LEVEL} end as treatment
@@ -354,7 +357,7 @@ _SPECTRUM = "(select 'VEGF' as panel, unnest(['VEGF', 'FBS_5']) as gf union all
 
 
 def _spectrum(name: str, how: str, expr: str):
-    @check(name, f"""with r0 as (select *, time_h - min(time_h) over (partition by date) as t from rel),
+    @check(name, f"""with r0 as (select *, time_h - min(time_h) over (partition by date) as t from rel where {_SILENCING}),
 {bins('r0', 'date', 't', 'ordinal')}, {head_base('binned', 'date, well, param, freq', 1)},
 p as (select panel, b.*, {expr} as x from binned b join hb using (date, well, param, freq) join {_SPECTRUM} on pn.gf = b.gf
   where time_bin is not null)
@@ -369,7 +372,7 @@ _spectrum("q14_frequency_spectrum_change", "sub_first", "value - base")
 
 
 def _early(name: str, subtract: bool, expr: str):
-    @check(name, f"""with r0 as (select *, time_h - min(time_h) over (partition by date) as t from rel),
+    @check(name, f"""with r0 as (select *, time_h - min(time_h) over (partition by date) as t from rel where {_SILENCING}),
 {bins('r0', 'date', 't', 'ordinal')}, k as (select * from binned where time_bin is not null and value is not null),
 {horizon('k')}, {head_base('hz', 'date, well, param, freq')},
 p as (select panel, b.*, {expr} as x from hz b join hb using (date, well, param, freq) join

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.schema import LAYERS, WELL
@@ -40,12 +40,13 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "left", null_safe
 
 
 def widen_annotations(annotations: DataFrame, layers: Mapping[str, str] | None = None,
-                      defaults: Mapping[str, str] | None = None) -> DataFrame:
-    """One row per (date, well), one column per layer; `defaults` fill missing layers."""
+                      defaults: Mapping[str, str] | None = None, names: str | None = None) -> DataFrame:
+    """One row per (date, well), one column per named layer; `defaults` fill missing layers. The column `names`, if
+    asked for, lists all layers that the well has, named in `layers` or not."""
     layers = dict(layers or LAYERS)
     wide = annotations.groupBy(*WELL).agg(*[
         F.max(F.when(F.col("layer") == layer, F.col("value"))).alias(name) for layer, name in layers.items()
-    ])
+    ], *([F.collect_set(F.when(F.col("value").isNotNull(), F.col("layer"))).alias(names)] if names else []))
     return wide.na.fill(dict(defaults)) if defaults else wide
 
 
@@ -114,7 +115,3 @@ def assign_ranges(df: DataFrame, ranges: DataFrame, by: Sequence[str], value: st
     """
     hit = (F.col("lo") < F.col(value)) & (F.col(value) <= F.col("hi"))
     return df.join(ranges, list(by)).where(hit).drop("lo", "hi")
-
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -25,12 +25,17 @@ def cell_mean(na_rm: bool = True) -> Column:
 
 
 def cells_mean_se(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """y, y_min, y_max as `mean_se` gives them for the values, finished from hourly cells with m2."""
-    n, total = F.sum("n"), F.sum("total")
-    squares = F.sum(F.col("m2") + F.try_divide(F.col("total") * F.col("total"), F.col("n")))
-    y = F.try_divide(total, n)
-    var = F.greatest(F.try_divide(squares - total * y, n - 1), F.lit(0.0))
-    out = cells.where(F.col("n") > 0).groupBy(*keys).agg(y.alias("y"), F.sqrt(F.when(n > 1, var / n)).alias("_se"))
+    """y, y_min, y_max as `mean_se` gives them for the values, finished from hourly cells with m2.
+
+    Deviations of cell means are taken from the group's mean, found first: sums of squares less the square of a
+    sum would cancel where values are large and close together.
+    """
+    used = cells.where(F.col("n") > 0).withColumn("_mean", F.col("total") / F.col("n"))
+    means = used.groupBy(*keys).agg(F.try_divide(F.sum("total"), F.sum("n")).alias("y"))
+    off = F.col("_mean") - F.col("y")
+    n, m2 = F.sum("n"), F.sum(F.col("m2") + F.col("n") * off * off)
+    out = attach(used, means, list(keys), null_safe=True).groupBy(*keys).agg(
+        F.first("y").alias("y"), F.sqrt(F.when(n > 1, F.try_divide(F.try_divide(m2, n - 1), n))).alias("_se"))
     return out.withColumn("y_min", F.col("y") - F.col("_se")).withColumn("y_max", F.col("y") + F.col("_se")).drop("_se")
 
 
@@ -63,10 +68,6 @@ def mean_sd(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFra
     return df.groupBy(*keys).agg(y.alias("y"), (y - sd).alias("y_min"), (y + sd).alias("y_max"))
 
 
-def envelope(df: DataFrame, mean: str = "mean", spread: str = "sd") -> DataFrame:
-    """Error-bar ends around an existing summary."""
-    return df.withColumn("y_min", F.col(mean) - F.col(spread)).withColumn("y_max", F.col(mean) + F.col(spread))
-
 
 def experiment_counts(df: DataFrame, keys: Sequence[str], over: str = "date") -> DataFrame:
     return df.groupBy(*keys).agg(F.count_distinct(over).alias("n_experiments"))

@@ -27,12 +27,15 @@ from platewise.operators.recode import (
 from platewise.operators.rows import edge_rows
 from platewise.operators.summary import cell_mean, cells_mean_se, histogram, mean_by, mean_se, summarise_experiments
 from platewise.operators.timeline import (
-    align_right, bin_of, clip_time, common_length, hour_bins, hour_breaks, hourly_cells, marks_wide, rebase_to,
+    align_right, clip_time, common_length, hour_bins, hour_breaks, hourly_cells, marks_wide, rebase_to,
     rebase_to_mark, release_time, replicated_horizon, segment_by_cuts, start_times,
 )
-from platewise.schema import MODEL_SERIES, SERIES, WELL
+from platewise.schema import LAYERS, MODEL_SERIES, SERIES, WELL
 from platewise.session import materialise
 
+# Fixed value: the treatment that marks an experiment as a silencing one.
+SILENCER = "siCD44"
+
 # Growth factors shown together in one panel.
 SIRNA_PANELS = {"VEGF": ("VEGF", "FBS_5"), "FGF2": ("bFGF", "FBS_5")}
 SPECTRUM_PANELS = {"VEGF": ("VEGF", "FBS_5"), "bFGF": ("bFGF", "FBS_5"), "GDF-2": ("GDF-2", "FBS_5"),
@@ -43,17 +46,23 @@ EARLY_PANELS = {"VEGF": ("VEGF", "FBS_5"), "bFGF": ("bFGF", "FBS_5"), "FBS": ("F
 # --- shared steps -----------------------------------------------------------------------------------
 
 def wide_annotations(annotations: DataFrame, defaults: Mapping[str, str] | None = None) -> DataFrame:
-    """Wide annotations with numeric `conc` and `dose`, and `full`: whether every layer is present."""
-    wide = widen_annotations(annotations, defaults=defaults)
-    layers = [c for c in wide.columns if c not in WELL]
-    full = F.lit(True)
-    for c in layers:
-        full = full & F.col(c).isNotNull()
-    return numeric_annotations(wide.withColumn("full", full))
-
+    """Wide annotations with numeric `conc` and `dose`, and `full`: whether the well has every layer that any of the
+    given experiments has (whatever its name; layers with a default count as there).
 
-def plates(annotations: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Wide annotations and the marks of each date in one row: written once, read by every later step."""
+    So the caller restricts to its experiments first. The layers are counted by a small job.
+    """
+    wide = widen_annotations(annotations, defaults=defaults, names="layers")
+    filled = [layer for layer, name in LAYERS.items() if name in (defaults or {})]
+    total = annotations.where("value is not null").select("layer").where(~F.col("layer").isin(filled)).distinct().count()
+    own = F.size(F.array_except("layers", F.array(*[F.lit(x) for x in filled]).cast("array<string>")))
+    return numeric_annotations(wide.withColumn("full", own == F.lit(total)).drop("layers"))
+
+
+def plates(annotations: DataFrame, marks: DataFrame, carrier: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Wide annotations and the marks of each date in one row: written once, read by every later step. With `carrier`,
+    only experiments that carry that annotation value: their class."""
+    if carrier is not None:
+        annotations = keep_dates(annotations, dates_with(annotations, carrier))
     wide = materialise(wide_annotations(annotations, {"serum": "FBS"}), "wide")
     return wide, materialise(marks_wide(marks), "cuts")
 
@@ -75,12 +84,12 @@ def keep_wells(df: DataFrame, wells: DataFrame) -> DataFrame:
 
 
 def release_rows(readings: DataFrame, annotations: DataFrame, marks: DataFrame, density: str | None = "5000",
-                 serum: str | None = None, **wanted) -> tuple[DataFrame, DataFrame]:
+                 serum: str | None = None, carrier: str | None = None, **wanted) -> tuple[DataFrame, DataFrame]:
     """(readings after release, by time from their experiment's first one; the annotated wells they belong to).
 
     The readings are not yet limited to those wells: joining cells with the wells does that.
     """
-    wide, cuts = plates(annotations, marks)
+    wide, cuts = plates(annotations, marks, carrier)
     wells = select_readings(wide, celldensity=density, serum=serum)
     rows = phase_rows(readings, cuts, **wanted)
     return rebase_to(rows, starts_of(rows, wells)), wells
@@ -144,7 +153,7 @@ def pre_release_summary(readings: DataFrame, annotations: DataFrame, marks: Data
                         ind: float = 25, param=None, freq=None, min_dose: float = 1000, first_bin: int = -40,
                         max_time: float = 73, exclude: Sequence[str] = ()) -> DataFrame:
     """Hours before release, relative to the last three readings, over the experiments of one pair."""
-    wide, cuts = plates(annotations, marks)
+    wide, cuts = plates(annotations, marks, carrier)
     wells = select_readings(wide, celldensity="5000")
     # The pair's experiments: those with a treated well that has readings after release.
     after = phase_rows(exclude_dates(readings, exclude), cuts, param=param, freq=freq)
@@ -216,9 +225,10 @@ def before_release_summary(readings: DataFrame, annotations: DataFrame, marks: D
 
 # --- gene silencing ---------------------------------------------------------------------------------
 
-def sirna_hourly(readings: DataFrame, annotations: DataFrame, marks: DataFrame, **wanted) -> DataFrame:
-    """Hourly experiment means after release, up to the last hour two experiments share."""
-    rows, wells = release_rows(readings, annotations, marks, **wanted)
+def sirna_hourly(readings: DataFrame, annotations: DataFrame, marks: DataFrame, carrier: str | None = SILENCER,
+                 **wanted) -> DataFrame:
+    """Hourly means of silencing experiments after release, up to the last hour two experiments share."""
+    rows, wells = release_rows(readings, annotations, marks, carrier=carrier, **wanted)
     keys = ["date", "gf", "conc", "param", "freq", "treatment"]
     cells = annotate(hourly_cells(rows, SERIES), wells.select(*WELL, "gf", "conc", "treatment", "full"))
     cells = materialise(cells, "cells")
@@ -235,7 +245,7 @@ def sirna_summary(readings: DataFrame, annotations: DataFrame, marks: DataFrame,
 
 
 def sirna_cells(values: DataFrame, annotations: DataFrame, marks: DataFrame, series: Sequence[str] = SERIES,
-                carrier: str = "siCD44", mark_label: str = "GF", **wanted) -> DataFrame:
+                carrier: str = SILENCER, mark_label: str = "GF", **wanted) -> DataFrame:
     """Hourly cells of silencing experiments, binned by hours from release, annotated, complete rows only.
 
     Only the wanted parameters and frequencies are reduced to cells; the hours that make the bins are those of
@@ -254,6 +264,11 @@ def sirna_cells(values: DataFrame, annotations: DataFrame, marks: DataFrame, ser
     return relevel(recode(kept, "treatment", TREATMENT_RENAMES), "treatment", SIRNA_LEVELS)
 
 
+def is_param(name: str):
+    """Whether a row is of a modelled parameter; exports of the second kind put the unit after its name."""
+    return (F.col("param") == name) | F.startswith("param", F.lit(f"{name} ("))
+
+
 # The three comparisons of the silencing figure.
 SIRNA_SETS = {"VEGF": "growth factor", "FGF2": "growth factor", "5% FBS": "FBS", "20% FBS": "FBS", "GDF-2": "GDF-2"}
 
@@ -287,20 +302,20 @@ def barrier_resistance(modelled: DataFrame, annotations: DataFrame, marks: DataF
     cells = sirna_cells(modelled, annotations, marks, MODEL_SERIES)
     means = materialise(replicated_series(cells, ["gf", "conc"]).groupBy(
         "date", "param", "gf", "conc", "treatment", "time_bin").agg(cell_mean().alias("value")), "means")
-    kept = replicated_horizon(means).where(F.col("param") == param)
+    kept = replicated_horizon(means).where(is_param(param))
     return mean_se(with_panels(kept, SIRNA_PANELS), ["panel", "treatment", "conc", "time_bin"])
 
 
 def barrier_resistance_v1(modelled: DataFrame, readings: DataFrame, annotations: DataFrame, marks: DataFrame,
-                          param: str = "Rb") -> DataFrame:
+                          param: str = "Rb", carrier: str | None = SILENCER) -> DataFrame:
     """Barrier resistance around the first reading after release: single values for VEGF, experiment means
     for FGF2."""
-    wide, cuts = plates(annotations, marks)
+    wide, cuts = plates(annotations, marks, carrier)
     dense = select_readings(wide, celldensity="5000")
     rows = rebase_to(modelled, starts_of(phase_rows(readings, cuts), dense))
     cells = materialise(annotate(hourly_cells(rows, MODEL_SERIES, spread=True), wide), "cells")
     binned = hour_bins(cells, ["date"], out="label", hour="hour", on_break="on_break")
-    kept = binned.where("full and time_bin is not null and n > 0").where(F.col("param") == param)
+    kept = binned.where("full and time_bin is not null and n > 0").where(is_param(param))
     kept = relevel(recode(kept, "treatment", TREATMENT_RENAMES), "treatment", SIRNA_LEVELS_NO_UT)
     panelled = with_panels(kept, SIRNA_PANELS)
     keys = ["panel", "treatment", "conc", "time_bin"]
@@ -413,9 +428,10 @@ def dose_response(hourly: DataFrame, gfs: Sequence[str], pools: Mapping[float, S
 
 
 def frequency_spectrum(readings: DataFrame, annotations: DataFrame, marks: DataFrame, how: str = "div_first",
-                       panels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """All frequencies side by side: wells relative to their first value after release, by treatment and dose."""
-    rows, wells = release_rows(readings, annotations, marks)
+                       panels: Mapping[str, Sequence[str]] | None = None, carrier: str | None = SILENCER) -> DataFrame:
+    """All frequencies of silencing experiments side by side: wells relative to their first value after release, by
+    treatment and dose."""
+    rows, wells = release_rows(readings, annotations, marks, carrier=carrier)
     cells = hourly_cells(rows, SERIES, spread=True)
     cells = materialise(annotate(cells, wells.select(*WELL, "gf", "conc", "treatment")), "cells")
     binned = hour_bins(cells, ["date"], hour="hour", on_break="on_break").where("time_bin is not null")
@@ -426,9 +442,9 @@ def frequency_spectrum(readings: DataFrame, annotations: DataFrame, marks: DataF
 
 
 def early_sirna(readings: DataFrame, annotations: DataFrame, marks: DataFrame, subtract_head: bool = True,
-                panels: Mapping[str, Sequence[str]] | None = None, n: int = 3) -> DataFrame:
+                panels: Mapping[str, Sequence[str]] | None = None, n: int = 3, carrier: str | None = SILENCER) -> DataFrame:
     """Silencing experiments after release, wells against the mean of their first three values (or raw)."""
-    rows, wells = release_rows(readings, annotations, marks)
+    rows, wells = release_rows(readings, annotations, marks, carrier=carrier)
     cells = hourly_cells(rows, SERIES, spread=True)
     cells = materialise(annotate(cells, wells.select(*WELL, "gf", "conc", "treatment", "full")), "cells")
     binned = hour_bins(cells, ["date"], hour="hour", on_break="on_break")

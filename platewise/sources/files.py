@@ -52,7 +52,9 @@ def _lines(content: Column | str) -> Column:
 
 
 def _cells(line: Column) -> Column:
-    return F.transform(F.split(line, ","), lambda x: F.trim(F.regexp_replace(x, '^\\s*"|"\\s*$', "")))
+    """Cells of a line; a comma between double quotes does not end one."""
+    parts = F.when(F.contains(line, F.lit('"')), F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')).otherwise(F.split(line, ","))
+    return F.transform(parts, lambda x: F.trim(F.regexp_replace(x, '^\\s*"|"\\s*$', "")))
 
 
 # --- wide sheets ------------------------------------------------------------------------------------
@@ -110,18 +112,20 @@ def readings_from_sheets(texts: DataFrame, version: int = 2) -> DataFrame:
 
 def parse_marks(comments: DataFrame) -> DataFrame:
     """Marks among numbered comment lines (date, line_no, text): the time stands in the mark's own line after
-    ': ', its label two lines below. A date's comments are few; lines are looked up by number."""
+    ': ', its label two lines below. A workbook's comments are few; lines are looked up by number, inside their file
+    where there is a `path`, since a date may have several workbooks."""
+    keys = [c for c in ("path", "date") if c in comments.columns]
     marks = comments.where(F.col("text").contains("<Mark>")).select(
-        "date", F.col("line_no").alias("_at"), to_number(F.element_at(F.split("text", ": "), 2)).alias("time_h"))
-    labels = comments.select("date", (F.col("line_no") - 2).alias("_at"), F.col("text").alias("label"))
-    return marks.join(labels, ["date", "_at"], "left").select("date", "time_h", "label")
+        *keys, F.col("line_no").alias("_at"), to_number(F.element_at(F.split("text", ": "), 2)).alias("time_h"))
+    labels = comments.select(*keys, (F.col("line_no") - 2).alias("_at"), F.col("text").alias("label"))
+    return marks.join(labels, [*keys, "_at"], "left").select("date", "time_h", "label")
 
 
 def comment_lines(texts: DataFrame, version: int = 2) -> DataFrame:
     """Comment sheet CSVs to numbered lines."""
     comments = texts.where(sheet_from_path("path") == "Comments")
     return comments.select(
-        workbook_date("path", version).alias("date"), F.posexplode(_lines("content")).alias("line_no", "text"))
+        "path", workbook_date("path", version).alias("date"), F.posexplode(_lines("content")).alias("line_no", "text"))
 
 
 def detail_pairs(texts: DataFrame, version: int = 2, n: int = 8, skip: int = 1) -> DataFrame:
@@ -229,7 +233,8 @@ def read_modelled_v2(texts: DataFrame) -> DataFrame:
 def ingest(texts: DataFrame, version: int = 2) -> dict[str, DataFrame]:
     """All tables from one set of (path, content) rows, by file kind."""
     kind = input_kind("path", version)
-    sheets = texts.where(F.col("path").rlike("\\.xls[x]?/[^/]+\\.csv$"))
+    workbook = F.regexp_extract("path", "^(.+\\.xlsx?)/[^/]+\\.csv$", 1)
+    sheets = texts.where(input_kind(workbook, version) == "measurement")
     modelled = texts.where(kind == "modelled")
     return {
         "readings": readings_from_sheets(sheets, version),

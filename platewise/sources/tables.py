@@ -31,11 +31,6 @@ def write_table(df: DataFrame, path: str, mode: str = "append", partition_by: Se
         writer.mode(mode).parquet(path)
 
 
-def save_table(df: DataFrame, name: str, mode: str = "append", partition_by: Sequence[str] = ("date",)) -> None:
-    """The same through the catalog."""
-    by = [c for c in partition_by if c in df.columns]
-    df.write.mode(mode).partitionBy(*by).saveAsTable(name)
-
 
 def read_table(spark: SparkSession, name: str, schema=None) -> DataFrame:
     """A table by path or catalog name. Partition values are read as the text they were written as."""
