@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -23,7 +24,7 @@ INDEX_SQL = ("url_key string, captured string, page_id long, url string, record_
 
 def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", html: str = "html",
                    captured: Column | None = None, least: int = 1000, archive_bytes: int = 32 << 20) -> None:
-    """Write a WARC 1.1 record per row of `pages` to files of about `archive_bytes` in `folder`.
+    """Write a WARC 1.1 record per row of `pages` to gzip files of about `archive_bytes` (unpacked) in `folder`.
 
     Of the rows with equal payloads of at least `least` bytes, that with the largest id gets a response record (and
     rows that repeat it, id and payload alike); the others get revisit records that refer to it. Null html is an empty
@@ -43,14 +44,15 @@ def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str
     fate = (large.join(copied, "digest").filter(~F.col("id").eqNullSafe(F.col("first")))
             .select(F.coalesce("id", F.lit(-1 << 63)).alias("fate_id"), F.col("digest").alias("fate_digest"), "first")
             .distinct())
-    parts = parts_for(light.agg(F.sum(F.col("size") + 600)).first()[0], archive_bytes)
+    total, n = light.agg(F.sum(F.col("size") + 600), F.count("*")).first()
+    per_file = max(1, archive_bytes * n // max(1, total or 0))  # rows fall to files by hash, so files are of like size
     if captured is None:
         captured = F.timestamp_seconds(F.lit(1577836800) + F.pmod(F.coalesce(F.col(id), F.lit(0)), F.lit(500_000_000)))
     day = F.date_format(F.to_utc_timestamp(captured, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = pages.select(
         F.col(id).cast("long").alias("id"), F.coalesce(F.col(id).cast("long"), F.lit(-1 << 63)).alias("key"),
         F.col(url).alias("url"), text_of(html).alias("html"), digest.alias("digest"), size.alias("size"),
-        day.alias("day")).repartition(parts, "key", "digest")
+        day.alias("day"))
     joined = rows.join(fate, (F.col("key") == F.col("fate_id")) & (F.col("digest") == F.col("fate_digest")), "left")
     end = F.lit("\r\n")
     again = F.col("first").isNotNull()
@@ -72,7 +74,8 @@ def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str
         F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), end,
         F.lit("Content-Type: application/http;msgtype=response\r\nContent-Length: "),
         F.octet_length("block").cast("string"), F.lit("\r\n\r\n"), F.col("block"))
-    joined.select(record.alias("value")).write.mode("error").option("lineSep", "\r\n\r\n").text(folder)
+    (joined.select(record.alias("value")).write.mode("error").option("lineSep", "\r\n\r\n")
+     .option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder))
 
 
 def url_key(url: str | None) -> str:
@@ -113,7 +116,7 @@ def _page(urn: str | None) -> int | None:
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     """The captures in the archives of `folder`; those of one archive come as one run, sorted by key and time.
 
-    Payloads are read back in full: a digest that differs from the one in the header ends the job.
+    Positions are those in the unpacked archive. Payloads are read back in full: a digest that differs from the one in the header ends the job.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
 
@@ -121,7 +124,7 @@ def read_runs(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 rows = []
-                for at, length, head, block in records(memoryview(content.as_buffer())):
+                for at, length, head, block in records(memoryview(gzip.decompress(content.as_buffer()))):
                     raw = bytes(block)
                     cut = raw.index(b"\r\n\r\n") + 4
                     stated = head["WARC-Payload-Digest"].removeprefix("sha1:")
