@@ -118,6 +118,8 @@ def scan(docs: DataFrame, ledger: str, id: str = "doc_id", text: str = "text", r
     order = F.expr("case " + " ".join(f"when kind = '{r[0]}' then {i}" for i, r in enumerate(rules)) + " end")
     per_blob = (book.findings([version_of(r) for r in rules]).withColumn("rank", order).groupBy("blob")
                 .agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "stop"))).alias("all")))
+    # written, so that the join has two plain shuffles and Spark can split a blob that very many rows have
+    per_blob = Scratch(spark, "found").keep(per_blob, "blobs")
     joined = (docs.select(F.col(id).alias("id"), F.sha2(text_of(text), 256).alias("blob"))
               .join(per_blob, "blob", "left")
               .withColumn("all", F.coalesce("all", F.expr("array()").cast(per_blob.schema["all"].dataType))))
@@ -141,6 +143,7 @@ def redact(docs: DataFrame, ledger: str, id: str = "doc_id", text: str = "text",
     book.scan(rows.select("blob", text_of("text").alias("text")), rules)
     per_blob = (book.findings([version_of(r) for r in rules]).groupBy("blob")
                 .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("all")))
+    per_blob = Scratch(spark, "found").keep(per_blob, "blobs")
     # keep the text between the spans: state is (text so far, place up to which it is done)
     new = F.expr(
         "case when all is null then text else aggregate(all, struct('' as t, 0 as p), (a, x) -> "

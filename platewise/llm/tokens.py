@@ -131,7 +131,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id: str = "doc_id"
 
     (missing.select("digest", "text").mapInArrow(encode, "digest string, n_tokens long")
      .withColumn("version", F.lit(version)).write.mode("append").parquet(cache))
-    counts = _stored(spark, cache, version, "n_tokens")
+    # written, so that the join has two plain shuffles and Spark can split a digest that very many rows have
+    counts = Scratch(spark, "token-counts").keep(_stored(spark, cache, version, "n_tokens"), "counts")
     return (keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
             .join(counts, "digest")
             .select(F.col("id").alias(id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
