@@ -229,54 +229,64 @@ def _bitmap(s: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def stored_sets(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
-    """(c, n, hashes, bitmap) of the classes of `wanted` (c, id), from one text each."""
+def stored_texts(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
+    """(c, n, bitmap, text) of the classes of `wanted` (c, id), from one text each, with the other columns of `wanted`.
+    A text takes less room than the hashes of its set, which are made again where they are compared."""
     plain = docs.select(F.col(id).alias("id"), text_of(text).alias("text"))
+    more = [f for f in wanted.schema.fields if f.name not in ("c", "id")]
+    names = ["c", "n", "bitmap", "text", *[f.name for f in more]]
 
     def run(batches):
         done = set()  # rows of an id come to one task, or are repeated, which does no harm
         for batch in batches:
             for part in slices(batch, "text"):
-                for c, t in zip(part.column("c").to_pylist(), part.column("text").to_pylist(), strict=True):
+                at, sizes, bitmaps = [], [], []
+                for i, (c, t) in enumerate(zip(part.column("c").to_pylist(), part.column("text").to_pylist(), strict=True)):
+                    if c in done:
+                        continue
                     s = shingles(t)
-                    if c not in done and class_of(s)[0] == c:  # an id may come with several texts, or more than once
+                    if class_of(s)[0] == c:  # an id may come with several texts, or more than once
                         done.add(c)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([c], pa.int64()), pa.array([len(s)], pa.int64()),
-                             pa.array([s.tobytes()], pa.binary()), pa.array([_bitmap(s)], pa.binary())],
-                            ["c", "n", "hashes", "bitmap"])
+                        at.append(i)
+                        sizes.append(len(s))
+                        bitmaps.append(_bitmap(s))
+                kept = part.take(pa.array(at, pa.int64()))
+                made = {"n": pa.array(sizes, pa.int64()), "bitmap": pa.array(bitmaps, pa.binary())}
+                yield pa.RecordBatch.from_arrays([made[k] if k in made else kept.column(k) for k in names], names)
 
-    named = plain.join(wanted.select("id", "c"), plain["id"].eqNullSafe(wanted["id"])).select("c", "text")
-    return named.mapInArrow(run, "c long, n long, hashes binary, bitmap binary")
+    named = plain.join(wanted, plain["id"].eqNullSafe(wanted["id"])).select("c", "text", *[f.name for f in more])
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in more)
+    return named.mapInArrow(run, f"c long, n long, bitmap binary, text string{kinds}")
 
 
 # ---- pairs -------------------------------------------------------------------------------------------------------
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str, per_leader: int = 500) -> DataFrame:
-    """Those of `pairs` (a, b) whose sets link. Each b's set is sent once per pair, each a's once per `per_leader` pairs."""
+def with_salts(pairs: DataFrame, scratch: Scratch, name: str, per_leader: int = 500) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) with a salt, and the number of salts per a: a's text is sent once per `per_leader` pairs."""
     pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
     salts = scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / per_leader).cast("int").alias("salts")), f"{name}-salts")
-    followers = (pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-                 .join(sets.select(F.col("c").alias("b"), "hashes"), "b").select("a", "salt", "b", "hashes"))
-    leaders = (salts.join(sets.select(F.col("c").alias("a"), "hashes"), "a")
-               .select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-                       F.lit(None).cast("long").alias("b"), "hashes"))
+    salt = F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")
+    return pairs.join(salts, "a").select("a", "b", salt.alias("salt")), salts
+
+
+def linked(followers: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sets link, of followers (a, salt, b, text of b) and leaders (a, salts, text of a)."""
+    first = leaders.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+                           F.lit(None).cast("long").alias("b"), "text")
     # the leader's row first (null b), then its followers, in a stream
-    rows = leaders.unionByName(followers).repartition("a", "salt").sortWithinPartitions(
-        "a", "salt", F.asc_nulls_first("b"))
+    rows = first.unionByName(followers).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def compare(batches):
         whole, leader = None, None
         for batch in batches:
             out = []
-            for a, b, h in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("hashes"),
-                               strict=True):
-                s = np.frombuffer(h.as_buffer(), np.uint64)
+            for a, b, t in zip(*(batch.column(k) for k in ("a", "b", "text")), strict=True):
+                a, b, s = a.as_py(), b.as_py(), shingles(t.as_py())
                 if b is None:
                     leader, whole = a, s
                     continue
                 if leader != a:
-                    raise ValueError("a set is missing")
+                    raise ValueError("a text is missing")
                 small, large = (s, whole) if len(s) < len(whole) else (whole, s)
                 at = np.searchsorted(large, small)
                 common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
@@ -284,7 +294,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, na
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return scratch.keep(rows.select("a", "b", "hashes").mapInArrow(compare, "a long, b long"), f"{name}-links")
+    return rows.select("a", "b", "text").mapInArrow(compare, "a long, b long")
 
 
 class Node:
@@ -441,23 +451,32 @@ def labelled(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     one = scratch.keep(same.groupBy("x", "y", "k").agg(F.min("bucket").alias("bucket")).select("bucket"), "distinct")
     names = classes.withColumn("alias", F.col("c").bitwiseAND(F.lit(ALIAS)))
     members = scratch.keep(met.join(one, "bucket").join(names.select("alias", "c"), "alias").select("bucket", "c"), "members")
-    wanted = scratch.keep(members.select("c").distinct().join(classes, "c").select("c", "id"), "wanted")
-    sets = scratch.keep(stored_sets(docs, wanted, id, text), "sets")
     first = scratch.keep(members.groupBy("bucket").agg(F.min("c").alias("a")), "leaders")
     # classes that share a bucket share its leader: a group per leader has each class once, not once per bucket
     groups = scratch.keep(members.join(first, "bucket").groupBy("a", "c").agg(F.count("*").alias("k")), "groups")
     # every class meets one leader, that with which it shares most buckets
     best = F.max_by("a", F.struct("k", -F.col("a").cast("decimal(20,0)")))
     pairs = groups.filter("a != c").groupBy("c").agg(best.alias("a")).select("a", F.col("c").alias("b"))
-    links = linked(pairs, sets, percent, scratch, "leader")
+    pairs, salts = with_salts(pairs, scratch, "leader")
+    # a class follows one leader at most, so both parts that it has to play stand in its row, with its text
+    wanted = (members.select("c").distinct().join(classes.select("c", "id"), "c")
+              .join(pairs.select(F.col("b").alias("c"), F.col("a").alias("leader"), "salt"), "c", "left")
+              .join(salts.withColumnRenamed("a", "c"), "c", "left"))
+    texts = scratch.keep(stored_texts(docs, scratch.keep(wanted, "wanted"), id, text), "texts")
+    links = scratch.keep(linked(
+        texts.filter("leader is not null").select(F.col("leader").alias("a"), "salt", F.col("c").alias("b"), "text"),
+        texts.filter("salts is not null").select(F.col("c").alias("a"), "salts", "text"), percent), "leader-links")
     roots = components(links, scratch, "leader")
     # groups that still hold several components
     known = groups.join(roots, "c", "left").select(F.col("a").alias("bucket"), "c", F.coalesce("root", "c").alias("comp"))
     known = scratch.keep(known.join(groups.groupBy("c").agg(F.collect_list("a").alias("buckets")), "c"), "known")
     mixed = scratch.keep(known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                          .filter("lo != hi").select("bucket"), "mixed")
-    cards = sets.select("c", "n", "bitmap")
-    more = linked(across(known.join(mixed, "bucket").join(cards, "c"), percent), sets, percent, scratch, "tree")
+    cards = texts.select("c", "n", "bitmap")
+    pairs, salts = with_salts(across(known.join(mixed, "bucket").join(cards, "c"), percent), scratch, "tree")
+    more = scratch.keep(linked(
+        pairs.join(texts.select(F.col("c").alias("b"), "text"), "b").select("a", "salt", "b", "text"),
+        salts.join(texts.select(F.col("c").alias("a"), "text"), "a"), percent), "tree-links")
     # links between components, and the components of these
     over = (more.join(roots.withColumnsRenamed({"c": "a", "root": "a2"}), "a", "left")
             .join(roots.withColumnsRenamed({"c": "b", "root": "b2"}), "b", "left")
