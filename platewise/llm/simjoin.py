@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -229,6 +230,42 @@ def _bitmap(s: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def _may_hold(keys: DataFrame, most_bits: int = 1 << 27, block: int = 1 << 15) -> bytes:
+    """A Bloom filter of one hash over the longs `k` of `keys`: 16 bits or more per row, `most_bits` (16 MB) at most,
+    whatever the input. Past some 100 million rows it lets more through, and never keeps a row of `keys` back.
+
+    Blocks of it are made in tasks, each of at most `block` distinct places; the driver puts them in a row.
+    """
+    bits = min(most_bits, max(block, 1 << (16 * keys.count()).bit_length()))
+    places = keys.select(F.pmod("k", F.lit(bits)).alias("place")).distinct().withColumn(
+        "block", F.expr(f"place div {block}"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        marks = np.zeros(block, np.uint8)
+        marks[pdf["place"] % block] = 1
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "marks": [np.packbits(marks, bitorder="little").tobytes()]})
+
+    out = bytearray(bits // 8)
+    for r in places.groupBy("block").applyInPandas(fold, "block long, marks binary").collect():
+        out[r["block"] * block // 8:(r["block"] + 1) * block // 8] = r["marks"]
+    return bytes(out)
+
+
+def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of `texts` (id, text) whose id may be one of `wanted`, so that few others are shuffled."""
+    held = texts.sparkSession.sparkContext.broadcast(_may_hold(wanted.select(F.xxhash64("id").alias("k"))))
+
+    def run(batches):
+        marks = np.frombuffer(held.value, np.uint8)
+        for batch in batches:
+            place = batch.column("k").to_numpy() % (8 * len(marks))
+            on = marks[place >> 3] >> (place & 7).astype(np.uint8) & 1
+            yield batch.select(["id", "text"]).filter(pa.array(on.astype(bool)))
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.withColumn("k", F.xxhash64("id")).mapInArrow(run, f"id {kind}, text string")
+
+
 def stored_texts(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
     """(c, n, bitmap, text) of the classes of `wanted` (c, id), from one text each, with the other columns of `wanted`.
     A text takes less room than the hashes of its set, which are made again where they are compared."""
@@ -254,6 +291,7 @@ def stored_texts(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> Data
                 made = {"n": pa.array(sizes, pa.int64()), "bitmap": pa.array(bitmaps, pa.binary())}
                 yield pa.RecordBatch.from_arrays([made[k] if k in made else kept.column(k) for k in names], names)
 
+    plain = _likely(plain, wanted)
     named = plain.join(wanted, plain["id"].eqNullSafe(wanted["id"])).select("c", "text", *[f.name for f in more])
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in more)
     return named.mapInArrow(run, f"c long, n long, bitmap binary, text string{kinds}")

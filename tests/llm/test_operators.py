@@ -640,6 +640,15 @@ def test_keep_first(spark, docs, none):
     assert simjoin.keep_first(none).count() == 0
 
 
+def test_filter_of_ids_keeps_all_wanted(spark):
+    texts = spark.range(4000).select(F.when(F.col("id") > 0, F.col("id")).alias("id"), F.lit("t").alias("text"))
+    wanted = texts.filter("id is null or id % 40 = 0").select("id")
+    kept = [r["id"] for r in simjoin._likely(texts, wanted).collect()]
+    assert {r["id"] for r in wanted.collect()} <= set(kept) and len(kept) < 600
+    assert len(simjoin._may_hold(wanted.select(F.xxhash64("id").alias("k")), most_bits=64, block=64)) == 8
+    assert simjoin._likely(texts, wanted.limit(0)).count() == 0
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(8)
     sizes = simjoin.Sizes()
