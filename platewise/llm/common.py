@@ -15,6 +15,8 @@ from platewise.session import shared_folder
 
 #: What separates words, as Java regular expressions read it (space, tab, line feed, VT, FF, CR).
 BLANK = r"\x20\x09-\x0D"
+#: Setting that bounds what is sent to Python at once.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 class Scratch:
@@ -32,9 +34,14 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write `df` and read it back."""
+        """Write `df` and read it back. Rows go to Python in batches bounded by bytes, as texts may be long."""
         path = self.path(name)
-        df.write.mode("error").parquet(path)
+        before = self.spark.conf.get(BATCH_BYTES)
+        self.spark.conf.set(BATCH_BYTES, str(4 << 20))
+        try:
+            df.write.mode("error").parquet(path)
+        finally:
+            self.spark.conf.set(BATCH_BYTES, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
 

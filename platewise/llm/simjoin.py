@@ -55,7 +55,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_KNOWN) > 400_000:
+    if len(_KNOWN) > 200_000:
         _KNOWN.clear()
     get, out = _KNOWN.get, []
     for w in words:
@@ -176,7 +176,7 @@ def buckets(docs: DataFrame, text: str, shingle_sum: int, percent: int, part_byt
                         keys.append(k)
                         names.append(np.full(len(k), class_of(s)[0], np.int64).view(np.uint64))
                         held += len(k)
-                        if held > 1_500_000:
+                        if held > 600_000:
                             yield pack(keys, names)
                             keys, names, held = [], [], 0
         if held:
