@@ -42,6 +42,13 @@ def j5(spark, sf):
     return joins.attach(X.readings(spark, sf).select("date", "time_h"), m, ["date"], "left")
 
 
+@check("j5_left_join_all_marks", """select r.date, r.time_h, m.label, m.time_h as mark_h from readings r
+  left join marks m on r.date = m.date""", "readings marks")
+def j5b(spark, sf):
+    m = X.marks(spark, sf).select("date", "label", F.col("time_h").alias("mark_h"))
+    return joins.attach(X.readings(spark, sf).select("date", "time_h"), m, ["date"], "left")
+
+
 @check("j6_merge_release", """select r.date, r.time_h, m.h as mark_h from readings r
   join (select date, max(time_h) as h from marks group by date) m on r.date = m.date""", "readings marks")
 def j6(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as X
 from checks.registry import check, q6, r6
-from platewise.operators import diagnostics, normalise, rows, timeline
+from platewise.operators import diagnostics, joins, normalise, rows, timeline
 from platewise.schema import MODEL_SERIES, SERIES, WELL
 
 
@@ -178,6 +178,22 @@ def t3(spark, sf):
     return r6(diagnostics.box_pierce(residuals, MODEL_SERIES).where(F.col("n") > 3))
 
 
+@check("t3_box_pierce_all_series", f"""with {_RESIDUALS}, m as (select *, residual - avg(residual) over w as d,
+  row_number() over (w order by time_h) as i from res where residual is not null window w as (partition by date, well, param)),
+s as (select date, well, param, sum(d * d) as s0, count(*) as n from m group by date, well, param),
+g as (select a.date, a.well, a.param, sum(a.d * b.d) as g from m a join m b
+  on a.date = b.date and a.well = b.well and a.param = b.param and b.i = a.i + 1 group by all)
+select k.date, k.well, k.param, case when n > 3 then {q6('n * pow(coalesce(g, 0) / nullif(s0, 0), 2)')} end as q,
+  coalesce(n, 0) as n
+from (select distinct date, well, param from readings) k left join s using (date, well, param)
+left join g using (date, well, param)""", "readings")
+def t3b(spark, sf):
+    r = X.readings(spark, sf)
+    found = diagnostics.box_pierce(diagnostics.ar1_residuals(r, MODEL_SERIES), MODEL_SERIES, min_n=4)
+    whole = joins.attach(r.select(*MODEL_SERIES).distinct(), found, MODEL_SERIES, "left", null_safe=True)
+    return r6(whole.na.fill(0, ["n"]))
+
+
 @check("t4_linear_trend", f"""select date, well, param, {q6('regr_slope(value, time_h)')} as slope,
   {q6('regr_intercept(value, time_h)')} as intercept, {q6('regr_r2(value, time_h)')} as r2,
   cast(regr_count(value, time_h) as bigint) as n from readings group by date, well, param""", "readings")

@@ -101,6 +101,18 @@ def a8b(spark, sf):
     return r6(timeline.phase_duration_summary(m.join(whole.select("date"), "date", "left_semi")))
 
 
+@check("a8_phase_duration_summary_all_dates", f"""with o as (
+  select *, row_number() over (partition by date order by time_h) as i from marks),
+d as (select date, max(time_h) filter (i = 3) - max(time_h) filter (i = 2) as p,
+             max(time_h) filter (i = 3) - max(time_h) filter (i = 1) as s from o group by date)
+select 'preinc_mean' as variable, case when count(*) = count(p) then {q6('avg(p)')} end as value from d
+union all select 'preinc_se', case when count(*) = count(p) then {q6('stddev_samp(p) / sqrt(count(*))')} end from d
+union all select 'starv_mean', case when count(*) = count(s) then {q6('avg(s)')} end from d
+union all select 'starv_se', case when count(*) = count(s) then {q6('stddev_samp(s) / sqrt(count(*))')} end from d""", "marks")
+def a8c(spark, sf):
+    return r6(timeline.phase_duration_summary(X.marks(spark, sf)))
+
+
 @check("a9_replicated_horizon", """with t as (select date, well, time_h, cast(floor(time_h * 10) as integer) as time_bin from readings
   where well = 'A1'), c as (select time_bin, count(distinct date) as n from t group by time_bin)
 select * from t where time_bin <= (select max(time_bin) from c where n >= 4)""", "readings")
@@ -110,6 +122,15 @@ def a9(spark, sf):
     return timeline.replicated_horizon(t, min_n=4)
 
 
+@check("a9_replicated_horizon_all_wells", """with t as (
+  select date, well, time_h, cast(floor(time_h * 10) as integer) as time_bin from readings),
+c as (select time_bin, count(distinct date) as n from t group by time_bin)
+select * from t where time_bin <= (select max(time_bin) from c where n >= 4)""", "readings")
+def a9b(spark, sf):
+    t = X.readings(spark, sf).select("date", "well", "time_h", F.floor(F.col("time_h") * 10).cast("int").alias("time_bin"))
+    return timeline.replicated_horizon(t, min_n=4)
+
+
 @check("a10_layer_presence", """select date, cast(max(case when layer = 'GF' then 1 else 0 end) as integer) as "GF",
   cast(max(case when layer = 'conc_GF' then 1 else 0 end) as integer) as "conc_GF",
   cast(max(case when layer = 'treatment' then 1 else 0 end) as integer) as "treatment",

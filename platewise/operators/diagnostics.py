@@ -62,10 +62,15 @@ def autocorrelation(df: DataFrame, by: Sequence[str] = SERIES, max_lag: int = 3,
 
 
 def box_pierce(df: DataFrame, by: Sequence[str] = SERIES, lag: int = 1, value: str = "residual",
-               order: Sequence[str] = ("time_h",)) -> DataFrame:
-    """(by, q, n): number of values times the sum of squared autocorrelations up to `lag`."""
+               order: Sequence[str] = ("time_h",), min_n: int = 0) -> DataFrame:
+    """(by, q, n): number of values times the sum of squared autocorrelations up to `lag`.
+
+    A series with fewer than `min_n` values stays, with a missing q: AR(1) residuals of up to three values are zero
+    but for rounding, so their correlation means nothing.
+    """
     acf = autocorrelation(df, by, lag, value, order)
-    return acf.groupBy(*by, "n").agg((F.col("n") * F.sum(F.col("r") * F.col("r"))).alias("q")).select(*by, "q", "n")
+    q = F.when(F.col("n") >= min_n, F.col("n") * F.sum(F.col("r") * F.col("r")))
+    return acf.groupBy(*by, "n").agg(q.alias("q")).select(*by, "q", "n")
 
 
 def linear_trend(df: DataFrame, by: Sequence[str] = SERIES, value: str = "value", time: str = "time_h") -> DataFrame:
