@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from html.parser import HTMLParser
 
@@ -27,6 +28,11 @@ CLOSES = {t: ("p",) for t in "address article aside blockquote div dl fieldset f
     "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 SCOPES = set("ul ol dl table article section div body td th aside nav main header footer form blockquote".split())
 
+#: Hidden elements whose content is text up to their end tag, whatever it looks like; script and style the parser knows.
+RAW = ("title", "textarea", "iframe", "noscript")
+RAW_END = re.compile(r"</\s*(" + "|".join(RAW) + r")\s*>", re.IGNORECASE)
+COMMENT_END = re.compile(r"--(?:\s*|!)>")
+
 PATH_BITS, WORD_BITS, PLAIN = 64, 24, 6
 FEATURES = PATH_BITS + WORD_BITS + PLAIN
 HIDDEN_UNITS = 16
@@ -41,6 +47,30 @@ class Blocks(HTMLParser):
         self.blocks: list[tuple[tuple, str, int]] = []
         self.buffer: list[str] = []
         self.linked = self.hidden = self.anchors = 0
+        self.ends: dict[str, int] = {}
+
+    def read(self, html):
+        """Parse a whole page, fed at once."""
+        # the last end tag of each raw element, counted from the page's end: without one, the element hides nothing more
+        self.ends = {m[1].lower(): len(html) - m.start() for m in RAW_END.finditer(html)}
+        self.feed(html)
+        self.close()
+        self.flush()
+
+    def parse_starttag(self, i):
+        k = super().parse_starttag(i)
+        tag = self.lasttag
+        if k >= 0 and self.stack and self.stack[-1][0] == tag and len(self.rawdata) - k >= self.ends.get(tag, len(self.rawdata) + 1):
+            self.set_cdata_mode(tag)
+        return k
+
+    def parse_comment(self, i, report=1):
+        """A comment ends at --> or --!>, at once in <!--> and <!--->, and at the page's end if nowhere before."""
+        for short in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(short, i):
+                return i + len(short)
+        end = COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
 
     def flush(self):
         text = " ".join("".join(self.buffer).split())
@@ -105,18 +135,13 @@ class Blocks(HTMLParser):
 
 
 def blocks_of(html: str) -> list[tuple[tuple, str, int]]:
-    """The blocks of a page; a tag or comment that the end of the page cuts off is no text."""
+    """The blocks of a page; a tag or comment that the end of the page cuts off is no text. What is a comment, the parser says."""
     open_ = html.rfind("<")
     if open_ >= 0 and ">" not in html[open_:] and (open_ + 1 == len(html) or html[open_ + 1].isalpha()
                                                    or html[open_ + 1] in "/!?"):
         html = html[:open_]
-    comment = html.rfind("<!--")
-    if comment >= 0 and "-->" not in html[comment:]:
-        html = html[:comment]
     parser = Blocks()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
+    parser.read(html)
     return parser.blocks
 
 

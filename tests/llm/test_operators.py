@@ -514,6 +514,17 @@ def test_blocks():
     assert b("<ul><li>a<li>b</ul>")[1][0] == ("ul", "li")
 
 
+@pytest.mark.parametrize("before", [
+    "<script><!-- x</script>", "<script>var a = '<!--';</script>", "<style><!-- p {}</style>", "<p title='<!-- x'></p>",
+    "<a href=\"<!--\"></a>", "<title>a <!-- b</title>", "<textarea>a <!-- b</textarea>", "<iframe><!-- x</iframe>",
+    "<noscript><!-- x</noscript>", "<!-- x --!>", "<!-->", "<!--->", "<!-- a -- b --><!-- c -->", "<title>a</title><title>open <!-- b -->"])
+def test_comment_openers_that_open_none(before):
+    html = f"<body>{before}<article><p>Text</p></article>"
+    want = [] if before.endswith("open <!-- b -->") else ["Text"]
+    assert [x[1] for x in mainhtml.blocks_of(html)] == want
+    assert [x[1] for x in mainhtml.blocks_of(f"<p>a</p>{before}<!-- open <p>b</p>")] == ["a"]
+
+
 def test_labeller_on_unseen_pages():
     import random
     rng = random.Random(4711)
