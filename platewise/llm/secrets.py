@@ -18,7 +18,9 @@ RULES = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]+", 0, 32),
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?", 0, 27),
+    # up to the END of the same kind, else of any kind of private key, whatever lies between but another BEGIN
+    ("private_key", r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----(?:(?s:(?!-----BEGIN ).)*?-----END \1-----|"
+     r"(?s:(?!-----BEGIN ).)*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)?", 0, 27),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
     ("hosted", r"(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_)[A-Za-z0-9_-]+", 0, 20),
 )

@@ -212,6 +212,27 @@ def test_redact(spark, docs):
     assert texts[10] == "éclair \U0001f600 [secret] <|endoftext|> tail"
 
 
+def pem(body, kind="RSA PRIVATE KEY", end=None):
+    return f"-----BEGIN {kind}-----{body}-----END {end or kind}-----"
+
+
+KEYS = [
+    ("a " + pem("\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\nQUJD+/=\n") + " z", "a [secret] z"),
+    ('{"private_key": "' + pem("\\nQUJD\\nREVG\\n", "PRIVATE KEY") + '\\n"}', '{"private_key": "[secret]\\n"}'),
+    (pem("\nVersion: x\n\nQUJD\n=abcd\n", "PGP PRIVATE KEY BLOCK") + "\nz", "[secret]\nz"),
+    (pem("\nQUJD\n", end="PRIVATE KEY") + " z", "[secret] z"),
+    (pem("\nx-1\n" + "-----END EC PRIVATE KEY-----" + "\ny-2\n") + " z", "[secret] z"),
+    ("-----BEGIN PRIVATE KEY----- prose. " + pem("\nx-1\n") + " prose. " + pem("\ny-2\n", "CERTIFICATE"),
+     "[secret] prose. [secret] prose. " + pem("\ny-2\n", "CERTIFICATE")),
+]
+
+
+def test_redact_takes_whole_keys(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(KEYS)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(df, secrets.new_ledger(spark)).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(KEYS)}
+
+
 # ---- 2 packing ---------------------------------------------------------------------------------------------------
 
 def by_hand(sizes, capacity):
