@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,12 +105,13 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", sources: str =
     `sources` is a column with one source (null is a source of its own) or an array of them. Sizes are words. Documents
     are summed up by membership pattern, and only these sums come to the driver: as many as there are patterns, not
     documents. The flow says how many tokens of a pattern are taken; every document of it is taken as often as the
-    whole multiple says, and a seeded choice once more, until the rest is reached as nearly as whole documents allow.
+    whole multiple says, and a seeded choice once more for the rest, which is missed by half of the smallest other document at most.
     `source_size` and `target` are sums over the row's sources.
 
-    The choice orders documents by a seeded hash of id and text, and finds where to stop by sums over `bins` ranges of the
-    hash, then document by document inside one range, so a source of any size is no single task's work. Rows that are
-    the same in id and text are chosen apart, in any order. An empty table gives no rows.
+    The choice orders documents by a seeded hash of id and text and takes, in that order, each that still fits what is
+    left of the rest; at the end one more, the smallest not taken, if that comes nearer. It is found in passes (`fill`),
+    so a source of any size is no single task's work. Rows that are the same in id and text are chosen apart, in any
+    order. An empty table gives no rows.
     """
     spark = docs.sparkSession
     many = dict(docs.dtypes)[sources].startswith("array")
@@ -118,11 +120,11 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", sources: str =
     light = docs.select(F.col(id).alias("id"), of.alias("pattern"), words.alias("size"),
                         F.xxhash64(F.lit(seed), F.col(id), text_of(text)).alias("h"),
                         F.monotonically_increasing_id().alias("row"))
-    light = Scratch(spark, "mixing").keep(light, "sizes")  # one pass over the texts; row numbers stay as they are
-    # one row per pattern and range of the hash: the sums that decide come from here
-    bin_of = F.shiftright(F.col("h"), 64 - (bins.bit_length() - 1)).cast("int")
-    sums = light.groupBy("pattern", bin_of.alias("b")).agg(F.sum("size").alias("n"))
-    patterns = {tuple(r["pattern"]): r["n"] for r in sums.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
+    key = F.to_json(F.struct("pattern"), {"ignoreNullFields": "false"})
+    light = light.select("*", key.alias("key"))
+    scratch = Scratch(spark, "mixing")
+    light = scratch.keep(light, "sizes")  # one pass over the texts; row numbers stay as they are
+    patterns = {tuple(r["pattern"]): r["n"] for r in light.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
     source_size: dict = {}
     for p, n in patterns.items():
         for s in p:
@@ -138,29 +140,61 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", sources: str =
     kind = light.schema["pattern"].dataType.simpleString()
     plan = spark.createDataFrame(
         rows, f"pattern {kind}, whole long, rest long, source_size long, target double")
-    key = F.to_json(F.struct("pattern"), {"ignoreNullFields": "false"})
-    plan = plan.withColumn("key", key).drop("pattern")  # one row per pattern, as collected above
-    up_to = F.sum("n").over(Window.partitionBy("key").orderBy("b"))
-    marked = (sums.withColumn("key", key).withColumn("upto", up_to).join(plan.select("key", "rest"), "key")
-              .select("key", "b", (F.col("upto") - F.col("n")).alias("before"), "upto", "rest"))
-    # the range in which the rest is reached
-    edge = marked.filter((F.col("before") < F.col("rest")) & (F.col("upto") >= F.col("rest"))).select(
-        F.col("key"), F.col("b").alias("edge"), F.col("before"))
-    joined = (light.withColumn("key", key).withColumn("b", bin_of).join(F.broadcast(plan), "key")
-              .join(F.broadcast(edge), "key", "left"))
-    inside = F.col("b") == F.col("edge")
-    fine = joined.filter(inside).withColumn("upto", F.col("before") + F.sum("size").over(
-        Window.partitionBy("key").orderBy("h", "id", "row").rowsBetween(Window.unboundedPreceding, 0)))
-    near = F.col("upto") - F.col("size") + F.col("size") / 2 <= F.col("rest")
-    cols = ["id", "h", "key", "size", "source_size", "target", "whole"]
-    out = (joined.filter(~F.coalesce(inside, F.lit(False)))
-           .select(*cols, F.coalesce(F.col("b") < F.col("edge"), F.lit(False)).alias("more"))
-           .unionByName(fine.select(*cols, near.alias("more"))))
+    plan = scratch.keep(plan.withColumn("key", key).drop("pattern"), "plan")  # one row per pattern, as collected above
+    steps = fill(light, plan, scratch, bins)
+    out = light.join(F.broadcast(plan), "key").join(F.broadcast(steps), "key", "left").withColumn("more", F.expr(TAKEN))
+    # the smallest that is not taken goes over the rest; with it the sum lies nearer if it is below twice what is left
+    last = (out.filter("rest > 0").groupBy("key").agg(
+        (F.first("rest") - F.coalesce(F.sum(F.when(F.col("more"), F.col("size"))), F.lit(0))).alias("left"),
+        F.min(F.when(~F.col("more") & (F.col("size") > 0), F.struct("size", F.expr(AT).alias("at")))).alias("small"))
+        .filter("small.size < 2 * left").select("key", F.col("small.at").alias("one")))
+    out = out.join(F.broadcast(scratch.keep(last, "last")), "key", "left")
+    out = out.withColumn("more", F.col("more") | F.expr(f"coalesce({AT} = one, false)"))
     copies = F.least(F.col("whole") + F.col("more").cast("long"), F.lit(MOST))
     return out.select(F.col("id").alias(id), "h", "key", "size", copies.alias("copies"),
                       (copies * F.col("size")).alias("taken"), "source_size", "target")
 
 
+#: A document's place in the order of its pattern, and whether a pass takes it.
+AT = "struct(h, id, row)"
+TAKEN = (f"coalesce(exists(steps, s -> size <= s.gap and (s.start is null or {AT} > s.start) "
+         f"and (s.stop is null or {AT} < s.stop)), false)")
+
+
+def fill(light: DataFrame, plan: DataFrame, scratch: Scratch, bins: int) -> DataFrame:
+    """`key, steps`: per pattern, the passes (gap, start, stop) by which documents in order fill `rest`.
+
+    A pass goes on after the document at `start`, over those of at most `gap` words, up to the first that does not fit
+    behind the ones before it, at `stop` (null: all fit). What the others leave is the next pass's gap. The place of
+    `stop` is found by sums over `bins` ranges of the hash, then document by document inside one range. Passes go on
+    until a gap is filled or no later document fits it. One row per pattern and pass.
+    """
+    bin_of = F.shiftright(F.col("h"), 64 - (bins.bit_length() - 1)).cast("int")
+    place = light.select(F.expr(AT).alias("at")).schema["at"].dataType.simpleString()
+    state = plan.filter("rest > 0").select("key", F.col("rest").alias("gap"), F.lit(None).cast(place).alias("start"))
+    done = []
+    while True:
+        fits = (light.select("key", "size", bin_of.alias("b"), F.expr(AT).alias("at")).join(F.broadcast(state), "key")
+                .filter("size > 0 and size <= gap and (start is null or at > start)"))
+        upto = F.sum("n").over(Window.partitionBy("key").orderBy("b"))
+        edge = (fits.groupBy("key", "b", "gap").agg(F.sum("size").alias("n")).withColumn("upto", upto)
+                .filter("upto > gap and upto - n <= gap").select("key", "b", (F.col("upto") - F.col("n")).alias("before")))
+        edge = scratch.keep(edge, f"edge{len(done)}")
+        inside = fits.join(F.broadcast(edge), ["key", "b"]).withColumn("upto", F.col("before") + F.sum("size").over(
+            Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+        found = inside.groupBy("key").agg(
+            F.min(F.when(F.col("upto") > F.col("gap"), F.col("at"))).alias("stop"),
+            F.coalesce(F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))), F.first("before")).alias("sum"))
+        step = scratch.keep(state.join(found, "key", "left"), f"step{len(done)}")
+        done.append(step)
+        state = step.filter("stop is not null and sum < gap").select(
+            "key", (F.col("gap") - F.col("sum")).alias("gap"), F.col("stop").alias("start"))
+        if state.isEmpty():
+            break
+    steps = reduce(DataFrame.unionByName, done)
+    return scratch.keep(steps.groupBy("key").agg(F.collect_list(F.struct("gap", "start", "stop")).alias("steps")), "steps")
+
+
 def take(docs: DataFrame, id: str = "doc_id", text: str = "text", seed: int = 0, **options) -> DataFrame:
     """The rows of `docs`, all columns, each as often as the mix takes it."""
     same = F.xxhash64(F.lit(seed), F.col(id), text_of(text))

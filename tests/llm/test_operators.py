@@ -343,6 +343,37 @@ def test_mix_of_overlapping_sources(spark):
     assert sum(taken.values()) == pytest.approx(total, rel=0.02)
 
 
+def by_greed(rows, rest):
+    """Words taken of `rest` from (h, id, size): in order each that still fits, then the smallest other if it comes nearer."""
+    left, other = rest, []
+    for _, _, size in sorted(rows):
+        if 0 < size <= left:
+            left -= size
+        elif size:
+            other.append(size)
+    return rest - left + (min(other) if other and min(other) < 2 * left else 0)
+
+
+def test_mix_goes_on_past_long_documents(spark):
+    rng = np.random.default_rng(8)
+    sizes = {s: [int(x) for x in rng.choice([1, 2, 3, 5, 8, 13], 1500)] + [2000, 3000, 900] * (s != "c") for s in "abc"}
+    data = [(f"{s}{i}", " ".join(["w"] * n), s) for s, all_ in sizes.items() for i, n in enumerate(all_)]
+    df = spark.createDataFrame(data, "doc_id string, text string, source string").repartition(5)
+    goal = mixing.targets({s: sum(n) for s, n in sizes.items()}, {"a": 5.0, "b": 2.0, "c": 1.0})
+    flow = mixing.route({(s,): sum(n) for s, n in sizes.items()}, goal)
+    for seed in range(3):
+        by = collections.defaultdict(list)
+        for r in mixing.mix(df, seed=seed).collect():
+            by[r["doc_id"][0]].append(r)
+        for s, rows in by.items():
+            assert len(rows) == len(sizes[s])
+            n, want = sum(sizes[s]), sum(flow[(s,)].values())
+            whole = min(mixing.MOST, want // n)
+            got = sum(r["taken"] for r in rows)
+            assert got - whole * n == by_greed([(r["h"], r["doc_id"], r["size"]) for r in rows], want - whole * n)
+            assert abs(got - goal[s]) <= 13  # a small document, not half of the largest
+
+
 def test_take_repeats_rows(docs):
     copies = {}
     for r in mixing.mix(docs).collect():
