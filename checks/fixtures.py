@@ -75,6 +75,17 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").isNotNull())
 
 
+def more_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations with layers that are not among the named ones: a passage in odd experiments, a medium in even wells."""
+    u = units(spark, sf_dir)
+    w = F.col("w")
+    pairs = [("passage", F.when(F.col("d") % 2 == 1, F.concat(F.lit("P"), (w % 4 + 3).cast("string")))),
+             ("medium", F.when(w % 2 == 0, "M199"))]
+    layers = F.array(*[F.struct(F.lit(n).alias("layer"), v.alias("value")) for n, v in pairs])
+    more = u.select("date", "well", F.explode(layers).alias("a")).select("date", "well", "a.layer", "a.value")
+    return annotations(spark, sf_dir).unionByName(more.where(F.col("value").isNotNull()))
+
+
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("d")).distinct()
     spans = F.array(
@@ -233,6 +244,12 @@ SQL_WIDE = SQL_ANNOTATIONS + """, wide as (
          max(value) filter (layer = 'celldensity') as celldensity, max(value) filter (layer = 'serum') as serum
   from annotations group by date, well)"""
 
+# After the wide view: what wells carry beside its named layers.
+SQL_OTHERS = """others as (
+  select date, well, string_agg(layer || '=' || value, ',' order by layer) as others from (
+    select date, well, 'passage' as layer, 'P' || cast(w % 4 + 3 as varchar) as value from units where d % 2 = 1
+    union all select date, well, 'medium', 'M199' from units where w % 2 = 0) group by date, well)"""
+
 SQL_MARKS = """marks as (
   with d as (select distinct user_id % 10 as d from events)
   select 'exp' || cast(d as varchar) as date, (80 + d) / 10.0::double as time_h, 'Starv' as label from d

@@ -22,6 +22,30 @@ def j2(spark, sf):
     return joins.annotate(X.modelled(spark, sf), wide)
 
 
+def _all_layers(spark, sf):
+    return joins.widen_annotations(X.more_annotations(spark, sf), others="others")
+
+
+def _others_as_text(df):
+    """The map of other layers as sorted text, which both engines write alike."""
+    return df.withColumn("others", F.array_join(F.array_sort(F.transform(
+        F.map_entries("others"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ","))
+
+
+@check("j1_readings_with_all_layers", """select r.*, w.* exclude (date, well), coalesce(o.others, '') as others from readings r
+  join wide w on r.date = w.date and r.well = w.well left join others o on r.date = o.date and r.well = o.well""",
+       "readings wide others")
+def j1b(spark, sf):
+    return _others_as_text(joins.annotate(X.readings(spark, sf), _all_layers(spark, sf)))
+
+
+@check("j2_modelled_with_all_layers", """select m.*, w.* exclude (date, well), coalesce(o.others, '') as others from modelled m
+  join wide w on m.date = w.date and m.well = w.well left join others o on m.date = o.date and m.well = o.well
+  where w.celldensity = '5000'""", "readings wide others modelled")
+def j2b(spark, sf):
+    return _others_as_text(joins.annotate(X.modelled(spark, sf), _all_layers(spark, sf).where(F.col("celldensity") == "5000")))
+
+
 @check("j3_semi_join_by_annotation", """select * from readings where date in
   (select date from annotations where value = 'FBS')""", "readings annotations")
 def j3(spark, sf):

@@ -16,6 +16,7 @@ PARTS = {
     "readings": X.SQL_READINGS,
     "annotations": X.SQL_ANNOTATIONS,
     "wide": X.SQL_WIDE,
+    "others": X.SQL_OTHERS,
     "marks": X.SQL_MARKS,
     "modelled": X.SQL_MODELLED,
     "phased": X.SQL_PHASED,

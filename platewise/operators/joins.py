@@ -40,13 +40,21 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "left", null_safe
 
 
 def widen_annotations(annotations: DataFrame, layers: Mapping[str, str] | None = None,
-                      defaults: Mapping[str, str] | None = None, names: str | None = None) -> DataFrame:
+                      defaults: Mapping[str, str] | None = None, names: str | None = None,
+                      others: str | None = None) -> DataFrame:
     """One row per (date, well), one column per named layer; `defaults` fill missing layers. The column `names`, if
-    asked for, lists all layers that the well has, named in `layers` or not."""
+    asked for, lists all layers that the well has, named in `layers` or not. The column `others`, if asked for, is a map
+    from each layer that is not named to its value, the largest if there are several, as in named columns."""
     layers = dict(layers or LAYERS)
     wide = annotations.groupBy(*WELL).agg(*[
         F.max(F.when(F.col("layer") == layer, F.col("value"))).alias(name) for layer, name in layers.items()
-    ], *([F.collect_set(F.when(F.col("value").isNotNull(), F.col("layer"))).alias(names)] if names else []))
+    ], *([F.collect_set(F.when(F.col("value").isNotNull(), F.col("layer"))).alias(names)] if names else []),
+       *([F.collect_set(F.when(~F.col("layer").isin(*layers) & F.col("value").isNotNull(),
+                               F.struct("layer", "value"))).alias(others)] if others else []))
+    if others:
+        found = F.array_distinct(F.transform(others, lambda x: x["layer"]))
+        wide = wide.withColumn(others, F.map_from_arrays(found, F.transform(found, lambda n: F.array_max(
+            F.transform(F.filter(others, lambda x: x["layer"] == n), lambda x: x["value"])))))
     return wide.na.fill(dict(defaults)) if defaults else wide
 
 

@@ -398,13 +398,14 @@ def setup_overview_modelled(modelled: DataFrame, annotations: DataFrame, serum:
 # --- hourly means and dose response -----------------------------------------------------------------
 
 def hourly_well_means(values: DataFrame, annotations: DataFrame | None, series: Sequence[str] = MODEL_SERIES,
-                      by: Sequence[str] = ()) -> DataFrame:
-    """Hourly mean of every well, hours counted over all rows (or per `by`), with the wells' annotations."""
+                      by: Sequence[str] = (), others: str | None = None) -> DataFrame:
+    """Hourly mean of every well, hours counted over all rows (or per `by`), with the wells' annotations; layers that are
+    not named come as a map in the column `others`, if asked for."""
     series = list(series)
     cells = materialise(hourly_cells(values, series), "cells")
     binned = hour_bins(cells, by, hour="hour", on_break="on_break").where("time_bin is not null")
     means = binned.groupBy(*series, "time_bin").agg(cell_mean(na_rm=False).alias("value"))
-    return means if annotations is None else annotate(means, widen_annotations(annotations))
+    return means if annotations is None else annotate(means, widen_annotations(annotations, others=others))
 
 
 def dose_response(hourly: DataFrame, gfs: Sequence[str], pools: Mapping[float, Sequence[float]],

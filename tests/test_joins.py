@@ -46,6 +46,17 @@ def test_treated_dates_and_replicates(spark):
     assert joins.replicated_series(df, ["pair"], min_n=3).count() == 0
 
 
+def test_layers_not_named_are_carried(spark):
+    df = spark.createDataFrame(
+        [("d", "A1", "GF", "VEGF"), ("d", "A1", "passage", "3"), ("d", "A1", "passage", "4"), ("d", "A1", "medium", "M"),
+         ("d", "A1", "void", None), ("d", "A1", None, "x"), ("d", "B1", "GF", "FBS")],
+        "date string, well string, layer string, value string")
+    got = {r["well"]: r for r in joins.widen_annotations(df, others="others").collect()}
+    assert got["A1"]["gf"] == "VEGF" and got["A1"]["others"] == {"passage": "4", "medium": "M"}
+    assert got["B1"]["others"] == {}
+    assert "others" not in joins.widen_annotations(df).columns
+
+
 def test_ranges(spark):
     df = spark.createDataFrame([("a", t) for t in (0.0, 1.0, 1.5, 2.0, 9.0)], "date string, t double")
     ranges = spark.createDataFrame([("a", 0.0, 1.0, "lo"), ("a", 1.0, 2.0, "hi")], "date string, lo double, hi double, label string")
