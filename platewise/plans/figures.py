@@ -123,9 +123,10 @@ def treat_labels(df: DataFrame, renames: Mapping[str, str]) -> DataFrame:
 
 def paired_release(readings: DataFrame, annotations: DataFrame, marks: DataFrame, series: Sequence[str] = WELL,
                    max_time: float = 73, min_dose: float = 1000, exclude: Sequence[str] = (),
-                   param=None, freq=None) -> DataFrame:
-    """Experiment means per hour of wells relative to their first three readings, in control/induced pairs."""
-    rows, wells = release_rows(exclude_dates(readings, exclude), annotations, marks, param=param, freq=freq)
+                   param=None, freq=None, carrier: str | None = None) -> DataFrame:
+    """Experiment means per hour of wells relative to their first three readings, in control/induced pairs. With
+    `carrier`, only of the experiments that carry that annotation value: their class."""
+    rows, wells = release_rows(exclude_dates(readings, exclude), annotations, marks, carrier=carrier, param=param, freq=freq)
     rows = clip_time(rows, hi=max_time)
     keys = ["conc", "dose", "gf", "treatment"]
     cells = annotate(hourly_cells(rows, SERIES), effective_doses(wells, min_dose=min_dose).select(*WELL, *keys))
@@ -151,7 +152,7 @@ def release_all_frequencies(readings: DataFrame, annotations: DataFrame, marks:
 
 def pre_release_summary(readings: DataFrame, annotations: DataFrame, marks: DataFrame, gf: str = "VEGF",
                         ind: float = 25, param=None, freq=None, min_dose: float = 1000, first_bin: int = -40,
-                        max_time: float = 73, exclude: Sequence[str] = ()) -> DataFrame:
+                        max_time: float = 73, exclude: Sequence[str] = (), carrier: str | None = None) -> DataFrame:
     """Hours before release, relative to the last three readings, over the experiments of one pair."""
     wide, cuts = plates(annotations, marks, carrier)
     wells = select_readings(wide, celldensity="5000")
