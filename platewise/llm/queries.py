@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import langid, mainhtml, mixing, packing, quality, secrets, simjoin, tokens, warc, winnow
+from platewise.llm import langid, mainhtml, merkle, mixing, packing, quality, secrets, simjoin, tokens, warc, winnow
 from platewise.llm.common import Scratch, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,8 +57,12 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainhtml.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc_index, op2_best_fit_packing, op3_ngram_jaccard_join, op4_language_id, op5_secret_ledger, op6_token_cache,
-    op7_winnowing, op8_source_mix, op9_quality_rules, op10_main_text)}
+    op7_winnowing, op8_source_mix, op9_quality_rules, op10_main_text, op13_merkle_manifest)}
 
 ORACLES: dict[str, str] = {}
