@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from platewise.llm.common import Scratch, parts_for
 
 FAN = 3
-NO_KIDS = F.expr("cast(null as array<struct<lo:bigint,hi:bigint,digest:string>>)")
+KIDS = "array<struct<lo:bigint,hi:bigint,digest:string>>"
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -83,7 +83,7 @@ def climb(nodes: DataFrame, scratch: Scratch, name: str) -> list[DataFrame]:
     """All levels of the trees over `nodes` (g, n, lo, hi, digest), leaves first: nodes of level l with `kids`, their
     children's intervals and digests. A group's last node covers all its n leaves, and enters no further level."""
     deepest = nodes.agg(F.max("n")).first()[0] or 1
-    levels = [nodes.withColumn("kids", NO_KIDS)]
+    levels = [nodes.withColumn("kids", F.lit(None).cast(KIDS))]
     while FAN ** (len(levels) - 1) < deepest:
         level = len(levels)
         below = levels[-1].filter(F.col("hi") - F.col("lo") < F.col("n"))
@@ -139,7 +139,7 @@ def fold(start: str, path: str) -> Column:
 
 
 def manifest(docs: DataFrame, fields=FIELDS) -> DataFrame:
-    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified, source, leaf_rank, proof_steps) per row of `docs`.
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified, source, leaf_rank, siblings) per row of `docs`.
 
     `proof_sha256` hashes the siblings' digests from the leaf's level up to the root, left to right; `folded_root` is what
     the leaf as tampered with leads to with the siblings of the untouched tree; `verified` says whether it is `root`.
@@ -163,11 +163,11 @@ def manifest(docs: DataFrame, fields=FIELDS) -> DataFrame:
     ends = descend(upper_levels, summit.select("g", "level", F.array().cast(PATH).alias("path")))
     tops = scratch.keep(ends.select(F.col("lo").alias("g"), "path").join(subroots, "g").select(
         "g", "level", "path", F.col("digest").alias("subroot")), "tops")
-    paths = descend([rows.withColumn("kids", NO_KIDS), *levels[1:]], tops.select("g", "level", "path"))
+    paths = descend([rows.withColumn("kids", F.lit(None).cast(KIDS)), *levels[1:]], tops.select("g", "level", "path"))
     root = summit.select(F.col("digest").alias("root"))
     proof = F.array_join(F.transform("path", lambda s: F.concat(s["before"], s["after"])), "")
     out = paths.join(tops.select("g", "subroot"), "g").withColumn("root", root.scalar())
-    out = out.withColumn("folded_root", fold("tampered", "path"))
-    return out.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", F.sha2(proof, 256).alias("proof_sha256"),
+    out = out.withColumn("folded_root", fold("tampered", "path")).withColumn("_proof", proof)
+    return out.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", F.sha2("_proof", 256).alias("proof_sha256"),
                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"), "source",
-                      F.col("lo").alias("leaf_rank"), F.size("path").alias("proof_steps"))
+                      F.col("lo").alias("leaf_rank"), F.expr("length(_proof) div 64").alias("siblings"))

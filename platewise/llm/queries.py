@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from platewise.llm import langid, mainhtml, merkle, mixing, packing, quality, secrets, simjoin, tokens, warc, winnow
 from platewise.llm.common import Scratch, table
+from platewise.llm.sql import ORACLES  # noqa: F401
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -64,5 +65,3 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_warc_index, op2_best_fit_packing, op3_ngram_jaccard_join, op4_language_id, op5_secret_ledger, op6_token_cache,
     op7_winnowing, op8_source_mix, op9_quality_rules, op10_main_text, op13_merkle_manifest)}
-
-ORACLES: dict[str, str] = {}
