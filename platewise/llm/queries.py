@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import langid, mainhtml, merkle, mixing, packing, quality, secrets, simjoin, tokens, warc, winnow
+from platewise.llm import (
+    langid, lexsearch, mainhtml, merkle, mixing, packing, quality, secrets, simjoin, tokens, warc, winnow,
+)
 from platewise.llm.common import Scratch, table
 from platewise.llm.sql import ORACLES  # noqa: F401
 
@@ -58,10 +60,15 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainhtml.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_warc_index, op2_best_fit_packing, op3_ngram_jaccard_join, op4_language_id, op5_secret_ledger, op6_token_cache,
-    op7_winnowing, op8_source_mix, op9_quality_rules, op10_main_text, op13_merkle_manifest)}
+    op7_winnowing, op8_source_mix, op9_quality_rules, op10_main_text, op12_lexical_search,
+    op13_merkle_manifest)}

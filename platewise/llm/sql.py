@@ -44,4 +44,19 @@ select r.doc_id, r.leaf, sub.h as subroot, root.h as root, sha256(e.proof) as pr
 from r join (select g, h from nodes where n = 1) sub on sub.g = r.g cross join (select h from top where n = 1) root
 join ends e on e.doc_id = r.doc_id"""
 
-ORACLES = {"op13_merkle_manifest": MERKLE}
+_TERMS = (r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))")
+
+LEXICAL = f"""with it as (select item_id, term, count(*) as times from (select item_id, {_TERMS} as term from benchmark) group by all),
+tf as (select doc_id, term, count(*) as tf from (select doc_id, {_TERMS} as term from documents) group by all),
+len as (select doc_id, cast(sum(tf) as bigint) as n from tf group by doc_id),
+every as (select count(*) as nd, cast(sum(n) as bigint) as nl from len),
+w as (select term, cast(floor(1000 * ln((2 * nd + 2)::double / (2 * count(*) + 1))) as bigint) as w from tf, every group by term, nd),
+scored as (
+  select item_id, tf.doc_id,
+         cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nd) // nl)))) as bigint) as score
+  from it join tf using (term) join w using (term) join len on len.doc_id = tf.doc_id, every group by item_id, tf.doc_id)
+select item_id, cast(rank as integer) as rank, doc_id, score from (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 20"""
+
+ORACLES = {"op12_lexical_search": LEXICAL, "op13_merkle_manifest": MERKLE}
