@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.llm import (
-    langid, lexsearch, mainhtml, merkle, mixing, packing, quality, secrets, simjoin, tokens, warc, winnow,
+    hyperminhash, langid, lexsearch, mainhtml, merkle, mixing, packing, quality, secrets, simjoin, tokens, warc,
+    winnow,
 )
 from platewise.llm.common import Scratch, table
 from platewise.llm.sql import ORACLES  # noqa: F401
@@ -60,6 +61,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainhtml.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,5 +75,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_warc_index, op2_best_fit_packing, op3_ngram_jaccard_join, op4_language_id, op5_secret_ledger, op6_token_cache,
-    op7_winnowing, op8_source_mix, op9_quality_rules, op10_main_text, op12_lexical_search,
-    op13_merkle_manifest)}
+    op7_winnowing, op8_source_mix, op9_quality_rules, op10_main_text,
+    op11_hyperminhash_dedup, op12_lexical_search, op13_merkle_manifest)}

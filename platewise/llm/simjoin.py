@@ -307,8 +307,9 @@ def with_salts(pairs: DataFrame, scratch: Scratch, name: str, per_leader: int =
     return pairs.join(salts, "a").select("a", "b", salt.alias("salt")), salts
 
 
-def linked(followers: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets link, of followers (a, salt, b, text of b) and leaders (a, salts, text of a)."""
+def linked(followers: DataFrame, leaders: DataFrame, percent: int, sets=shingles) -> DataFrame:
+    """Pairs (a, b) whose sets link, of followers (a, salt, b, text of b) and leaders (a, salts, text of a); `sets` makes
+    the sorted hashes of a text's set."""
     first = leaders.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
                            F.lit(None).cast("long").alias("b"), "text")
     # the leader's row first (null b), then its followers, in a stream
@@ -319,7 +320,7 @@ def linked(followers: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             out = []
             for a, b, t in zip(*(batch.column(k) for k in ("a", "b", "text")), strict=True):
-                a, b, s = a.as_py(), b.as_py(), shingles(t.as_py())
+                a, b, s = a.as_py(), b.as_py(), sets(t.as_py())
                 if b is None:
                     leader, whole = a, s
                     continue
