@@ -11,9 +11,9 @@ Two registers agree as often as the sets are alike, and by chance now and then,
 3. *Rounds.* Each bucket has a pivot, another one each round. A class is held against the one pivot, of another component,
    that it shares most buckets with: by the estimate first, then on the full sets. Links join components. So a group of
    thousands of near copies takes as many comparisons as it has members, times a few.
-4. *Rest.* Buckets that hold several components still are gone through in blocks; pairs of different components that the
-   estimate does not rule out are confirmed on the full sets. The estimate rules out what lies 4.5 standard deviations
-   below the threshold.
+4. *Rest.* Buckets that hold several components still are gone through in blocks, with their texts; pairs of different
+   components that the estimate does not rule out are held against the full sets there, and only links come out. The
+   estimate rules out what lies 4.5 standard deviations below the threshold.
 
 Classes and shingles are named by 64-bit hashes. Handling: a text without words (null, empty, blanks) has no shingles, no
 links, and its own id; one of a single word has that word as its set. Rows with equal sets are linked, so repeated rows
@@ -154,39 +154,63 @@ def likely(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def remaining(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and that the sketches do not rule out; members: key, c,
-    comp, n, registers. A bucket of more than `block` members is cut by hash, and every pair of blocks is a group."""
-    many = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = (members.join(many, "key").withColumn("mine", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+def rest_links(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Links (a, b) between different components among those that share a bucket; members: p (pivot), c, comp, n, registers,
+    text, and ps, all pivots that c is with, sorted. A pair belongs to the least pivot that both are with.
+
+    A pivot's group of more than `block` members is cut by hash, and every pair of blocks is a group. Pairs that the sketches
+    do not rule out are held against the full sets in the task itself, and a link joins components there, so that no
+    more links come out than components go in, and no pair is written.
+    """
+    many = members.groupBy("p").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = (members.join(many, "p").withColumn("mine", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "c", "comp", "n",
-                    "registers"))
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            .select("p", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "c", "comp", "n",
+                    "registers", "ps", "text"))
+    rows = rows.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
 
-    def of_group(group: list):
+    def of_group(group: list) -> list:
         i, j, mine, c, comp, n = (np.array([r[k] for r in group], np.int64) for k in range(1, 7))
         x = np.frombuffer(b"".join(r[7] for r in group), np.uint16).reshape(len(group), REGISTERS)
         left, right = np.flatnonzero(mine == i[0]), np.flatnonzero(mine == j[0])
+        sets, out = {}, []
+
+        def full(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles(group[k][9])
+            return sets[k]
+
         for p in left.tolist():
-            q = right[(comp[right] != comp[p]) & ((right > p) | (i[0] != j[0]))]
+            q = right[(right > p) | (i[0] != j[0])]
+            q = q[(comp[q] != comp[p]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))]
             q = q[may_link(x[p], x[q], n[p], n[q], percent)] if len(q) else q
-            if len(q):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[p], c[q])), pa.array(np.maximum(c[p], c[q]))], ["a", "b"])
+            for k in q.tolist():
+                if comp[k] == comp[p] or min(set(group[p][8]).intersection(group[k][8])) != group[0][0]:
+                    continue
+                small, large = (full(p), full(k)) if n[p] < n[k] else (full(k), full(p))
+                at = np.searchsorted(large, small)
+                common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+                if 100 * common >= percent * (len(small) + len(large) - common):
+                    out.append((int(c[p]), int(c[k])))
+                    comp[comp == comp[k]] = comp[p]
+        return out
 
     def run(batches):
         key, group = None, []
+
+        def done():
+            found = of_group(group) if len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
                 if row[:3] != key:
-                    if len(group) > 1:
-                        yield from of_group(group)
+                    yield done()
                     key, group = row[:3], []
                 group.append(row)
-        if len(group) > 1:
-            yield from of_group(group)
+        yield done()
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 class Confirm:
@@ -234,11 +258,14 @@ def labelled(docs: DataFrame, id: str, text: str, percent: int, rounds: int = 3)
             best = F.max_by(F.struct("a", "b"), F.struct("k", F.xxhash64("a", "b")))
             pairs = scratch.keep(pairs.groupBy("c").agg(best.alias("v")).select("v.a", "v.b").distinct(), f"met-{t}")
             held = pairs if held is None else held.unionByName(pairs)
-            pairs = likely(pairs, classes, percent)
+            links = confirm.links(likely(pairs, classes, percent), f"round-{t}")
         else:
-            cards = known.join(mixed.select("key"), "key").join(classes.select("c", "n", "registers"), "c")
-            pairs = remaining(cards.select("key", "c", "comp", "n", "registers"), percent).join(held, ["a", "b"], "left_anti")
-        links = confirm.links(pairs, f"round-{t}")
+            # all that share a bucket share its pivot; a group per pivot has each class once
+            groups = scratch.keep(known.join(mixed.select("key", F.col("pivot.c").alias("p")), "key").select(
+                "p", "c", "comp").distinct(), "groups")
+            cards = groups.join(groups.groupBy("c").agg(F.sort_array(F.collect_list("p")).alias("ps")), "c")
+            cards = cards.join(classes.select("c", "n", "registers"), "c").join(confirm.texts, "c")
+            links = scratch.keep(rest_links(cards.select("p", "c", "comp", "n", "registers", "ps", "text"), percent), "rest-links")
         if not links.isEmpty():
             roots = merged(roots, links, scratch, f"components-{t}")
     if roots is None:
