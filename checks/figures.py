@@ -101,6 +101,22 @@ def q1(spark, sf):
     return r6(figures.release_summary(*_inputs(spark, sf), param="Z", freq=4000, max_time=36, exclude=["exp9"]))
 
 
+@check("q1_release_summary_of_sound_dates",
+       _paired_sql("param = 'Z' and freq = 4000 and date in ('exp0', 'exp3', 'exp8')", "date, well")
+       + spread("tr", "freq, param, gf, pair_ind, conc, dose, time_bin, treat2"), BASE + " rel")
+def q1_sound(spark, sf):
+    r, a, _ = _inputs(spark, sf)
+    return r6(figures.release_summary(r, a, X.spoiled_marks(spark, sf), param="Z", freq=4000, max_time=36, exclude=["exp9"]))
+
+
+@check("q1_release_summary_of_carriers", _paired_sql("param = 'Z' and date in (select date from annotations where value = 'siCD44')",
+                                                     "date, well, freq")
+       + spread("tr", "freq, param, gf, pair_ind, conc, dose, time_bin, treat2"), BASE + " rel")
+def q1_carriers(spark, sf):
+    return r6(figures.release_summary(*_inputs(spark, sf), param="Z", series=("date", "well", "freq"), max_time=36,
+                                      exclude=["exp9"], carrier="siCD44"))
+
+
 @check("q5_release_all_frequencies", _paired_sql("true", "date, well, param, freq")
        + mean_se("tr", "param, freq, gf, pair_ind, dose, treat2, time_bin"), BASE + " rel")
 def q5(spark, sf):

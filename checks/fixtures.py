@@ -97,6 +97,18 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "date", "m.time_h", "m.label").where(F.col("time_h").isNotNull())
 
 
+def spoiled_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of which some dates have one, four, none, two at one time, one without a time, one before the start."""
+    m = marks(spark, sf_dir)
+    is_ = lambda date, label: (F.col("date") == date) & (F.col("label") == label)
+    time = F.when(is_("exp7", "Starv"), -0.5).when(~is_("exp6", "Preinc"), F.col("time_h"))
+    kept = m.where(((F.col("date") != "exp1") | (F.col("label") == "Starv")) & (F.col("date") != "exp5"))
+    kept = kept.select("date", time.alias("time_h"), "label")
+    extra = m.where(is_("exp2", "Starv")).select("date", F.lit(30.0).alias("time_h"), F.lit("extra").alias("label"))
+    again = m.where(is_("exp4", "Starv")).select("date", "time_h", F.lit("again").alias("label"))
+    return kept.unionByName(extra).unionByName(again)
+
+
 def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modelled values: Rb and Alpha, with drift and fit error beside them."""
     rows = readings(spark, sf_dir).where(F.col("param").isin("Rb", "Alpha"))
@@ -200,6 +212,14 @@ def comment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_date.select(path.alias("path"), F.array_join(lines, "\n").alias("content"))
 
 
+def twin_detail_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The details sheets of customers, two workbooks to a date."""
+    texts = detail_texts(spark, sf_dir)
+    key = F.regexp_extract("path", "RUN_([0-9]+)_", 1).cast("long")
+    return texts.withColumn("path", F.concat(F.lit("rawdata/RUN_"), _digits(F.floor(key / 2)), F.lit("_MFT_"),
+                                             (key % 2 + 1).cast("string"), F.lit(".xls/Details.csv")))
+
+
 def detail_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A details sheet per customer: a title line and ten rows, of which eight count."""
     c = table(spark, sf_dir, "customer")
@@ -256,6 +276,12 @@ SQL_MARKS = """marks as (
   union all select 'exp' || cast(d as varchar), (200 + d) / 10.0::double, 'Preinc' from d where d % 5 <> 4
   union all select 'exp' || cast(d as varchar), (240 + d) / 10.0::double, 'GF added' from d)"""
 
+SQL_SPOILED = """spoiled as (
+  select date, case when date = 'exp6' and label = 'Preinc' then null when date = 'exp7' and label = 'Starv' then -0.5::double else time_h end as time_h,
+         label from marks where date <> 'exp5' and (date <> 'exp1' or label = 'Starv')
+  union all select date, 30.0::double, 'extra' from marks where date = 'exp2' and label = 'Starv'
+  union all select date, time_h, 'again' from marks where date = 'exp4' and label = 'Starv')"""
+
 SQL_MODELLED = """modelled as (
   select date, well, param, time_h, value, value % 1 as drift, value / 100 as rmse
   from readings where param in ('Rb', 'Alpha'))"""

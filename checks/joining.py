@@ -165,3 +165,19 @@ def j13(spark, sf):
 def j14(spark, sf):
     df = X.readings(spark, sf).select("date", "time_h", "value")
     return joins.assign_ranges(df, timeline.mark_ranges(X.marks(spark, sf)), ["date"], "time_h")
+
+
+# From half an hour before each mark to two hours after it, and from the start of all recordings to each mark: no key.
+_SPANS = """spans as (select date || ' ' || label as span, time_h - 0.5 as lo, time_h + 2 as hi from marks
+  union all select date || ' before ' || label, '-inf'::double, time_h from marks)"""
+
+
+@check("j14_overlapping_ranges", f"""with {_SPANS} select span, param, count(*) as n, {q6('sum(value)')} as total
+from readings r join spans s on s.lo < r.time_h and r.time_h <= s.hi group by span, param""", "readings marks")
+def j14b(spark, sf):
+    m = X.marks(spark, sf)
+    name, t = F.concat("date", F.lit(" "), "label"), F.col("time_h")
+    around = m.select(name.alias("span"), (t - 0.5).alias("lo"), (t + 2).alias("hi"))
+    before = m.select(F.concat("date", F.lit(" before "), "label").alias("span"), F.lit(float("-inf")).alias("lo"), t.alias("hi"))
+    joined = joins.overlap_join(X.readings(spark, sf).select("param", "time_h", "value"), around.unionByName(before), "time_h")
+    return r6(joined.groupBy("span", "param").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")))

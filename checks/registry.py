@@ -18,6 +18,7 @@ PARTS = {
     "wide": X.SQL_WIDE,
     "others": X.SQL_OTHERS,
     "marks": X.SQL_MARKS,
+    "spoiled": X.SQL_SPOILED,
     "modelled": X.SQL_MODELLED,
     "phased": X.SQL_PHASED,
     "wells": X.SQL_WELLS,

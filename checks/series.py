@@ -122,6 +122,24 @@ def w13(spark, sf):
     return timeline.segment_by_marks(X.readings(spark, sf), X.marks(spark, sf))
 
 
+@check("w13_refused_dates", """select * from (select d.date, count(m.date) as n_marks,
+  case count(m.date) when 0 then 'no marks' when 1 then 'fewer than two marks' when 4 then 'more than three marks' else
+    case when count(m.time_h) < count(m.date) then 'a mark without a time'
+         when count(distinct m.time_h) < count(m.time_h) then 'two marks at one time'
+         when min(m.time_h) <= 0 then 'a mark at or before the start' end end as reason
+  from (select distinct date from readings) d left join spoiled m on m.date = d.date group by d.date) where reason is not null""",
+       "readings marks spoiled")
+def w13b(spark, sf):
+    return timeline.refused_dates(X.spoiled_marks(spark, sf), X.readings(spark, sf))
+
+
+# The dates whose marks are not spoiled have their phases; the others are set aside.
+@check("w13_segments_of_sound_dates", "select * from phased where date in ('exp0', 'exp3', 'exp8', 'exp9')", "readings marks phased")
+def w13c(spark, sf):
+    sound = timeline.sound_marks(X.spoiled_marks(spark, sf))
+    return timeline.segment_by_marks(X.readings(spark, sf), sound, on_invalid="drop")
+
+
 @check("w14_common_length", """with t as (select date, well, time_h, cast(floor(time_h * 10) as integer) as time_bin from readings),
 c as (select date, count(distinct time_bin) as n from t group by date)
 select * from t where time_bin <= (select min(n) from c)""", "readings")
@@ -194,6 +212,24 @@ def t3b(spark, sf):
     return r6(whole.na.fill(0, ["n"]))
 
 
+# erfc(sqrt(q / 2)) as one less the series 2 z / sqrt(pi) e^(-z^2) sum (2 z^2)^n / (2n + 1)!!, z^2 = q / 2.
+_ERFC = """case when q = 0 then 1.0 when q > 0 then 1 - exp(-q / 2) * sqrt(2 * q) * list_sum(list_transform(range(0, 400),
+  lambda n: exp(n * ln(q) - (n + 1) * ln(2) - lgamma(n + 1.5)))) end"""
+
+
+@check("t3_box_test", f"""with {_RESIDUALS}, m as (select *, residual - avg(residual) over w as d,
+  row_number() over (w order by time_h) as i from res where residual is not null window w as (partition by date, well, param)),
+s as (select date, well, param, sum(d * d) as s0, count(*) as n from m group by date, well, param),
+g as (select a.date, a.well, a.param, sum(a.d * b.d) as g from m a join m b
+  on a.date = b.date and a.well = b.well and a.param = b.param and b.i = a.i + 1 group by all),
+t as (select date, well, param, case when n > 3 then n * pow(coalesce(g, 0) / nullif(s0, 0), 2) end as q, n
+  from s left join g using (date, well, param))
+select date, well, param, {q6('q')} as q, n, {q6(_ERFC)} as p_value from t""", "readings")
+def t3c(spark, sf):
+    residuals = diagnostics.ar1_residuals(X.readings(spark, sf), MODEL_SERIES)
+    return r6(diagnostics.box_test(residuals, MODEL_SERIES, min_n=4))
+
+
 @check("t4_linear_trend", f"""select date, well, param, {q6('regr_slope(value, time_h)')} as slope,
   {q6('regr_intercept(value, time_h)')} as intercept, {q6('regr_r2(value, time_h)')} as r2,
   cast(regr_count(value, time_h) as bigint) as n from readings group by date, well, param""", "readings")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -76,3 +77,21 @@ def to_micromolar(c: Column | str) -> Column:
 def safe_ratio(a: Column | str, b: Column | str) -> Column:
     """a / b, NULL where b is 0."""
     return F.try_divide(_col(a), _col(b))
+
+
+def chi2_tail(c: Column | str, freedom: int, terms: int = 200) -> Column:
+    """Probability that a chi-square variable of `freedom` degrees exceeds a number; 1 where that is not above zero.
+
+    The incomplete gamma function, by its power series below the bulk of the distribution and by its continued fraction,
+    from the inside out, above it. Both converge there in far fewer than `terms` steps, unless `freedom` is in the hundreds.
+    """
+    a, h = freedom / 2, _col(c).cast("double") / 2
+    # 1 + h/(a+1) (1 + h/(a+2) (1 + ...)), from the inside out
+    steps = F.sequence(F.lit(terms), F.lit(1), F.lit(-1))
+    series = F.aggregate(steps, F.lit(1.0), lambda acc, i: 1 + acc * h / (i + F.lit(a)))
+    below = 1 - F.exp(F.lit(a) * F.ln(h) - h - F.lit(math.lgamma(a + 1))) * series
+    # 1 / (b0 + a1 / (b1 + a2 / (b2 + ...))), b_i = h + 2i + 1 - a, a_i = -i (i - a)
+    deepest = h + F.lit(2.0 * terms + 1 - a)
+    fraction = F.aggregate(steps, deepest, lambda acc, i: h + 2 * i - 1 - F.lit(a) - i * (i - F.lit(a)) / acc)
+    above = F.exp(F.lit(a) * F.ln(h) - h - F.lit(math.lgamma(a))) / fraction
+    return F.when(h <= 0, F.lit(1.0)).when(h < a + 1, below).when(h.isNotNull(), above)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platewise.functions.numbers import chi2_tail
 from platewise.operators.joins import attach
 from platewise.operators.rows import following_values
 from platewise.schema import SERIES
@@ -73,6 +74,15 @@ def box_pierce(df: DataFrame, by: Sequence[str] = SERIES, lag: int = 1, value: s
     return acf.groupBy(*by, "n").agg(q.alias("q")).select(*by, "q", "n")
 
 
+def box_test(df: DataFrame, by: Sequence[str] = SERIES, lag: int = 1, value: str = "residual",
+             order: Sequence[str] = ("time_h",), min_n: int = 0, fitted: int = 0) -> DataFrame:
+    """(by, q, n, p_value): `box_pierce` with the probability of a larger q were the values uncorrelated: that of a
+    chi-square variable of `lag` less `fitted` (parameters fitted before) degrees of freedom."""
+    if lag <= fitted:
+        raise ValueError("more lags than fitted parameters are needed")
+    return box_pierce(df, by, lag, value, order, min_n).withColumn("p_value", chi2_tail("q", lag - fitted))
+
+
 def linear_trend(df: DataFrame, by: Sequence[str] = SERIES, value: str = "value", time: str = "time_h") -> DataFrame:
     """(by, slope, intercept, r2, n) of the value against time in hours."""
     return df.groupBy(*by).agg(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.schema import LAYERS, WELL
@@ -123,3 +123,32 @@ def assign_ranges(df: DataFrame, ranges: DataFrame, by: Sequence[str], value: st
     """
     hit = (F.col("lo") < F.col(value)) & (F.col(value) <= F.col("hi"))
     return df.join(ranges, list(by)).where(hit).drop("lo", "hi")
+
+
+def overlap_join(df: DataFrame, ranges: DataFrame, value: str, width: float = 1.0) -> DataFrame:
+    """Rows of `df` beside every range (lo, hi] of `ranges` that their value lies in; no key but the value is needed, and
+    ranges may overlap.
+
+    A range belongs to the level whose buckets, of `width` times a power of two, are at least as wide as it is, so it
+    touches two buckets at most, and a value is looked up once per level that occurs. Bucket and level carry the join; the
+    range is tested on what meets, and a value has one bucket per level, so no pair is lost or doubled. Ranges that reach
+    beyond the values, infinite ones too, are cut to them first. Empty ranges and missing ends or values match nothing.
+    """
+    v = F.col(value)
+    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    least, most = ends.select("lo").scalar(), ends.select("hi").scalar()
+    lo, hi = F.greatest(F.col("lo"), least - F.lit(width)), F.least(F.col("hi"), most)
+    cut = ranges.withColumns({"_lo": lo, "_hi": hi}).where(F.col("lo").isNotNull() & F.col("hi").isNotNull() & (F.col("_lo") < F.col("_hi")))
+    level = F.greatest(F.ceil(F.log2((F.col("_hi") - F.col("_lo")) / width)), F.lit(0))
+
+    def size(n) -> Column:
+        return F.lit(width) * F.pow(F.lit(2.0), n)
+
+    levelled = cut.withColumn("_level", level)
+    first, last = F.floor(F.col("_lo") / size(F.col("_level"))), F.floor(F.col("_hi") / size(F.col("_level")))
+    dealt = levelled.withColumn("_bucket", F.explode(F.sequence(first, last))).drop("_lo", "_hi")
+    levels = levelled.agg(F.collect_set("_level")).scalar()
+    probes = df.where(v.isNotNull()).withColumn("_level", F.explode(levels))
+    probes = probes.withColumn("_bucket", F.floor(v / size(F.col("_level"))))
+    hit = (F.col("lo") < v) & (v <= F.col("hi"))
+    return probes.join(dealt, ["_level", "_bucket"]).where(hit).drop("_level", "_bucket")

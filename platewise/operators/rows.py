@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.operators.joins import attach
+from platewise.session import materialise
 
 
 def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str] = ("time_h",), chunk: float = 1.0,
@@ -34,6 +35,27 @@ def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str] = ("time_
     )
 
 
+def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], weight: str, out: str = "upto",
+                   parts: int | None = None) -> DataFrame:
+    """Adds `out`: the sum of `weight` over the group's rows up to and with this one, in the order given.
+
+    Rows are sorted by ranges of (by, order) whose edges come from a sample, so that each range holds about as many rows as
+    any other, wherever the values lie and however large a group is. A row's total is that of the group's earlier ranges and
+    the running sum inside its own. The ranges are written, since an edge must not move once it is counted by.
+    """
+    by, order = list(by), list(order)
+    placed = df.repartitionByRange(parts, *by, *order) if parts else df.repartitionByRange(*by, *order)
+    placed = materialise(placed.withColumn("_part", F.spark_partition_id()), "ranges")
+    keys = [*by, "_part"]
+    before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy("_part").rowsBetween(
+        Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(*keys).agg(F.sum(weight).alias("_size"))
+    starts = sizes.select(*keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = placed.withColumn(out, F.sum(weight).over(inside))
+    return attach(local, starts, keys, null_safe=True).withColumn(out, F.col(out) + F.col("_start")).drop("_start", "_part")
+
+
 def following_values(df: DataFrame, by: Sequence[str], value: str = "value", lags: int = 1,
                      order: Sequence[str] = ("time_h",), chunk: float = 1.0) -> DataFrame:
     """Adds `next_1 .. next_<lags>`: the values 1 .. `lags` rows later in the series, NULL past its end.

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.operators.joins import attach
 from platewise.operators.normalise import strict_mean
+from platewise.operators.rows import running_totals
 
 
 def mean_by(df: DataFrame, keys: Sequence[str], value: str = "value", na_rm: bool = True,
@@ -80,26 +81,18 @@ def single_bin(df: DataFrame, at: int, name: str = "time_bin") -> DataFrame:
 # --- quantiles --------------------------------------------------------------------------------------
 
 def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping[str, float],
-              buckets: int = 1024) -> DataFrame:
+              parts: int | None = None) -> DataFrame:
     """Exact quantiles (linear interpolation between order statistics) per key group.
 
-    Equal values are counted together, then every group is cut into `buckets` value ranges whose sizes give
-    the rank at which each range starts; ranks are finished inside the ranges. So a group of any size is
-    spread over as many tasks as it has ranges, and no task holds a whole group.
+    Equal values are counted together; the distinct ones are ranked by ranges of equal numbers of rows (`running_totals`), so
+    no task holds a whole group, and an outlier does not gather the other values in one range.
     """
     keys = list(keys)
     counted = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("_v")).agg(
         F.count(F.lit(1)).alias("_n"))
-    ends = counted.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
-    width = F.col("_hi") - F.col("_lo")
-    place = F.floor((F.col("_v") - F.col("_lo")) / F.nullif(width, F.lit(0.0)) * buckets)
-    ranged = attach(counted, ends, keys, null_safe=True).withColumn("_b", F.least(F.coalesce(place, F.lit(0)), F.lit(buckets - 1)))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy(*keys, "_b").agg(F.sum("_n").alias("_size")).select(
-        *keys, "_b", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = attach(ranged, starts, [*keys, "_b"], null_safe=True).withColumn("_upto", F.col("_start") + F.sum("_n").over(inside))
+    ranked = running_totals(counted, keys, ["_v"], "_n", "_upto", parts)
+    totals = ranked.groupBy(*keys).agg(F.max("_upto").alias("_total"))
+    ranked = attach(ranked, totals, keys, null_safe=True)
 
     def value_at(rank: Column) -> Column:
         return F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank), F.col("_v")))

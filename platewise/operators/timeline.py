@@ -102,10 +102,7 @@ def hour_bins(df: DataFrame, by: Sequence[str] = ("date",), time: str = "time_h"
         hour, on_break = "_hour", "_on_break"
         work = work.withColumn(hour, F.floor(time)).withColumn(on_break, F.col(time) == F.col("_hour"))
     if windowed:
-        w = Window.partitionBy(*by).orderBy(hour)
-        later = w.rangeBetween(1, Window.unboundedFollowing)
-        joined = work.withColumn("_rank", F.when(F.col(hour).isNotNull(), F.dense_rank().over(w)))
-        joined = joined.withColumn("_next", F.min(hour).over(later))
+        joined = with_next_hour(work, by, hour)
     else:
         found = hour_breaks(work, by, hour) if breaks is None else breaks
         joined = attach(work, found, [*by, hour], "left", null_safe=True)
@@ -114,6 +111,22 @@ def hour_bins(df: DataFrame, by: Sequence[str] = ("date",), time: str = "time_h"
     return binned.select(*df.columns, name)
 
 
+def with_next_hour(df: DataFrame, by: Sequence[str], hour: str) -> DataFrame:
+    """Adds `_rank`, the number of the row's hour among the group's distinct hours, and `_next`, the hour that follows.
+
+    Rows of one hour are a run. Going down in time, the row before a run's first one lies in the next hour; it is noted
+    there and carried along the run, so every row is looked at once however long the recording is.
+    """
+    w = Window.partitionBy(*by)
+    down = w.orderBy(F.col(hour).desc_nulls_last())
+    noted = df.withColumn("_before", F.lag(hour).over(down))
+    opens = F.when(F.col("_before").isNull() | (F.col("_before") > F.col(hour)), F.struct("_before"))
+    carried = F.last(opens, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    there = F.col(hour).isNotNull()
+    return noted.withColumn("_next", F.when(there, carried["_before"])).withColumn(
+        "_rank", F.when(there, F.dense_rank().over(w.orderBy(F.col(hour).asc_nulls_last())))).drop("_before")
+
+
 def hourly_cells(df: DataFrame, keys: Sequence[str], time: str = "time_h", value: str = "value",
                  spread: bool = False) -> DataFrame:
     """Sum and counts per key, whole hour and whole-hour test; `spread` adds the squared deviations (m2).
@@ -144,6 +157,31 @@ def marks_wide(marks: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("_i") == i, F.col("time_h"))).alias(f"mark_{i}") for i in (1, 2, 3)])
 
 
+def refused_dates(marks: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """(date, n_marks, reason): the dates whose marks do not part a recording into phases, with the reason.
+
+    Two or three marks are needed, each with a time of its own above zero. With `dates` (a table of all dates), those
+    without a mark are refused as well. One row per date; everything is a count, so many marks do no harm.
+    """
+    t = F.col("time_h")
+    counted = marks.groupBy("date").agg(
+        F.count(F.lit(1)).alias("n_marks"), F.count(t).alias("_timed"), F.count_distinct(t).alias("_own"), F.min(t).alias("_lo"))
+    if dates is not None:
+        counted = attach(dates.select("date").distinct(), counted, ["date"], "left", null_safe=True).na.fill(
+            0, ["n_marks", "_timed", "_own"])
+    n = F.col("n_marks")
+    reason = (F.when(n == 0, "no marks").when(n < 2, "fewer than two marks").when(n > 3, "more than three marks")
+              .when(F.col("_timed") < n, "a mark without a time").when(F.col("_own") < n, "two marks at one time")
+              .when(F.col("_lo") <= 0, "a mark at or before the start"))
+    return counted.select("date", "n_marks", reason.alias("reason")).where("reason is not null")
+
+
+def sound_marks(marks: DataFrame) -> DataFrame:
+    """The marks of all dates that `refused_dates` does not name."""
+    bad = refused_dates(marks).select(F.col("date").alias("_date"))
+    return marks.join(bad, F.col("date").eqNullSafe(F.col("_date")), "left_anti")
+
+
 def segment_by_marks(df: DataFrame, marks: DataFrame, time: str = "time_h", name: str = "mark",
                      on_invalid: str = "error") -> DataFrame:
     """Phase of each row from the marks table; see `segment_by_cuts`."""
@@ -154,8 +192,9 @@ def segment_by_cuts(df: DataFrame, cuts: DataFrame, time: str = "time_h", name:
                     on_invalid: str = "error") -> DataFrame:
     """Phase of each row. Two marks part Seed, Starv, Release; three part Seed, Starv, Preinc, Release.
 
-    `cuts` is what `marks_wide` gives. Phases are open to the left, so time 0 has none. Dates with any other number of marks raise an error,
-    or get NULL with on_invalid='null'. Each date contributes one row, so the join adds no rows.
+    `cuts` is what `marks_wide` gives. Phases are open to the left, so time 0 has none. Dates with any other number of
+    marks raise an error, get NULL with on_invalid='null', or are left out with on_invalid='drop'; `refused_dates` names
+    them. Each date contributes one row, so the join adds no rows.
     """
     t = F.col(time)
     two, three = PHASES_TWO_MARKS, PHASES_THREE_MARKS
@@ -165,10 +204,12 @@ def segment_by_cuts(df: DataFrame, cuts: DataFrame, time: str = "time_h", name:
         .when(t <= F.col("mark_3"), three[2]).otherwise(three[3])
     )
     n = F.col("n_marks")
-    bad = F.lit(None).cast("string") if on_invalid == "null" else F.raise_error(
+    if on_invalid == "drop":
+        cuts = cuts.where(n.isin(2, 3))
+    bad = F.lit(None).cast("string") if on_invalid != "error" else F.raise_error(
         F.concat(F.lit("two or three marks are needed, date "), F.col("date"))).cast("string")
     phase = F.when(n == 2, F.when(t > 0, by_two)).when(n == 3, F.when(t > 0, by_three)).otherwise(bad)
-    joined = attach(df, cuts, ["date"], "left", null_safe=True)
+    joined = attach(df, cuts, ["date"], "inner" if on_invalid == "drop" else "left", null_safe=True)
     return joined.withColumn(name, phase).drop("n_marks", "mark_1", "mark_2", "mark_3")
 
 

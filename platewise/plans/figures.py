@@ -28,7 +28,7 @@ from platewise.operators.rows import edge_rows
 from platewise.operators.summary import cell_mean, cells_mean_se, histogram, mean_by, mean_se, summarise_experiments
 from platewise.operators.timeline import (
     align_right, clip_time, common_length, hour_bins, hour_breaks, hourly_cells, marks_wide, rebase_to,
-    rebase_to_mark, release_time, replicated_horizon, segment_by_cuts, start_times,
+    rebase_to_mark, release_time, replicated_horizon, segment_by_cuts, sound_marks, start_times,
 )
 from platewise.schema import LAYERS, MODEL_SERIES, SERIES, WELL
 from platewise.session import materialise
@@ -64,12 +64,12 @@ def plates(annotations: DataFrame, marks: DataFrame, carrier: str | None = None)
     if carrier is not None:
         annotations = keep_dates(annotations, dates_with(annotations, carrier))
     wide = materialise(wide_annotations(annotations, {"serum": "FBS"}), "wide")
-    return wide, materialise(marks_wide(marks), "cuts")
+    return wide, materialise(marks_wide(sound_marks(marks)), "cuts")
 
 
 def phase_rows(readings: DataFrame, cuts: DataFrame, phases: Sequence[str] = ("Release",), **wanted) -> DataFrame:
-    """Readings of the chosen phases."""
-    phased = segment_by_cuts(select_readings(readings, **wanted), cuts)
+    """Readings of the chosen phases. Dates without sound marks are set aside; `refused_dates` names them."""
+    phased = segment_by_cuts(select_readings(readings, **wanted), cuts, on_invalid="drop")
     return phased.where(F.col("mark").isin(list(phases))).drop("mark")
 
 
@@ -95,6 +95,23 @@ def release_rows(readings: DataFrame, annotations: DataFrame, marks: DataFrame,
     return rebase_to(rows, starts_of(rows, wells)), wells
 
 
+def release_heads(readings: DataFrame, annotations: DataFrame, marks: DataFrame, series: Sequence[str], n: int = 3,
+                  known: bool = False, density: str | None = "5000", carrier: str | None = None,
+                  **wanted) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As `release_rows`, and third the first n rows of each of the `series` (with `known`, those that have a value), by the
+    same time. One pass over the readings finds these rows and, as a series starts with its first row, the starts; so
+    a figure reads the readings twice, here and for its cells."""
+    wide, cuts = plates(annotations, marks, carrier)
+    wells = select_readings(wide, celldensity=density)
+    rows = phase_rows(readings, cuts, **wanted)
+    # rows without a value count for the start; they are numbered apart where only values are wanted
+    kind = F.col("value").isNull() if known else F.lit(False)
+    heads = materialise(edge_rows(rows.select(*series, "time_h", "value", kind.alias("_none")), [*series, "_none"], n), "heads")
+    starts = starts_of(heads, wells)
+    first = rebase_to(heads.where(~F.col("_none")), starts).drop("rn", "_none")
+    return rebase_to(rows, starts), wells, first
+
+
 def scale_cells(cells: DataFrame, base: str) -> DataFrame:
     """Cells divided by their series' baseline; without a usable baseline they count as missing."""
     scaled = cells.withColumn("total", safe_ratio("total", base))
@@ -126,12 +143,13 @@ def paired_release(readings: DataFrame, annotations: DataFrame, marks: DataFrame
                    param=None, freq=None, carrier: str | None = None) -> DataFrame:
     """Experiment means per hour of wells relative to their first three readings, in control/induced pairs. With
     `carrier`, only of the experiments that carry that annotation value: their class."""
-    rows, wells = release_rows(exclude_dates(readings, exclude), annotations, marks, carrier=carrier, param=param, freq=freq)
-    rows = clip_time(rows, hi=max_time)
+    rows, wells, heads = release_heads(exclude_dates(readings, exclude), annotations, marks, series, carrier=carrier,
+                                       param=param, freq=freq)
+    rows, heads = clip_time(rows, hi=max_time), clip_time(heads, hi=max_time)
     keys = ["conc", "dose", "gf", "treatment"]
     cells = annotate(hourly_cells(rows, SERIES), effective_doses(wells, min_dose=min_dose).select(*WELL, *keys))
     binned = hour_bins(cells, series, hour="hour", on_break="on_break", windowed=True).where("time_bin is not null")
-    scaled = scale_cells(attach(binned, baseline(rows, series, "div_head"), series), "base")
+    scaled = scale_cells(attach(binned, baseline(heads, series, "div_head"), series), "base")
     means = scaled.groupBy("freq", "param", "date", *keys, "time_bin").agg(cell_mean(na_rm=False).alias("value"))
     labelled = treat_labels(mark_untreated(materialise(means, "means")), LABEL_RENAMES_V1)
     return dates_with_treated(pairs(labelled, ["gf"]), ["gf", "pair_ind"])
@@ -433,11 +451,11 @@ def frequency_spectrum(readings: DataFrame, annotations: DataFrame, marks: DataF
                        panels: Mapping[str, Sequence[str]] | None = None, carrier: str | None = SILENCER) -> DataFrame:
     """All frequencies of silencing experiments side by side: wells relative to their first value after release, by
     treatment and dose."""
-    rows, wells = release_rows(readings, annotations, marks, carrier=carrier)
+    rows, wells, heads = release_heads(readings, annotations, marks, SERIES, 1, carrier=carrier)
     cells = hourly_cells(rows, SERIES, spread=True)
     cells = materialise(annotate(cells, wells.select(*WELL, "gf", "conc", "treatment")), "cells")
     binned = hour_bins(cells, ["date"], hour="hour", on_break="on_break").where("time_bin is not null")
-    based = attach(binned, baseline(rows, SERIES, how), SERIES)
+    based = attach(binned, baseline(heads, SERIES, how), SERIES)
     moved = scale_cells(based, "base") if how in DIVIDE else shift_cells(based, "base")
     return cells_mean_se(
         with_panels(moved, panels or SPECTRUM_PANELS), ["panel", "param", "freq", "treatment", "conc", "time_bin"])
@@ -446,7 +464,7 @@ def frequency_spectrum(readings: DataFrame, annotations: DataFrame, marks: DataF
 def early_sirna(readings: DataFrame, annotations: DataFrame, marks: DataFrame, subtract_head: bool = True,
                 panels: Mapping[str, Sequence[str]] | None = None, n: int = 3, carrier: str | None = SILENCER) -> DataFrame:
     """Silencing experiments after release, wells against the mean of their first three values (or raw)."""
-    rows, wells = release_rows(readings, annotations, marks, carrier=carrier)
+    rows, wells, heads = release_heads(readings, annotations, marks, SERIES, n, known=True, carrier=carrier)
     cells = hourly_cells(rows, SERIES, spread=True)
     cells = materialise(annotate(cells, wells.select(*WELL, "gf", "conc", "treatment", "full")), "cells")
     binned = hour_bins(cells, ["date"], hour="hour", on_break="on_break")
@@ -454,8 +472,8 @@ def early_sirna(readings: DataFrame, annotations: DataFrame, marks: DataFrame, s
     if subtract_head:
         # The cells kept of a series are its earliest, so its first kept values are those of its first values
         # that lie in kept cells.
-        head = edge_rows(rows.where(F.col("value").isNotNull()), SERIES, n).withColumn("hour", F.floor("time_h"))
-        head = head.withColumn("on_break", F.col("time_h") == F.col("hour")).drop("rn")
+        head = heads.withColumn("hour", F.floor("time_h"))
+        head = head.withColumn("on_break", F.col("time_h") == F.col("hour"))
         inside = head.join(shown.select(*SERIES, "hour", "on_break"), [*SERIES, "hour", "on_break"], "left_semi")
         base = inside.groupBy(*SERIES).agg(F.avg("value").alias("base"))
         shown = shift_cells(attach(shown, base, SERIES), "base")

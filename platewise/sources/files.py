@@ -76,18 +76,36 @@ def workbook_date(path: Column | str, version: int = 2) -> Column:
     return date_from_path(F.regexp_replace(path, "/[^/]+$", ""), version)
 
 
+def workbook_of(path: Column | str) -> Column:
+    """Which workbook a sheet's CSV is of: the name of the folder it lies in. A date may have several."""
+    path = F.col(path) if isinstance(path, str) else path
+    return F.regexp_extract(path, "([^/]+)/[^/]+$", 1)
+
+
 def sheets_to_long(texts: DataFrame) -> DataFrame:
     """(path, sheet, time_h, variable, value): one row per cell of every sheet CSV, each with its own header."""
     sheets = data_sheets(texts.withColumn("sheet", sheet_from_path("path")))
-    lines = sheets.withColumn("_lines", _lines("content")).select(
-        "path", "sheet", _cells(F.element_at("_lines", 1)).alias("_head"),
-        F.posexplode("_lines").alias("_no", "_line")).where(F.col("_no") > 0)
-    row = lines.withColumn("_row", _cells(F.col("_line")))
-    cells = row.select(
-        "path", "sheet", to_number(F.element_at("_row", 1)).alias("time_h"), "_head",
-        F.posexplode("_row").alias("_at", "_text")).where(F.col("_at") > 0)
-    return cells.select("path", "sheet", "time_h", F.try_element_at("_head", F.col("_at") + 1).alias("variable"),
-                        to_number("_text").alias("value"))
+    whole = sheets.select("path", "sheet", _lines("content").alias("_lines"))
+    headed = whole.select("path", "sheet", _cells(F.element_at("_lines", 1)).alias("_names"), "_lines")
+    cells = _zipped(headed, ["path", "sheet"], {"variable": "_names"}, 1)
+    return cells.select("path", "sheet", "time_h", "variable", to_number("_text").alias("value"))
+
+
+def _zipped(headed: DataFrame, keep: Sequence[str], heads: Mapping[str, str], first: int) -> DataFrame:
+    """(keep, time_h, a column per head, _at, _text): a row per cell of the lines from number `first` on, the line's first
+    cell being its time.
+
+    The heads are arrays made once per file, below the explode of lines. Each line is zipped with them before its
+    cells are exploded, so that a cell carries its own names and not the arrays. Cells beyond a head get a missing name.
+    """
+    names = list(heads.values())
+    lines = headed.select(*keep, *names, F.posexplode("_lines").alias("_no", "_line")).where(F.col("_no") >= first)
+    rows = lines.select(*keep, *names, _cells(F.col("_line")).alias("_row"))
+    each = F.transform("_row", lambda x, i: F.struct(
+        i.alias("_at"), x.alias("_text"), *[F.get(F.col(a), i).alias(name) for name, a in heads.items()]))
+    zipped = rows.select(*keep, to_number(F.element_at("_row", 1)).alias("time_h"),
+                         F.explode(F.slice(each, F.lit(2), F.greatest(F.size("_row") - 1, F.lit(0)))).alias("_cell"))
+    return zipped.select(*keep, "time_h", "_cell.*")
 
 
 def unpivot_readings(df: DataFrame, id_cols: Sequence[str]) -> DataFrame:
@@ -100,12 +118,13 @@ def split_variable(df: DataFrame, version: int = 2, variable: str = "variable")
         "param", param_from_variable(variable, version))
 
 
-def readings_from_sheets(texts: DataFrame, version: int = 2) -> DataFrame:
-    """Sheet CSVs to the readings table."""
+def readings_from_sheets(texts: DataFrame, version: int = 2, identity: bool = False) -> DataFrame:
+    """Sheet CSVs to the readings table, with `identity` beside the workbook that each comes from."""
     long = split_variable(sheets_to_long(texts), version)
     return long.select(
         workbook_date("path", version).alias("date"), "well", "param",
-        freq_from_sheet("sheet", version).alias("freq"), "time_h", "value")
+        freq_from_sheet("sheet", version).alias("freq"), "time_h", "value",
+        *([workbook_of("path").alias("workbook")] if identity else []))
 
 
 # --- comments and details ---------------------------------------------------------------------------
@@ -114,29 +133,34 @@ def parse_marks(comments: DataFrame) -> DataFrame:
     """Marks among numbered comment lines (date, line_no, text): the time stands in the mark's own line after
     ': ', its label two lines below. A workbook's comments are few; lines are looked up by number, inside their file
     where there is a `path`, since a date may have several workbooks."""
-    keys = [c for c in ("path", "date") if c in comments.columns]
+    keys = [c for c in ("path", "date", "workbook") if c in comments.columns]
     marks = comments.where(F.col("text").contains("<Mark>")).select(
         *keys, F.col("line_no").alias("_at"), to_number(F.element_at(F.split("text", ": "), 2)).alias("time_h"))
     labels = comments.select(*keys, (F.col("line_no") - 2).alias("_at"), F.col("text").alias("label"))
-    return marks.join(labels, [*keys, "_at"], "left").select("date", "time_h", "label")
+    more = ["workbook"] if "workbook" in keys else []
+    return marks.join(labels, [*keys, "_at"], "left").select("date", "time_h", "label", *more)
 
 
-def comment_lines(texts: DataFrame, version: int = 2) -> DataFrame:
-    """Comment sheet CSVs to numbered lines."""
+def comment_lines(texts: DataFrame, version: int = 2, identity: bool = False) -> DataFrame:
+    """Comment sheet CSVs to numbered lines, with `identity` beside their workbook."""
     comments = texts.where(sheet_from_path("path") == "Comments")
     return comments.select(
-        "path", workbook_date("path", version).alias("date"), F.posexplode(_lines("content")).alias("line_no", "text"))
+        "path", workbook_date("path", version).alias("date"), *([workbook_of("path").alias("workbook")] if identity else []),
+        F.posexplode(_lines("content")).alias("line_no", "text"))
 
 
-def detail_pairs(texts: DataFrame, version: int = 2, n: int = 8, skip: int = 1) -> DataFrame:
-    """(date, key, value, pos) of the first n rows of every details sheet, `skip` title lines left out."""
+def detail_pairs(texts: DataFrame, version: int = 2, n: int = 8, skip: int = 1, identity: bool = False) -> DataFrame:
+    """(date, key, value, pos) of the first n rows of every details sheet, `skip` title lines left out; with `identity`
+    also `workbook`, by which the details of two workbooks of one date stay apart."""
+    more = ["workbook"] if identity else []
     details = texts.where(sheet_from_path("path") == "Details")
     lines = details.select(
-        workbook_date("path", version).alias("date"), F.posexplode(_lines("content")).alias("_no", "_line"))
+        workbook_date("path", version).alias("date"), *([workbook_of("path").alias("workbook")] if identity else []),
+        F.posexplode(_lines("content")).alias("_no", "_line"))
     cells, pos = _cells(F.col("_line")), F.col("_no") - skip + 1
     return lines.where(pos.between(1, n)).select(
         "date", F.try_element_at(cells, F.lit(1)).alias("key"), F.try_element_at(cells, F.lit(2)).alias("value"),
-        pos.alias("pos"))
+        pos.alias("pos"), *more)
 
 
 def date_from_details(pairs: DataFrame, pos: int = 8) -> DataFrame:
@@ -145,9 +169,9 @@ def date_from_details(pairs: DataFrame, pos: int = 8) -> DataFrame:
 
 
 def details_wide(details: DataFrame, names: Sequence[str] | Mapping[str, str]) -> DataFrame:
-    """One row per date, one column per key."""
+    """One row per date (per workbook where `details` name it), one column per key."""
     names = dict(names) if isinstance(names, Mapping) else {x: x for x in names}
-    return details.groupBy("date").agg(
+    return details.groupBy("date", *[c for c in ("workbook",) if c in details.columns]).agg(
         *[F.max(F.when(F.col("key") == k, F.col("value"))).alias(out) for k, out in names.items()])
 
 
@@ -158,10 +182,10 @@ def plate_to_long(texts: DataFrame, version: int = 2) -> DataFrame:
 
     Cells that hold nothing, and wells that the grid leaves out, are NULL.
     """
-    grid = texts.select(
+    parsed = texts.select(
         date_from_path("path", version).alias("date"), layer_from_path("path", version).alias("layer"),
-        F.transform(_lines("content"), _cells).alias("_grid"),
-        F.explode(F.sequence(F.lit(0), F.lit(PLATE_ROWS * PLATE_COLS - 1))).alias("_i"))
+        F.transform(_lines("content"), _cells).alias("_grid"))
+    grid = parsed.select("date", "layer", "_grid", F.explode(F.sequence(F.lit(0), F.lit(PLATE_ROWS * PLATE_COLS - 1))).alias("_i"))
     row, col = F.floor(F.col("_i") / PLATE_COLS).cast("int"), (F.col("_i") % PLATE_COLS).cast("int")
     text = F.try_element_at(F.try_element_at("_grid", row + 1), col + 1)
     return grid.select("date", well_name(row, col).alias("well"), "layer", F.nullif(text, F.lit("")).alias("value"))
@@ -191,14 +215,10 @@ def union_layers(dfs: Sequence[DataFrame], defaults: Mapping[str, str] | None =
 # --- modelled parameters ----------------------------------------------------------------------------
 
 def _modelled_cells(texts: DataFrame) -> DataFrame:
-    lines = texts.withColumn("_lines", _lines("content")).select(
+    headed = texts.select("path", _lines("content").alias("_lines")).select(
         "path", _cells(F.try_element_at("_lines", F.lit(MODELLED_PARAM_LINE + 1))).alias("_params"),
-        _cells(F.try_element_at("_lines", F.lit(MODELLED_WELL_LINE + 1))).alias("_wells"),
-        F.posexplode("_lines").alias("_no", "_line")).where(F.col("_no") >= MODELLED_FIRST_DATA_LINE)
-    row = lines.withColumn("_row", _cells(F.col("_line")))
-    return row.select(
-        "path", "_params", "_wells", to_number(F.element_at("_row", 1)).alias("time_h"),
-        F.posexplode("_row").alias("_at", "_text")).where(F.col("_at") > 0)
+        _cells(F.try_element_at("_lines", F.lit(MODELLED_WELL_LINE + 1))).alias("_wells"), "_lines")
+    return _zipped(headed, ["path"], {"param": "_params", "well": "_wells"}, MODELLED_FIRST_DATA_LINE)
 
 
 def read_modelled_v1(texts: DataFrame) -> DataFrame:
@@ -224,23 +244,36 @@ def read_modelled_v2(texts: DataFrame) -> DataFrame:
     """Modelled exports by their two header lines (parameters, wells): (date, well, param, time_h, value)."""
     cells = _modelled_cells(texts)
     return cells.select(
-        date_from_path("path", 2).alias("date"), F.try_element_at("_wells", F.col("_at") + 1).alias("well"),
-        F.try_element_at("_params", F.col("_at") + 1).alias("param"), "time_h", to_number("_text").alias("value"))
+        date_from_path("path", 2).alias("date"), "well", "param", "time_h", to_number("_text").alias("value"))
 
 
 # --- everything -------------------------------------------------------------------------------------
 
-def ingest(texts: DataFrame, version: int = 2) -> dict[str, DataFrame]:
-    """All tables from one set of (path, content) rows, by file kind."""
+# Names of the files of each kind, as globs.
+KIND_GLOBS = {"sheet": "*.csv", "layer": "*etadata_*.csv", "modelled": "*_RbA.csv"}
+
+
+def ingest_folder(spark: SparkSession, root: str, version: int = 2, identity: bool = False) -> dict[str, DataFrame]:
+    """All tables from the files below a folder. Plate grids and modelled exports are picked by name before they are read,
+    so a table opens the files of its own kind only, and the workbooks' sheets are told apart by folder."""
+    return ingest(read_texts(spark, root, KIND_GLOBS["sheet"]), version, identity,
+                  layers=read_texts(spark, root, KIND_GLOBS["layer"]), modelled=read_texts(spark, root, KIND_GLOBS["modelled"]))
+
+
+def ingest(texts: DataFrame, version: int = 2, identity: bool = False, layers: DataFrame | None = None,
+           modelled: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables from one set of (path, content) rows, by file kind; `layers` and `modelled` hold the rows of these kinds
+    where they are read apart. With `identity`, readings, marks and details name their workbook."""
     kind = input_kind("path", version)
     workbook = F.regexp_extract("path", "^(.+\\.xlsx?)/[^/]+\\.csv$", 1)
     sheets = texts.where(input_kind(workbook, version) == "measurement")
-    modelled = texts.where(kind == "modelled")
+    modelled = (texts if modelled is None else modelled).where(kind == "modelled")
+    more = ["workbook"] if identity else []
     return {
-        "readings": readings_from_sheets(sheets, version),
-        "marks": parse_marks(comment_lines(sheets, version)),
-        "details": detail_pairs(sheets, version).select("date", "key", "value"),
-        "annotations": plate_to_long(texts.where(kind == "layer"), version),
+        "readings": readings_from_sheets(sheets, version, identity),
+        "marks": parse_marks(comment_lines(sheets, version, identity)),
+        "details": detail_pairs(sheets, version, identity=identity).select("date", "key", "value", *more),
+        "annotations": plate_to_long((texts if layers is None else layers).where(kind == "layer"), version),
         "modelled": read_modelled_v1(modelled) if version == 1 else read_modelled_v2(modelled),
     }
 
