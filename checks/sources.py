@@ -254,3 +254,11 @@ def q17(spark, sf):
     for p in parts[1:]:
         both = both.unionByName(p)
     return r6(both.groupBy("name", "date").agg(F.count("v").alias("n"), F.sum("value").alias("total")))
+
+
+@check("s8_details_by_workbook", """select lpad(cast(c_custkey // 2 as varchar), 6, '0') as date,
+  'RUN_' || lpad(cast(c_custkey // 2 as varchar), 6, '0') || '_MFT_' || cast(c_custkey % 2 + 1 as varchar) || '.xls' as workbook,
+  c_name as name, cast(c_nationkey as varchar) as nation, c_mktsegment as segment from customer""")
+def s8d(spark, sf):
+    pairs = files.detail_pairs(X.twin_detail_texts(spark, sf), identity=True)
+    return files.details_wide(pairs, {"key1": "name", "key2": "nation", "key3": "segment"})
