@@ -338,14 +338,15 @@ def q15(spark, sf):
     return r6(figures.hourly_well_means(X.modelled(spark, sf), X.annotations(spark, sf)))
 
 
-def _dose(name: str, gfs: tuple, pool: str, pools: dict, extra: tuple, serum: str | None):
+def _dose(name: str, gfs: tuple, pool: str, pools: dict, extra: tuple, serum: str | None, rename: dict | None = None):
     keys = ", ".join(("time_bin", "parameter", "gf", "conc", *extra))
     lvl = "('Z1k', 'Z2k', 'Z4k', 'Z8k', 'Z16k', 'Z32k', 'Z64k')"
     members = ", ".join(f"'{g}'" for g in gfs)
+    gf = "a.gf" if not rename else "case a.gf " + " ".join(f"when '{x}' then '{y}'" for x, y in rename.items()) + " else a.gf end"
 
     @check(name, f"""with {_HOURLY}, e as (
-  select h.*, a.gf, a.celldensity, floor(round(pow(10, log10(greatest(a.conc, 1))), 9)) as c from h
-  join ann a on h.date = a.date and h.well = a.well where a.gf in ({members}) {"and a.date in (select date from annotations where layer = 'serum')" if serum else ''}),
+  select h.*, {gf} as gf, a.celldensity, floor(round(pow(10, log10(greatest(a.conc, 1))), 9)) as c from h
+  join ann a on h.date = a.date and h.well = a.well where {gf} in ({members}) {"and a.date in (select date from annotations where layer = 'serum')" if serum else ''}),
 q as (select *, cast({pool} as bigint) as conc, param || cast(freq // 1000 as varchar) || 'k' as parameter from e),
 m as (select date, {keys}, avg(value) as value from q group by date, {keys}),
 cut as (select min(n) as n from (select date, count(distinct time_bin) as n from m group by date)),
@@ -357,6 +358,7 @@ from z where mean is not null and sd is not null""", "readings wide ann")
         hourly = figures.hourly_well_means(X.readings(spark, sf), None, ("date", "well", "param", "freq"))
         wide = figures.wide_annotations(X.annotations(spark, sf)).withColumn(
             "log_conc", F.log10(F.greatest(F.col("conc"), F.lit(1.0)))).drop("conc")
+        wide = wide.replace(rename, subset=["gf"]) if rename else wide
         return r6(figures.dose_response(hourly.join(wide, ["date", "well"]), gfs, pools, extra, serum))
     return run
 
@@ -368,6 +370,12 @@ _dose("q13_dose_response_hgf_bfgf", ("HGF", "bFGF"),
       numbers.POOL_HGF_FGF, ("celldensity",), None)
 
 
+# No well of these tables has GDF-2, so those of another growth factor stand for it.
+_dose("q13_dose_response_gdf2", ("GDF-2",),
+      "case when c in (1, 2) then 2 when c in (6, 7) then 7 when c in (19, 25) then 25 when c in (63, 79) then 79 "
+      "when c in (251, 316) then 316 else c end", numbers.POOL_GDF2, ("celldensity",), None, {"bFGF": "GDF-2"})
+
+
 _SPECTRUM = "(select 'VEGF' as panel, unnest(['VEGF', 'FBS_5']) as gf union all select 'bFGF', unnest(['bFGF', 'FBS_5']) " \
             "union all select 'GDF-2', unnest(['GDF-2', 'FBS_5']) union all select 'FBS', unnest(['FBS_20', 'FBS_5'])) pn"
 

@@ -81,6 +81,14 @@ def p10(spark, sf):
     return recode.effective_doses(numbered(spark, sf)).select("date", "well", "time_h", "dose")
 
 
+# Doses from 0 to 200: those of 1 to 100 below the threshold go, 49.975 is rounded up to 50 first and goes as well.
+@check("p10_effective_doses_low", f"""with {NUMBERED}, b as (select date, well, time_h, dose / 20 as dose from a)
+select date, well, time_h, ceil(dose) as dose from b where ceil(dose) = 0 or ceil(dose) > 50""", "readings wide")
+def p10c(spark, sf):
+    low = numbered(spark, sf).withColumn("dose", F.col("dose") / 20)
+    return recode.effective_doses(low, min_dose=50, ceil_first=True).select("date", "well", "time_h", "dose")
+
+
 @check("p10_effective_doses_v2", f"""with {NUMBERED} select date, well, time_h, ceil(dose) as dose from a
   where ceil(dose) = 0 or ceil(dose) > 100""", "readings wide")
 def p10b(spark, sf):

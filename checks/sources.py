@@ -86,12 +86,11 @@ def s4(spark, sf):
     return files.unpivot_readings(wide, ["date", "well", "time_h"])
 
 
-@check("s5_split_variable", r"""with v as (select well || ' ' || param as v2, well || '.' || param as v1 from readings)
-select v1, v2, regexp_replace(v2, '([A-H][0-9]{1,2}) ([ZRC])', '\1') as well_v2,
-       regexp_replace(v2, '([A-H][0-9]{1,2}) ([ZRC])', '\2') as param_v2,
-       regexp_replace(v1, '([A-G0-9]{1,2})[.][ZRC]', '\1', 'g') as well_v1,
-       case when regexp_matches(v1, '[CRZ]$') then right(v1, 1) end as param_v1
-from v""", "readings")
+@check("s5_split_variable", r"""with v as (select well, param, well || ' ' || param as v2, well || '.' || param as v1 from readings)
+-- names of a measured parameter and a well of one letter and at most two digits are taken apart, others are kept
+select v1, v2, case when sound then well else v2 end as well_v2, case when sound then param else v2 end as param_v2,
+       case when sound then well else v1 end as well_v1, case when sound then param end as param_v1
+from (select *, param in ('Z', 'R', 'C') and ascii(well) between 65 and 72 and length(well) between 2 and 3 as sound from v)""", "readings")
 def s5(spark, sf):
     v = X.readings(spark, sf).select(F.concat_ws(".", "well", "param").alias("v1"),
                                      F.concat_ws(" ", "well", "param").alias("v2"))

@@ -235,17 +235,18 @@ def phase_durations(marks: DataFrame) -> DataFrame:
         "date", (F.col("mark_3") - F.col("mark_2")).alias("preinc"), (F.col("mark_3") - F.col("mark_1")).alias("starv"))
 
 
-def phase_duration_summary(marks: DataFrame) -> DataFrame:
+def phase_duration_summary(marks: DataFrame, known_only: bool = False) -> DataFrame:
     """(variable, value): mean and standard error of both durations over dates, one row each.
 
-    A date without a third mark makes the figures NULL, since its durations are unknown.
+    A date without a third mark makes the figures NULL, since its durations are unknown; with `known_only` the figures
+    are those of the dates whose durations are known.
     """
     d = phase_durations(marks)
     cols = []
     for c in ("preinc", "starv"):
-        whole = F.count(F.lit(1)) == F.count(c)
+        whole = F.lit(True) if known_only else F.count(F.lit(1)) == F.count(c)
         cols.append(F.when(whole, F.avg(c)).alias(f"{c}_mean"))
-        cols.append(F.when(whole, F.stddev_samp(c) / F.sqrt(F.count(F.lit(1)))).alias(f"{c}_se"))
+        cols.append(F.when(whole, F.stddev_samp(c) / F.sqrt(F.count(c))).alias(f"{c}_se"))
     return d.agg(*cols).unpivot([], [f"{c}_{s}" for c in ("preinc", "starv") for s in ("mean", "se")],
                                 "variable", "value")
 
