@@ -13,9 +13,11 @@ set form a class, and all further work is on classes:
    which is linear; verified links join dense groups of near copies into components at once.
 3. *Signature trees.* Only pairs of different components are left. All classes that share a leader form a group, so all
    that share a bucket are in one. Groups that still hold several components get a tree over their members (large ones one
-   per pair of blocks), whose nodes hold OR-combined bitmaps of hashed shingles and size ranges. A dual traversal drops node pairs whose sizes cannot go together or whose largest possible overlap is too
-   small, and single pairs likewise; what remains is verified on the full sets.
-4. *Components* by contraction, in tables.
+   per pair of blocks), whose nodes hold OR-combined bitmaps of hashed shingles and size ranges. A dual traversal drops node
+   pairs whose sizes cannot go together or whose largest possible overlap is too small, and single pairs likewise; what
+   remains is held against the full sets in the task, where a link joins components, so that a group never gives more links
+   than it has components, and no pair is written.
+4. *Components* by stars (`graph.py`), in tables.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.llm.common import BLANK, Scratch, parts_for, text_of
+from platewise.llm.common import Scratch, parts_for, text_of
+from platewise.llm.graph import components, merged
 from platewise.llm.tokens import slices
 
 SHINGLE = 5
@@ -307,6 +310,14 @@ def with_salts(pairs: DataFrame, scratch: Scratch, name: str, per_leader: int =
     return pairs.join(salts, "a").select("a", "b", salt.alias("salt")), salts
 
 
+def linking(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets, sorted, are alike enough."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def linked(followers: DataFrame, leaders: DataFrame, percent: int, sets=shingles) -> DataFrame:
     """Pairs (a, b) whose sets link, of followers (a, salt, b, text of b) and leaders (a, salts, text of a); `sets` makes
     the sorted hashes of a text's set."""
@@ -326,10 +337,7 @@ def linked(followers: DataFrame, leaders: DataFrame, percent: int, sets=shingles
                     continue
                 if leader != a:
                     raise ValueError("a text is missing")
-                small, large = (s, whole) if len(s) < len(whole) else (whole, s)
-                at = np.searchsorted(large, small)
-                common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                if 100 * common >= percent * (len(s) + len(whole) - common):
+                if linking(s, whole, percent):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
@@ -403,36 +411,44 @@ def tree_pairs(x: SignatureTree, y: SignatureTree, percent: int) -> Iterator[tup
 
 
 def across(members: DataFrame, percent: int, block: int = 1024) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and may link; members: bucket, c, n, bitmap, comp and
-    buckets (all that c is in, sorted). A pair comes from the least bucket that it shares, and only once.
+    """Links (a, b) between different components among classes that share a bucket; members: bucket, c, n, bitmap, comp, text
+    and buckets (all that c is in, sorted). A pair belongs to the least bucket that it shares.
 
     A bucket of more than `block` members is cut into blocks by hash, and every pair of blocks is a group of its own, so
-    that no task holds a bucket of any size.
+    that no task holds a bucket of any size. Pairs that the trees leave are held against the full sets at once.
     """
     many = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     rows = (members.join(many, "bucket").withColumn("mine", mine)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "c", "n",
-                    "bitmap", "comp", "buckets"))
+                    "bitmap", "comp", "buckets", "text"))
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def of_group(group) -> Iterator[pa.RecordBatch]:
-        bucket, i, j, mine, c, n, bitmap, comp, others = zip(*group, strict=True)
-        others = [set(x) for x in others]
+        bucket, i, j, mine, c, n, bitmap, comp, others, texts = zip(*group, strict=True)
+        others, sets, found = [set(x) for x in others], {}, []
         n, comp, mine = np.array(n, np.int64), np.array(comp, np.int64), np.array(mine)
         width = min(len(b) for b in bitmap)
         bits = np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, width // 8)) for b in bitmap])
         x = np.flatnonzero(mine == i[0])
         y = np.flatnonzero(mine == j[0])
+
+        def full(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles(texts[k])
+            return sets[k]
+
         if len(x) and len(y):
             left = SignatureTree(n, bits, comp, x)
             right = left if i[0] == j[0] else SignatureTree(n, bits, comp, y)
-            names = np.array(c, np.int64)
             for p, q in tree_pairs(left, right, percent):
-                here = [min(others[x] & others[y]) == bucket[0] for x, y in zip(p.tolist(), q.tolist(), strict=True)]
-                a, b = names[p[here]], names[q[here]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                for u, v in zip(p.tolist(), q.tolist(), strict=True):
+                    # components join as links are found, so most pairs of a group of near copies need no look
+                    if comp[u] != comp[v] and min(others[u] & others[v]) == bucket[0] and linking(full(u), full(v), percent):
+                        found.append((c[u], c[v]))
+                        comp[comp == comp[v]] = comp[u]
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches):
         key, group = None, []
@@ -449,32 +465,7 @@ def across(members: DataFrame, percent: int, block: int = 1024) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-# ---- components --------------------------------------------------------------------------------------------------
-
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(c, root) for each node that has an edge (a, b): the same root for all that are connected.
-
-    Each round every node points to its least neighbour (or itself), edges are redrawn between the nodes pointed to,
-    and loops and doubles go; the number of nodes left falls by half or more, so a few rounds do.
-    """
-    edges = scratch.keep(edges.filter("a != b").distinct(), f"{name}-edges-0")
-    roots, step = None, 0
-    while not edges.isEmpty():
-        step += 1
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = scratch.keep(both.groupBy("a").agg(F.min("b").alias("b")).select(
-            F.col("a").alias("c"), F.least("a", "b").alias("up")), f"{name}-point-{step}")
-        redrawn = (edges.join(point.withColumnsRenamed({"c": "a", "up": "a2"}), "a")
-                   .join(point.withColumnsRenamed({"c": "b", "up": "b2"}), "b")
-                   .select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")))
-        if roots is None:
-            roots = point.withColumnRenamed("up", "root")
-        else:
-            roots = scratch.keep(roots.join(point, roots["root"] == point["c"], "left").select(
-                roots["c"], F.coalesce("up", "root").alias("root")), f"{name}-roots-{step}")
-        edges = scratch.keep(redrawn.filter("a != b").distinct(), f"{name}-edges-{step}")
-    return edges.select(F.col("a").alias("c"), F.col("b").alias("root")) if roots is None else roots
-
+# ---- results -----------------------------------------------------------------------------------------------------
 
 def labelled(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """(id, h, n, c, root, least) per row of `docs`: hash of the text, set size, class, component and least id in it; the
@@ -511,18 +502,10 @@ def labelled(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     known = scratch.keep(known.join(groups.groupBy("c").agg(F.collect_list("a").alias("buckets")), "c"), "known")
     mixed = scratch.keep(known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                          .filter("lo != hi").select("bucket"), "mixed")
-    cards = texts.select("c", "n", "bitmap")
-    pairs, salts = with_salts(across(known.join(mixed, "bucket").join(cards, "c"), percent), scratch, "tree")
-    more = scratch.keep(linked(
-        pairs.join(texts.select(F.col("c").alias("b"), "text"), "b").select("a", "salt", "b", "text"),
-        salts.join(texts.select(F.col("c").alias("a"), "text"), "a"), percent), "tree-links")
-    # links between components, and the components of these
-    over = (more.join(roots.withColumnsRenamed({"c": "a", "root": "a2"}), "a", "left")
-            .join(roots.withColumnsRenamed({"c": "b", "root": "b2"}), "b", "left")
-            .select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b")))
-    upper = components(over, scratch, "tree").select(F.col("c").alias("root"), F.col("root").alias("top"))
-    final = (classes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")).join(upper, "root", "left")
-             .select("c", "id", F.coalesce("top", "root").alias("root")))
+    cards = texts.select("c", "n", "bitmap", "text")
+    more = scratch.keep(across(known.join(mixed, "bucket").join(cards, "c"), percent), "tree-links")
+    roots = merged(roots, more, scratch, "tree")
+    final = classes.join(roots, "c", "left").select("c", "id", F.coalesce("root", "c").alias("root"))
     final = scratch.keep(final, "final")
     least = scratch.keep(final.groupBy("root").agg(F.min("id").alias("least")), "least")
     labels = scratch.keep(final.join(least, "root").select("c", "root", "least"), "labels")
@@ -545,13 +528,30 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", percent:
     """The rows of `docs`, all columns, of which one per component stays: that with the least id (of several texts under
     that id the least by hash, of repeated rows one). Rows without words all stay."""
     scratch = Scratch(docs.sparkSession, "first")
-    rows = scratch.keep(labelled(docs, id, text, percent), "labels")
-    first = scratch.keep(rows.filter((F.col("n") > 0) & F.col("id").eqNullSafe(F.col("least"))).groupBy("root").agg(
-        F.min(F.struct("h", "id")).alias("v")).select(F.col("v.h").alias("_h"), F.col("v.id").alias("_id")), "kept")
-    words = docs.filter(F.regexp_like(text_of(text), F.lit(f"[^{BLANK}]")))
-    none = docs.filter(~F.regexp_like(text_of(text), F.lit(f"[^{BLANK}]")))
+    rows = scratch.keep(labelled(docs, id, text, percent).filter("n > 0"), "labels")
+    first = scratch.keep(rows.filter(F.col("id").eqNullSafe(F.col("least"))).groupBy("root").agg(
+        F.min(F.struct("h", "id")).alias("v")), "first")
+    # rows that go, and those of which one stays; all others are let through as they are
+    named = rows.groupBy("id", "h", "root").agg(F.count("*").alias("rows")).join(first, "root").select(
+        "id", "h", "rows", (F.col("v.h").eqNullSafe(F.col("h")) & F.col("v.id").eqNullSafe(F.col("id"))).alias("stays"))
+    named = scratch.keep(named.filter("not stays or rows > 1").select(
+        F.col("id").alias("_of"), F.col("h").alias("_hash"), "stays"), "named")
+    held = docs.sparkSession.sparkContext.broadcast(_may_hold(named.select(F.xxhash64("_of", "_hash").alias("k"))))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    named = words.select(row.alias("_row"), F.col(id).alias("_of"), F.xxhash64(text).alias("_h"))
-    one = named.join(first, (named["_h"] == first["_h"]) & named["_of"].eqNullSafe(first["_id"])).withColumn(
-        "_n", F.row_number().over(Window.partitionBy(first["_h"], "_id").orderBy(F.xxhash64("_row"))))
-    return one.filter("_n = 1").select("_row.*").unionByName(none)
+    keyed = docs.select(row.alias("_row"), F.col(id).alias("_id"), F.xxhash64(text_of(text)).alias("_h"))
+    keyed = keyed.withColumn("_k", F.xxhash64("_id", "_h"))
+
+    def named_rows(yes: bool):
+        def run(batches):
+            marks = np.frombuffer(held.value, np.uint8)
+            for batch in batches:
+                place = batch.column("_k").to_numpy() % (8 * len(marks))
+                on = (marks[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+                yield batch.filter(pa.array(on == yes))
+        return keyed.mapInArrow(run, keyed.schema)
+
+    maybe = named_rows(True).join(named, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_hash")), "left")
+    one = maybe.filter("stays").withColumn("_n", F.row_number().over(
+        Window.partitionBy("_h", "_id").orderBy(F.xxhash64("_row"))))
+    out = named_rows(False).select("_row.*").unionByName(maybe.filter("stays is null").select("_row.*"))
+    return out.unionByName(one.filter("_n = 1").select("_row.*"))
