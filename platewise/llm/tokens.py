@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,17 +21,34 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
+LONG_RUN = 20_000  #: blanks in a row from which on a text goes to the library
+_RUN = re.compile(r"\s{%d}" % LONG_RUN)
+
+
+def in_order(model: dict) -> bool:
+    """Whether merges come in the order of their results' numbers, so that these serve as ranks."""
+    last = -1
+    for m in model["merges"]:
+        n = model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1)
+        if n <= last:
+            return False
+        last = n
+    return True
+
+
 class Tokenizer:
     """Token ids of texts, without begin, end or added special tokens.
 
     `kind` is the file's ending. A byte-level BPE `.json` is run by tiktoken from the same vocabulary, which gives the
     ids that the tokenizers library gives in a third of its time (tested against it); any other `.json` by that
-    library itself; a `.model` by sentencepiece. Strings of special tokens inside a text become their ids, as is
+    library itself; a `.model` by sentencepiece. Texts with a very long run of blanks, on which the faster engine's
+    stack gives out, go to the library, too. Strings of special tokens inside a text become their ids, as is
     the default of the tokenizers library.
     """
 
     def __init__(self, content: bytes, kind: str):
         self.fast = self.slow = self.piece = None
+        self.content = content
         if kind == "model":
             import sentencepiece
             self.piece = sentencepiece.SentencePieceProcessor(model_proto=content)
@@ -39,7 +57,8 @@ class Tokenizer:
         model, special = spec["model"], spec.get("added_tokens") or []
         plain = (model["type"] == "BPE" and not spec.get("normalizer") and not model.get("end_of_word_suffix")
                  and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
-                 and not spec["pre_tokenizer"].get("add_prefix_space")
+                 and not spec["pre_tokenizer"].get("add_prefix_space") and spec["pre_tokenizer"].get("use_regex", True)
+                 and not model.get("dropout") and not model.get("ignore_merges") and in_order(model)
                  and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in special))
         if plain:
             import public_tokenizers
@@ -50,16 +69,25 @@ class Tokenizer:
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                           special_tokens=names)
         else:
+            self.library()
+
+    def library(self):
+        """The tokenizers library's own tokenizer of the file."""
+        if not self.slow:
             import tokenizers
-            self.slow = tokenizers.Tokenizer.from_str(content.decode())
+            self.slow = tokenizers.Tokenizer.from_str(self.content.decode())
             self.slow.no_truncation()
             self.slow.no_padding()
+        return self.slow
 
     def ids(self, texts: list[str]) -> Iterator:
         """For each text its ids, as a list or an array."""
         if self.fast:
             for t in texts:
-                yield self.fast.encode_to_numpy(t, allowed_special="all") if t else []
+                if len(t) > LONG_RUN and _RUN.search(t):
+                    yield self.library().encode(t, add_special_tokens=False).ids
+                else:
+                    yield self.fast.encode_to_numpy(t, allowed_special="all") if t else []
         elif self.slow:
             for e in self.slow.encode_batch(texts, add_special_tokens=False):
                 yield e.ids
