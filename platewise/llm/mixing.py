@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.llm.common import BLANK, Scratch, text_of
@@ -99,7 +99,7 @@ def weigh(sources: list, cycle=(5, 2, 1)) -> dict:
 
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", sources: str = "source", weights: dict | None = None,
-        seed: int = 0, bins: int = 4096) -> DataFrame:
+        seed: int = 0) -> DataFrame:
     """Per row of `docs`: `id, h, key, size, copies, taken, source_size, target`.
 
     `sources` is a column with one source (null is a source of its own) or an array of them. Sizes are words. Documents
@@ -113,17 +113,31 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", sources: str =
     so a source of any size is no single task's work. Rows that are the same in id and text are chosen apart, in any
     order. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession, "mixing")
+    light = scratch.keep(_sized(docs, id, text, sources, seed), "sizes")  # one pass over the texts; row numbers stay
+    out = _chosen(light, scratch, weights)
+    return out.select(F.col("id").alias(id), "h", "key", "size", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+                      "source_size", "target")
+
+
+def _sized(docs: DataFrame, id: str, text: str, sources: str, seed: int, *others: Column) -> DataFrame:
+    """What the choice needs of each row (id, pattern, size, h, row, key), and `others`."""
     many = dict(docs.dtypes)[sources].startswith("array")
     of = F.array_sort(F.array_distinct(F.coalesce(F.col(sources), F.array()))) if many else F.array(F.col(sources))
     words = F.regexp_count(text_of(text), F.lit(f"[^{BLANK}]+")).cast("long")
     light = docs.select(F.col(id).alias("id"), of.alias("pattern"), words.alias("size"),
                         F.xxhash64(F.lit(seed), F.col(id), text_of(text)).alias("h"),
-                        F.monotonically_increasing_id().alias("row"))
-    key = F.to_json(F.struct("pattern"), {"ignoreNullFields": "false"})
-    light = light.select("*", key.alias("key"))
-    scratch = Scratch(spark, "mixing")
-    light = scratch.keep(light, "sizes")  # one pass over the texts; row numbers stay as they are
+                        F.monotonically_increasing_id().alias("row"), *others)
+    return light.select("*", F.expr(KEY).alias("key"))
+
+
+def _chosen(light: DataFrame, scratch: Scratch, weights: dict | None) -> DataFrame:
+    """`light`, written rows of `_sized`, with `copies`, `source_size` and `target`.
+
+    Plan, passes and last choices have one row per pattern. They are written tables without a hint: Spark broadcasts
+    them where their size is under the session's threshold, and the rows of `light` are then not shuffled.
+    """
+    spark = light.sparkSession
     patterns = {tuple(r["pattern"]): r["n"] for r in light.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
     source_size: dict = {}
     for p, n in patterns.items():
@@ -140,47 +154,49 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", sources: str =
     kind = light.schema["pattern"].dataType.simpleString()
     plan = spark.createDataFrame(
         rows, f"pattern {kind}, whole long, rest long, source_size long, target double")
-    plan = scratch.keep(plan.withColumn("key", key).drop("pattern"), "plan")  # one row per pattern, as collected above
-    steps = fill(light, plan, scratch, bins)
-    out = light.join(F.broadcast(plan), "key").join(F.broadcast(steps), "key", "left").withColumn("more", F.expr(TAKEN))
+    plan = scratch.keep(plan.withColumn("key", F.expr(KEY)).drop("pattern"), "plan")  # one row per pattern, as collected above
+    steps = fill(light.select("id", "h", "row", "key", "size"), plan, scratch)
+    out = light.join(plan, "key").join(steps, "key", "left").withColumn("more", F.expr(TAKEN))
     # the smallest that is not taken goes over the rest; with it the sum lies nearer if it is below twice what is left
     last = (out.filter("rest > 0").groupBy("key").agg(
         (F.first("rest") - F.coalesce(F.sum(F.when(F.col("more"), F.col("size"))), F.lit(0))).alias("left"),
         F.min(F.when(~F.col("more") & (F.col("size") > 0), F.struct("size", F.expr(AT).alias("at")))).alias("small"))
         .filter("small.size < 2 * left").select("key", F.col("small.at").alias("one")))
-    out = out.join(F.broadcast(scratch.keep(last, "last")), "key", "left")
+    out = out.join(scratch.keep(last, "last"), "key", "left")
     out = out.withColumn("more", F.col("more") | F.expr(f"coalesce({AT} = one, false)"))
-    copies = F.least(F.col("whole") + F.col("more").cast("long"), F.lit(MOST))
-    return out.select(F.col("id").alias(id), "h", "key", "size", copies.alias("copies"),
-                      (copies * F.col("size")).alias("taken"), "source_size", "target")
+    return out.withColumn("copies", F.least(F.col("whole") + F.col("more").cast("long"), F.lit(MOST)))
 
 
+#: A pattern as text, so that it can be a key with nulls inside.
+KEY = "to_json(struct(pattern), map('ignoreNullFields', 'false'))"
 #: A document's place in the order of its pattern, and whether a pass takes it.
 AT = "struct(h, id, row)"
 TAKEN = (f"coalesce(exists(steps, s -> size <= s.gap and (s.start is null or {AT} > s.start) "
          f"and (s.stop is null or {AT} < s.stop)), false)")
 
 
-def fill(light: DataFrame, plan: DataFrame, scratch: Scratch, bins: int) -> DataFrame:
+def fill(light: DataFrame, plan: DataFrame, scratch: Scratch) -> DataFrame:
     """`key, steps`: per pattern, the passes (gap, start, stop) by which documents in order fill `rest`.
 
     A pass goes on after the document at `start`, over those of at most `gap` words, up to the first that does not fit
     behind the ones before it, at `stop` (null: all fit). What the others leave is the next pass's gap. The place of
-    `stop` is found by sums over `bins` ranges of the hash, then document by document inside one range. Passes go on
+    `stop` is found by sums over ranges of the hash, then document by document inside one range. There are about as many
+    ranges as rows in a range, the square root of all rows, so neither step is large for any task. Passes go on
     until a gap is filled or no later document fits it. One row per pattern and pass.
     """
-    bin_of = F.shiftright(F.col("h"), 64 - (bins.bit_length() - 1)).cast("int")
+    bits = max(light.count().bit_length() // 2, 1)
+    bin_of = F.shiftright(F.col("h"), 64 - bits).cast("int")
     place = light.select(F.expr(AT).alias("at")).schema["at"].dataType.simpleString()
     state = plan.filter("rest > 0").select("key", F.col("rest").alias("gap"), F.lit(None).cast(place).alias("start"))
     done = []
     while True:
-        fits = (light.select("key", "size", bin_of.alias("b"), F.expr(AT).alias("at")).join(F.broadcast(state), "key")
+        fits = (light.select("key", "size", bin_of.alias("b"), F.expr(AT).alias("at")).join(state, "key")
                 .filter("size > 0 and size <= gap and (start is null or at > start)"))
         upto = F.sum("n").over(Window.partitionBy("key").orderBy("b"))
         edge = (fits.groupBy("key", "b", "gap").agg(F.sum("size").alias("n")).withColumn("upto", upto)
                 .filter("upto > gap and upto - n <= gap").select("key", "b", (F.col("upto") - F.col("n")).alias("before")))
         edge = scratch.keep(edge, f"edge{len(done)}")
-        inside = fits.join(F.broadcast(edge), ["key", "b"]).withColumn("upto", F.col("before") + F.sum("size").over(
+        inside = fits.join(edge, ["key", "b"]).withColumn("upto", F.col("before") + F.sum("size").over(
             Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
         found = inside.groupBy("key").agg(
             F.min(F.when(F.col("upto") > F.col("gap"), F.col("at"))).alias("stop"),
@@ -195,13 +211,16 @@ def fill(light: DataFrame, plan: DataFrame, scratch: Scratch, bins: int) -> Data
     return scratch.keep(steps.groupBy("key").agg(F.collect_list(F.struct("gap", "start", "stop")).alias("steps")), "steps")
 
 
-def take(docs: DataFrame, id: str = "doc_id", text: str = "text", seed: int = 0, **options) -> DataFrame:
-    """The rows of `docs`, all columns, each as often as the mix takes it."""
-    same = F.xxhash64(F.lit(seed), F.col(id), text_of(text))
-    mixed = mix(docs, id, text, seed=seed, **options).filter("copies > 0").select("h", F.col(id).alias("_id"), "copies")
-    # the n-th of several rows alike in id and text gets the n-th number of copies
-    mixed = mixed.withColumn("_n", F.row_number().over(Window.partitionBy("h").orderBy("_id", F.desc("copies")))).drop("_id")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id).alias("_id"), same.alias("h"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("h").orderBy("_id")))
-    return (rows.join(mixed, ["h", "_n"]).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-            .select("_row.*"))
+def take(docs: DataFrame, id: str = "doc_id", text: str = "text", sources: str = "source", weights: dict | None = None,
+         seed: int = 0) -> DataFrame:
+    """The rows of `docs`, all columns, each as often as the mix takes it; null text is empty and has no words, so such a row
+    is taken only by whole multiples. An empty table gives no rows.
+
+    Rows are written once with their place, and the choice is made by a look at small tables beside each row: neither
+    texts nor rows alike in id and text are shuffled.
+    """
+    scratch = Scratch(docs.sparkSession, "taking")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    held = scratch.keep(_sized(docs, id, text, sources, seed, row), "rows")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return _chosen(held, scratch, weights).filter("copies > 0").select("_row", times).select("_row.*")
