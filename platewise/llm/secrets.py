@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,9 @@ def matches(text: str, rules=RULES) -> Iterator[tuple[str, int, int]]:
     for kind, pattern, group, least in rules:
         if kind in HINTS and not any(h in text for h in HINTS[kind]):
             continue
+        if kind == "jwt":  # the pattern alone would read on to the end of a run from each of its beginnings
+            yield from ((kind, a, b) for a, b in dotted(text) if b - a >= least)
+            continue
         if kind == "hex":  # runs: those of full length are found without stopping at each short one
             pattern = pattern[:-1] + f"{{{least},}}"
         for m in re.finditer(pattern, text, re.ASCII):
@@ -48,6 +52,32 @@ def matches(text: str, rules=RULES) -> Iterator[tuple[str, int, int]]:
                 yield kind, m.start(), m.end()
 
 
+def dotted(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the `jwt` pattern in one pass: runs of its characters, taken apart at the dots."""
+    for run in re.finditer(r"[A-Za-z0-9_.-]+", text):
+        if ".eyJ" not in run.group():
+            continue
+        parts, start, k = run.group().split("."), run.start(), 0
+        while k + 2 < len(parts):
+            at = parts[k].find("eyJ")
+            if 0 <= at < len(parts[k]) - 3 and len(parts[k + 1]) > 3 and parts[k + 1].startswith("eyJ") and parts[k + 2]:
+                stop = start + sum(map(len, parts[k:k + 3])) + 2
+                yield start + at, stop
+                start, k = stop + 1, k + 3
+            else:
+                start, k = start + len(parts[k]) + 1, k + 1
+
+
+def cut(text: str, spans, mark: str) -> str:
+    """`text` with the sorted spans (start, stop) replaced by `mark`; what overlaps an earlier span adds no mark."""
+    parts, done = [], 0
+    for start, stop in spans:
+        if start >= done:
+            parts += [text[done:start], mark]
+        done = max(done, stop)
+    return "".join([*parts, text[done:]])
+
+
 class Ledger:
     """What was scanned and found: `scanned` (blob, version) and `findings`, Parquet tables in a shared folder.
 
@@ -146,12 +176,15 @@ def redact(docs: DataFrame, ledger: str, id: str = "doc_id", text: str = "text",
     per_blob = (book.findings([version_of(r) for r in rules]).groupBy("blob")
                 .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("all")))
     per_blob = Scratch(spark, "found").keep(per_blob, "blobs")
-    # keep the text between the spans: state is (text so far, place up to which it is done)
-    new = F.expr(
-        "case when all is null then text else aggregate(all, struct('' as t, 0 as p), (a, x) -> "
-        f"case when x.start >= a.p then struct(concat(a.t, substring(text, a.p + 1, x.start - a.p), '{mark}') as t, "
-        "x.stop as p) else struct(a.t as t, greatest(a.p, x.stop) as p) end, "
-        "a -> concat(a.t, substring(text, a.p + 1))) end")
+
+    @F.pandas_udf("string")
+    def marked(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else cut(t, zip(a, b, strict=True), mark)
+                          for t, a, b in zip(texts, starts, stops, strict=True)], dtype=object)
+
+    # only texts with findings go to Python
+    given = F.when(F.col("all").isNotNull(), F.col("text"))
+    new = F.coalesce(marked(given, F.col("all.start"), F.col("all.stop")), F.col("text"))
     joined = rows.join(per_blob, "blob", "left").withColumn("new", new)
     return joined.select(*[F.col("new").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 

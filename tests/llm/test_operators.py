@@ -4,7 +4,9 @@ import collections
 import gzip
 import hashlib
 import os
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -234,6 +236,23 @@ KEYS = [
 ]
 
 
+def test_dotted_tokens_are_those_of_the_pattern():
+    pattern = next(r[1] for r in secrets.RULES if r[0] == "jwt")
+    rnd = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rnd.choice(["eyJ", ".eyJ", ".", "a", "-", " ", "e", "é"]) for _ in range(rnd.randrange(30)))
+        assert list(secrets.dotted(text)) == [m.span() for m in re.finditer(pattern, text, re.ASCII)], text
+
+
+def test_secrets_of_very_long_texts_take_linear_time():
+    begun = time.monotonic()
+    assert [m for m in secrets.matches("eyJ" * 400_000 + " .eyJ") if m[0] == "jwt"] == []
+    text = "x password=abcdefgh1 " * 100_000
+    spans = sorted((a, b) for _, a, b in secrets.matches(text))
+    assert secrets.cut(text, spans, "[secret]") == "x [secret] " * 100_000
+    assert time.monotonic() - begun < 20
+
+
 def test_redact_takes_whole_keys(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(KEYS)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in secrets.redact(df, secrets.new_ledger(spark)).collect()}
@@ -393,6 +412,19 @@ def test_take_repeats_rows(docs):
 
 # ---- 1 WARC ------------------------------------------------------------------------------------------------------
 
+def test_take_shuffles_no_rows(spark):
+    """Rows alike, some of them many times, are taken apart, and no exchange moves whole rows."""
+    rows = [(1, "w " * 5, "a", 7)] * 40 + [(i, "w " * (i % 9), "ab"[i % 2], i) for i in range(2, 90)] + [(5, None, None, 1)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    got = mixing.take(df)
+    assert got.columns == df.columns
+    per_row = mixing.mix(df).collect()
+    assert got.count() == sum(r["copies"] for r in per_row)
+    assert got.filter("doc_id = 1").count() == sum(r["copies"] for r in per_row if r["doc_id"] == 1)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan.split("_row")[0] and "SortMergeJoin" not in plan
+
+
 def test_loser_tree():
     rng = np.random.default_rng(2)
     for k in range(0, 9):
