@@ -8,6 +8,7 @@ from checks import fixtures as X
 from checks.registry import check, q6, r6
 from platewise.functions import numbers
 from platewise.plans import figures
+from platewise.operators.classify import dates_of_class
 from platewise.operators.joins import widen_annotations
 
 
@@ -117,6 +118,28 @@ def q1_carriers(spark, sf):
                                       exclude=["exp9"], carrier="siCD44"))
 
 
+def _with_serum(spark, sf):
+    """The class of experiments whose annotations have a serum layer, and no passage."""
+    return dates_of_class(X.annotations(spark, sf), having=("serum",), lacking=("passage",))
+
+
+_SERUM = "(select date from annotations where layer = 'serum')"
+
+
+@check("q1_release_summary_of_class", _paired_sql(f"param = 'Z' and freq = 4000 and date in {_SERUM}", "date, well")
+       + spread("tr", "freq, param, gf, pair_ind, conc, dose, time_bin, treat2"), BASE + " rel")
+def q1_class(spark, sf):
+    return r6(figures.release_summary(*_inputs(spark, sf), param="Z", freq=4000, max_time=36, exclude=["exp9"],
+                                      experiments=_with_serum(spark, sf)))
+
+
+@check("q5_release_all_frequencies_of_class", _paired_sql(f"date in {_SERUM}", "date, well, param, freq")
+       + mean_se("tr", "param, freq, gf, pair_ind, dose, treat2, time_bin"), BASE + " rel")
+def q5_class(spark, sf):
+    return r6(figures.release_all_frequencies(*_inputs(spark, sf), max_time=36, exclude=["exp9"],
+                                              experiments=_with_serum(spark, sf)))
+
+
 @check("q5_release_all_frequencies", _paired_sql("true", "date, well, param, freq")
        + mean_se("tr", "param, freq, gf, pair_ind, dose, treat2, time_bin"), BASE + " rel")
 def q5(spark, sf):
@@ -267,6 +290,16 @@ def q10(spark, sf):
     return r6(figures.modelled_summary(X.modelled(spark, sf), X.annotations(spark, sf), max_time=60, exclude=["exp9"]))
 
 
+@check("q10_modelled_summary_of_class", f"""with {_MODELLED.replace("= '5000')", "= '5000' and a.date in " + _SERUM + ")")}, {pairs('s', 'date gf')},
+f as (select * from pr where t <= 60 and date <> 'exp9'), {bins('f', 'gf pair_ind', 't', 'ordinal')},
+m as (select gf, pair_ind, date, conc, dose, treatment, param, time_bin, {strict_avg('value')} as value from binned
+  where time_bin is not null group by gf, pair_ind, date, conc, dose, treatment, param, time_bin), {labels('m', 1)}
+{mean_se('lab', 'gf, pair_ind, param, dose, treat2, time_bin')}""", "readings wide ann modelled")
+def q10_class(spark, sf):
+    return r6(figures.modelled_summary(X.modelled(spark, sf), X.annotations(spark, sf), max_time=60, exclude=["exp9"],
+                                       experiments=_with_serum(spark, sf)))
+
+
 def _qc(column: str):
     @check(f"q10_histogram_{column}", f"""with {_MODELLED}, {pairs('s', 'date gf')},
 e as (select gf, pair_ind, min({column}) as lo, max({column}) as hi from pr group by gf, pair_ind)
@@ -316,6 +349,14 @@ def q12(spark, sf):
     return r6(figures.setup_overview(*_inputs(spark, sf)))
 
 
+@check("q12_setup_readings_of_class", f"""with r0 as (select p.*, a.* exclude (date, well), round(p.time_h - min(p.time_h) over (partition by p.date) + 1e-8, 6) + 0.0 as t
+  from phased p join ann a on p.date = a.date and p.well = a.well where p.mark = 'Release' and a.serum = 'FBS' and a.date not in {_SERUM})
+{mean_se('r0', 'date, gf, param, freq, conc, celldensity, t').replace(', t,', ', t as time_h,', 1)}""", BASE)
+def q12_class(spark, sf):
+    rest = dates_of_class(X.annotations(spark, sf), lacking=("serum",))
+    return r6(figures.setup_overview(*_inputs(spark, sf), experiments=rest))
+
+
 @check("q12_setup_modelled", f"""with r0 as (select m.*, a.* exclude (date, well), round(m.time_h - min(m.time_h) over (partition by m.date) + 1e-8, 6) + 0.0 as t
   from modelled m join ann a on m.date = a.date and m.well = a.well where a.serum = 'FBS')
 {mean_se('r0', 'date, gf, param, conc, celldensity, t').replace(', t,', ', t as time_h,', 1)}""", "readings wide ann modelled")
@@ -330,12 +371,21 @@ h as (select date, well, param, freq, time_bin, {strict_avg('value')} as value f
   group by date, well, param, freq, time_bin)"""
 
 
+@check("q15_hourly_well_means_of_class", f"""with v as (select * from modelled where date in {_SERUM}), {bins('v', '', 'time_h', 'ordinal')},
+h as (select date, well, param, time_bin, {q6(strict_avg('value'))} as value from binned where time_bin is not null
+  group by date, well, param, time_bin)
+select h.*, w.* exclude (date, well) from h join wide w on h.date = w.date and h.well = w.well""", "readings wide modelled")
+def q15_class(spark, sf):
+    return r6(figures.hourly_well_means(X.modelled(spark, sf), X.annotations(spark, sf), others=None,
+                                        experiments=_with_serum(spark, sf)))
+
+
 @check("q15_hourly_well_means", f"""with {bins('modelled', '', 'time_h', 'ordinal')},
 h as (select date, well, param, time_bin, {q6(strict_avg('value'))} as value from binned where time_bin is not null
   group by date, well, param, time_bin)
 select h.*, w.* exclude (date, well) from h join wide w on h.date = w.date and h.well = w.well""", "readings wide modelled")
 def q15(spark, sf):
-    return r6(figures.hourly_well_means(X.modelled(spark, sf), X.annotations(spark, sf)))
+    return r6(figures.hourly_well_means(X.modelled(spark, sf), X.annotations(spark, sf), others=None))
 
 
 def _dose(name: str, gfs: tuple, pool: str, pools: dict, extra: tuple, serum: str | None, rename: dict | None = None):

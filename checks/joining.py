@@ -18,12 +18,12 @@ def j1(spark, sf):
 @check("j2_modelled_with_annotations", """select m.*, w.* exclude (date, well) from modelled m
   join wide w on m.date = w.date and m.well = w.well where w.celldensity = '5000'""", "readings wide modelled")
 def j2(spark, sf):
-    wide = joins.widen_annotations(X.annotations(spark, sf)).where(F.col("celldensity") == "5000")
+    wide = joins.widen_annotations(X.annotations(spark, sf), others=None).where(F.col("celldensity") == "5000")
     return joins.annotate(X.modelled(spark, sf), wide)
 
 
 def _all_layers(spark, sf):
-    return joins.widen_annotations(X.more_annotations(spark, sf), others="others")
+    return joins.widen_annotations(X.more_annotations(spark, sf))
 
 
 def _others_as_text(df):
@@ -46,6 +46,15 @@ def j2b(spark, sf):
     return _others_as_text(joins.annotate(X.modelled(spark, sf), _all_layers(spark, sf).where(F.col("celldensity") == "5000")))
 
 
+@check("j1_readings_with_spread_layers", """select r.*, w.* exclude (date, well), p.passage, m.medium from readings r
+  join wide w on r.date = w.date and r.well = w.well
+  left join (select date, well, 'P' || cast(w % 4 + 3 as varchar) as passage from units where d % 2 = 1) p on r.date = p.date and r.well = p.well
+  left join (select date, well, 'M199' as medium from units where w % 2 = 0) m on r.date = m.date and r.well = m.well""",
+       "readings wide")
+def j1c(spark, sf):
+    return joins.spread_layers(joins.annotate(X.readings(spark, sf), _all_layers(spark, sf)), "passage", "medium")
+
+
 @check("j3_semi_join_by_annotation", """select * from readings where date in
   (select date from annotations where value = 'FBS')""", "readings annotations")
 def j3(spark, sf):
@@ -144,7 +153,7 @@ def j10(spark, sf):
 select h.*, w.* exclude (date, well) from h join wide w on h.date = w.date and h.well = w.well""", "readings wide")
 def j11(spark, sf):
     from platewise.plans.figures import hourly_well_means
-    return r6(hourly_well_means(X.readings(spark, sf), X.annotations(spark, sf)))
+    return r6(hourly_well_means(X.readings(spark, sf), X.annotations(spark, sf), others=None))
 
 
 @check("j12_keyed_lookup", f"with {ANNOTATED} select * from a where celldensity = '5000' and gf = 'VEGF'", "readings wide")

@@ -11,7 +11,7 @@ from platewise.operators import joins, recode, timeline
 
 
 def annotated(spark, sf, defaults=None):
-    return joins.annotate(X.readings(spark, sf), joins.widen_annotations(X.annotations(spark, sf), defaults=defaults))
+    return joins.annotate(X.readings(spark, sf), joins.widen_annotations(X.annotations(spark, sf), defaults=defaults, others=None))
 
 
 def numbered(spark, sf):

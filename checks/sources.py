@@ -201,6 +201,22 @@ def s14(spark, sf):
     return tables.read_table(spark, path, r.schema).select(*r.columns)
 
 
+_BOOK = "date || '-' || case when substr(well, 1, 1) < 'E' then 'upper' else 'lower' end"
+
+
+@check("s14_reload_of_workbooks", f"""select r.* exclude (value), {_BOOK} as workbook,
+  case when date in ('exp3', 'exp4') and substr(well, 1, 1) < 'E' then value + 1 else value end as value from readings r
+  where not (date = 'exp4' and substr(well, 1, 1) < 'E' and param = 'Z')""", "readings")
+def s14b(spark, sf):
+    # two workbooks a date; one of each of two dates is loaded again, with other values and, once, fewer rows
+    path = new_path(spark, "workbooks")
+    r = X.readings(spark, sf).withColumn("workbook", F.expr(_BOOK))
+    again = r.where("date in ('exp3', 'exp4') and workbook like '%upper' and not (date = 'exp4' and param = 'Z')")
+    tables.reload_keyed(r, path)
+    tables.reload_keyed(again.withColumn("value", F.col("value") + 1), path)
+    return tables.read_keyed(spark, path, r.schema)
+
+
 @check("s15_table_scan", "select * from part")
 def s15(spark, sf):
     return tables.read_table(spark, f"{sf}/part.parquet")

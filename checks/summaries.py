@@ -154,7 +154,13 @@ f as (select sig, row_number() over (order by min(date)) as c from s group by si
 select wide.* exclude (serum), coalesce(serum, 'FBS') as serum, cast(c as integer) as class
 from wide join s using (date) join f using (sig)""", "wide")
 def a11b(spark, sf):
-    return classify.wide_by_class(X.annotations(spark, sf))
+    return classify.wide_by_class(X.annotations(spark, sf), others=None)
+
+
+@check("a11_dates_of_class", """select date from annotations group by date
+  having bool_or(layer = 'treatment') and not bool_or(layer = 'serum')""", "annotations")
+def a11c(spark, sf):
+    return classify.dates_of_class(X.annotations(spark, sf), having=("treatment",), lacking=("serum",))
 
 
 @check("a12_profile", """with l as (

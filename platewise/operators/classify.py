@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,18 @@ def layer_presence(annotations: DataFrame, layers: Sequence[str] | None = None,
         *[F.max(F.when(F.col("layer") == x, 1).otherwise(0)).alias(x) for x in layers])
 
 
+def dates_of_class(annotations: DataFrame, having: Sequence[str] = (), lacking: Sequence[str] = ()) -> DataFrame:
+    """(date): experiments that have all of the layers `having` and none of `lacking`, as a layer with a value in any well.
+
+    One aggregate with a row per experiment. A class by what its experiments are made of, whichever others there are;
+    the figure tables take it as `experiments`.
+    """
+    there = F.collect_set(F.when(F.col("value").isNotNull() & F.col("layer").isin(*having, *lacking), F.col("layer")))
+    per_date = annotations.groupBy("date").agg(there.alias("_layers"))
+    wanted = [F.array_contains("_layers", x) for x in having] + [~F.array_contains("_layers", x) for x in lacking]
+    return per_date.where(reduce(lambda a, b: a & b, wanted, F.lit(True))).select("date")
+
+
 def layer_signatures(annotations: DataFrame) -> DataFrame:
     """(date, signature): the sorted layer names of each experiment, joined by commas."""
     per_date = annotations.select("date", "layer").distinct()
@@ -45,12 +58,13 @@ def classify_experiments(annotations: DataFrame, k: int = 3, max_signatures: int
     return per_date.join(F.broadcast(mapping), "signature").select("date", "class")
 
 
-def wide_by_class(annotations: DataFrame, k: int = 3, max_signatures: int = 500) -> DataFrame:
-    """Wide annotations with the class of their experiment beside them, a missing serum filled with FBS.
+def wide_by_class(annotations: DataFrame, k: int = 3, max_signatures: int = 500, others: str | None = "others") -> DataFrame:
+    """Wide annotations with the class of their experiment beside them, a missing serum filled with FBS; layers that are
+    not named are in the map `others`.
 
     The classes are the setup, treatment and silencing tables; one table with a key column holds them all.
     """
-    wide = widen_annotations(annotations, defaults={"serum": "FBS"})
+    wide = widen_annotations(annotations, defaults={"serum": "FBS"}, others=others)
     return attach(wide, classify_experiments(annotations, k, max_signatures), ["date"])
 
 

@@ -41,10 +41,11 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "left", null_safe
 
 def widen_annotations(annotations: DataFrame, layers: Mapping[str, str] | None = None,
                       defaults: Mapping[str, str] | None = None, names: str | None = None,
-                      others: str | None = None) -> DataFrame:
+                      others: str | None = "others") -> DataFrame:
     """One row per (date, well), one column per named layer; `defaults` fill missing layers. The column `names`, if
-    asked for, lists all layers that the well has, named in `layers` or not. The column `others`, if asked for, is a map
-    from each layer that is not named to its value, the largest if there are several, as in named columns."""
+    asked for, lists all layers that the well has, named in `layers` or not. The column `others` is a map from each layer
+    that is not named to its value, the largest if there are several, as in named columns; no layer of the data is left
+    out. `spread_layers` makes columns of it, None leaves it away. Spark drops it from plans that do not read it."""
     layers = dict(layers or LAYERS)
     wide = annotations.groupBy(*WELL).agg(*[
         F.max(F.when(F.col("layer") == layer, F.col("value"))).alias(name) for layer, name in layers.items()
@@ -58,6 +59,11 @@ def widen_annotations(annotations: DataFrame, layers: Mapping[str, str] | None =
     return wide.na.fill(dict(defaults)) if defaults else wide
 
 
+def spread_layers(df: DataFrame, *names: str, others: str = "others") -> DataFrame:
+    """Columns for the layers `names` out of the map `others`, missing where a well lacks the layer; `others` goes."""
+    return df.select("*", *[F.col(others)[name].alias(name) for name in names]).drop(others)
+
+
 def annotate(df: DataFrame, wide: DataFrame) -> DataFrame:
     """Inner join of readings or modelled values with wide annotations on (date, well).
 

@@ -51,13 +51,18 @@ def wide_annotations(annotations: DataFrame, defaults: Mapping[str, str] | None
 
     So the caller restricts to its experiments first. The layers are counted by a small job.
     """
-    wide = widen_annotations(annotations, defaults=defaults, names="layers")
+    wide = widen_annotations(annotations, defaults=defaults, names="layers", others=None)
     filled = [layer for layer, name in LAYERS.items() if name in (defaults or {})]
     total = annotations.where("value is not null").select("layer").where(~F.col("layer").isin(filled)).distinct().count()
     own = F.size(F.array_except("layers", F.array(*[F.lit(x) for x in filled]).cast("array<string>")))
     return numeric_annotations(wide.withColumn("full", own == F.lit(total)).drop("layers"))
 
 
+def of_class(experiments: DataFrame | None, *tables: DataFrame) -> tuple[DataFrame, ...]:
+    """The tables' rows of the given experiments (a `date` column), or all rows. Readings partitioned by date are pruned."""
+    return tables if experiments is None else tuple(keep_dates(t, experiments) for t in tables)
+
+
 def plates(annotations: DataFrame, marks: DataFrame, carrier: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Wide annotations and the marks of each date in one row: written once, read by every later step. With `carrier`,
     only experiments that carry that annotation value: their class."""
@@ -140,9 +145,11 @@ def treat_labels(df: DataFrame, renames: Mapping[str, str]) -> DataFrame:
 
 def paired_release(readings: DataFrame, annotations: DataFrame, marks: DataFrame, series: Sequence[str] = WELL,
                    max_time: float = 73, min_dose: float = 1000, exclude: Sequence[str] = (),
-                   param=None, freq=None, carrier: str | None = None) -> DataFrame:
+                   param=None, freq=None, carrier: str | None = None,
+                   experiments: DataFrame | None = None) -> DataFrame:
     """Experiment means per hour of wells relative to their first three readings, in control/induced pairs. With
-    `carrier`, only of the experiments that carry that annotation value: their class."""
+    `carrier`, only of the experiments that carry that annotation value; with `experiments`, only of these."""
+    readings, annotations, marks = of_class(experiments, readings, annotations, marks)
     rows, wells, heads = release_heads(exclude_dates(readings, exclude), annotations, marks, series, carrier=carrier,
                                        param=param, freq=freq)
     rows, heads = clip_time(rows, hi=max_time), clip_time(heads, hi=max_time)
@@ -170,8 +177,10 @@ def release_all_frequencies(readings: DataFrame, annotations: DataFrame, marks:
 
 def pre_release_summary(readings: DataFrame, annotations: DataFrame, marks: DataFrame, gf: str = "VEGF",
                         ind: float = 25, param=None, freq=None, min_dose: float = 1000, first_bin: int = -40,
-                        max_time: float = 73, exclude: Sequence[str] = (), carrier: str | None = None) -> DataFrame:
+                        max_time: float = 73, exclude: Sequence[str] = (), carrier: str | None = None,
+                        experiments: DataFrame | None = None) -> DataFrame:
     """Hours before release, relative to the last three readings, over the experiments of one pair."""
+    readings, annotations, marks = of_class(experiments, readings, annotations, marks)
     wide, cuts = plates(annotations, marks, carrier)
     wells = select_readings(wide, celldensity="5000")
     # The pair's experiments: those with a treated well that has readings after release.
@@ -354,8 +363,9 @@ def modelled_wells(modelled: DataFrame, annotations: DataFrame, density: str | N
 
 
 def modelled_summary(modelled: DataFrame, annotations: DataFrame, max_time: float = 72,
-                     exclude: Sequence[str] = ()) -> DataFrame:
+                     exclude: Sequence[str] = (), experiments: DataFrame | None = None) -> DataFrame:
     """Modelled parameters of treated wells against controls, pairs formed inside each experiment."""
+    modelled, annotations = of_class(experiments, modelled, annotations)
     rows, wells = modelled_wells(modelled, annotations)
     keys = ["date", "gf", "conc", "dose", "treatment", "param"]
     # Pairing sees all hours, the time limit comes after it: the flag keeps both in one pass.
@@ -369,8 +379,10 @@ def modelled_summary(modelled: DataFrame, annotations: DataFrame, max_time: floa
     return mean_se(labelled, ["gf", "pair_ind", "param", "dose", "treat2", "time_bin"])
 
 
-def modelled_qc(modelled: DataFrame, annotations: DataFrame, column: str = "rmse", bins: int = 30) -> DataFrame:
+def modelled_qc(modelled: DataFrame, annotations: DataFrame, column: str = "rmse", bins: int = 30,
+                experiments: DataFrame | None = None) -> DataFrame:
     """Histogram of fit error or drift per pair, split by treatment."""
+    modelled, annotations = of_class(experiments, modelled, annotations)
     wide = select_readings(wide_annotations(annotations, {"serum": "FBS"}), celldensity="5000")
     wells = effective_doses(wide).select(*WELL, "gf", "conc", "treatment")
     # A well's pairs are found from the wells that have values, one row each, before the values are joined.
@@ -385,8 +397,9 @@ NORMALISATIONS = {"Raw": "raw", "Divide": "div_first", "Subtract": "sub_first"}
 
 
 def treatment_overview(readings: DataFrame, annotations: DataFrame, marks: DataFrame, normalisation: str = "Raw",
-                       max_time: float = 72, min_dose: float = 100) -> DataFrame:
+                       max_time: float = 72, min_dose: float = 100, experiments: DataFrame | None = None) -> DataFrame:
     """Every experiment's pairs over time by dose class, raw or relative to each well's first value."""
+    readings, annotations, marks = of_class(experiments, readings, annotations, marks)
     rows, wells = release_rows(readings, annotations, marks)
     wells = wells.where((F.col("dose") == 0) | (F.col("dose") > min_dose))
     wells = wells.withColumn("dose_bin", cut_breaks("dose", DOSE_BREAKS, include_lowest=True))
@@ -401,14 +414,19 @@ def treatment_overview(readings: DataFrame, annotations: DataFrame, marks: DataF
     return out.withColumn("legend", legend_label("conc", "gf", "treatment"))
 
 
-def setup_overview(readings: DataFrame, annotations: DataFrame, marks: DataFrame, serum: str = "FBS") -> DataFrame:
+def setup_overview(readings: DataFrame, annotations: DataFrame, marks: DataFrame, serum: str = "FBS",
+                   experiments: DataFrame | None = None) -> DataFrame:
     """Setup experiments after release by cell density, every growth factor, parameter and frequency."""
+    readings, annotations, marks = of_class(experiments, readings, annotations, marks)
     rows, wells = release_rows(readings, annotations, marks, density=None, serum=serum)
     rows = annotate(rows, wells.select(*WELL, "gf", "conc", "celldensity"))
     return mean_se(rows, ["date", "gf", "param", "freq", "conc", "celldensity", "time_h"])
 
 
-def setup_overview_modelled(modelled: DataFrame, annotations: DataFrame, serum: str = "FBS") -> DataFrame:
+def setup_overview_modelled(modelled: DataFrame, annotations: DataFrame, serum: str = "FBS",
+                            experiments: DataFrame | None = None) -> DataFrame:
+    """Setup experiments by cell density from their first modelled value on."""
+    modelled, annotations = of_class(experiments, modelled, annotations)
     rows, wells = modelled_wells(modelled, annotations, density=None, serum=serum)
     rows = annotate(rows, wells.select(*WELL, "gf", "conc", "celldensity"))
     return mean_se(rows, ["date", "gf", "param", "conc", "celldensity", "time_h"])
@@ -417,10 +435,12 @@ def setup_overview_modelled(modelled: DataFrame, annotations: DataFrame, serum:
 # --- hourly means and dose response -----------------------------------------------------------------
 
 def hourly_well_means(values: DataFrame, annotations: DataFrame | None, series: Sequence[str] = MODEL_SERIES,
-                      by: Sequence[str] = (), others: str | None = None) -> DataFrame:
+                      by: Sequence[str] = (), others: str | None = "others",
+                      experiments: DataFrame | None = None) -> DataFrame:
     """Hourly mean of every well, hours counted over all rows (or per `by`), with the wells' annotations; layers that are
-    not named come as a map in the column `others`, if asked for."""
+    not named come as a map in the column `others`. With `experiments`, hours too are counted over these only."""
     series = list(series)
+    values, = of_class(experiments, values)
     cells = materialise(hourly_cells(values, series), "cells")
     binned = hour_bins(cells, by, hour="hour", on_break="on_break").where("time_bin is not null")
     means = binned.groupBy(*series, "time_bin").agg(cell_mean(na_rm=False).alias("value"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from platewise.session import materialise
 
@@ -32,6 +34,53 @@ def write_table(df: DataFrame, path: str, mode: str = "append", partition_by: Se
 
 
 
+def reload_keyed(df: DataFrame, path: str, key: str = "workbook", partition_by: Sequence[str] = ("date",)) -> None:
+    """Load rows so that those of each `key` in `df` replace the rows loaded for that key before; other keys stay, also
+    those of the same date. A missing key is a key of its own.
+
+    Rows go to a folder of their own under `path/loads`. A manifest (one row per key: the load that counts for it) then
+    names them; each is written whole under a rising number, and readers take the latest that was finished. That
+    is the one switch: a load that fails before it leaves the old table, and of two loads that run at once on one
+    state the later fails at its number and can be repeated. Superseded rows stay on disk and are not read.
+    """
+    spark, load = df.sparkSession, uuid.uuid4().hex
+    done = _versions(spark, path)
+    write_table(df, f"{path}/loads/load={load}", "error", partition_by)
+    new = spark.read.schema(df.schema).parquet(f"{path}/loads/load={load}").select(F.col(key).alias("key")).distinct()
+    new = materialise(new.withColumn("load", F.lit(load)), "keys")  # small: a row per key
+    if done:
+        old = spark.read.parquet(f"{path}/manifest/{done[-1]:012d}")
+        new = old.alias("o").join(new.alias("n"), F.col("o.key").eqNullSafe(F.col("n.key")), "left_anti").unionByName(new)
+    new.write.mode("error").parquet(f"{path}/manifest/{(done[-1] if done else 0) + 1:012d}")
+
+
+def read_keyed(spark: SparkSession, path: str, schema, key: str = "workbook") -> DataFrame:
+    """What `reload_keyed` made: of each key the rows of its latest load. `schema` is that of the rows.
+
+    Loads without a key that counts are not opened; inside a load, rows of superseded keys are dropped by a semi join
+    with the manifest, which Spark broadcasts while it is small. Nothing loaded yet gives an empty table.
+    """
+    done = _versions(spark, path)
+    if not done:
+        return spark.createDataFrame([], schema)
+    manifest = spark.read.parquet(f"{path}/manifest/{done[-1]:012d}").select(F.col("key").alias("_key"), F.col("load").alias("_of"))
+    whole = T.StructType([*schema.fields, T.StructField("load", T.StringType())])
+    rows = spark.read.schema(whole).parquet(f"{path}/loads")
+    hit = (F.col("load") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key"))
+    return rows.join(manifest, hit, "left_semi").select(*schema.fieldNames())
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished manifests, ascending."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = [x.getPath() for x in files.listStatus(folder)]
+    done = [int(p.getName()) for p in found if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(done)
+
+
 def read_table(spark: SparkSession, name: str, schema=None) -> DataFrame:
     """A table by path or catalog name. Partition values are read as the text they were written as."""
     if "/" in name:

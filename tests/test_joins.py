@@ -51,10 +51,14 @@ def test_layers_not_named_are_carried(spark):
         [("d", "A1", "GF", "VEGF"), ("d", "A1", "passage", "3"), ("d", "A1", "passage", "4"), ("d", "A1", "medium", "M"),
          ("d", "A1", "void", None), ("d", "A1", None, "x"), ("d", "B1", "GF", "FBS")],
         "date string, well string, layer string, value string")
-    got = {r["well"]: r for r in joins.widen_annotations(df, others="others").collect()}
+    got = {r["well"]: r for r in joins.widen_annotations(df).collect()}
     assert got["A1"]["gf"] == "VEGF" and got["A1"]["others"] == {"passage": "4", "medium": "M"}
     assert got["B1"]["others"] == {}
-    assert "others" not in joins.widen_annotations(df).columns
+    assert "others" not in joins.widen_annotations(df, others=None).columns
+    wide = joins.spread_layers(joins.widen_annotations(df), "passage", "medium", "none")
+    assert {r["well"]: (r["passage"], r["medium"], r["none"]) for r in wide.collect()} == {
+        "A1": ("4", "M", None), "B1": (None, None, None)}
+    assert "others" not in wide.columns
 
 
 def test_ranges(spark):

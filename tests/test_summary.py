@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from platewise.operators import summary, timeline
-from platewise.operators.classify import classify_experiments, layer_presence
+from platewise.operators.classify import classify_experiments, dates_of_class, layer_presence
 from tests.conftest import rows
 
 
@@ -89,3 +89,15 @@ def test_experiment_classes(spark):
     with pytest.raises(ValueError):
         classify_experiments(df, max_signatures=2)
     assert rows(layer_presence(df))[2] == ("3", 1, 1, 1, 0)
+
+
+def test_dates_of_class(spark):
+    df = spark.createDataFrame([("1", "GF", "a"), ("1", "serum", "b"), ("2", "GF", "a"), ("2", "serum", None), ("3", "serum", "b"),
+                                (None, "GF", "a"), ("4", None, "a")], "date string, layer string, value string")
+
+    def dates(**options):
+        return {r["date"] for r in dates_of_class(df, **options).collect()}
+
+    assert dates(having=["GF"]) == {"1", "2", None} and dates(having=["GF", "serum"]) == {"1"}
+    assert dates(having=["GF"], lacking=["serum"]) == {"2", None} and dates(lacking=["GF", "serum"]) == {"4"}
+    assert dates() == {"1", "2", "3", "4", None} and dates(having=["none"]) == set()
