@@ -9,7 +9,8 @@ from platewise.llm.common import BLANK, Scratch, parts_for, text_of
 
 GRAM = 3  #: tokens in a hashed gram
 WINDOW = 6  #: grams of which one is kept at least
-TOKEN = 12  #: longer words are cut into tokens of this many code points
+TOKEN = 12  #: words of more code points are taken code point by code point
+BASE, PRIME = 48271, (1 << 31) - 1  #: of the polynomial hash of a gram
 PLACES = 31  #: low bits of a fingerprint entry: the place, counted down, so that the least entry is the rightmost
 
 
@@ -21,17 +22,23 @@ def _once(value: str, name: str, body: str) -> str:
 def fingerprint(text: str, gram: int = GRAM, window: int = WINDOW) -> Column:
     """Entries (hash, place) that winnowing keeps of a text expression, in order of place, packed into longs.
 
-    Tokens are lower-case words, long ones cut up. Each run of `gram` tokens is hashed to 32 bits; of each `window`
+    Tokens are lower-case words; a word of more than `TOKEN` code points, as in scripts without blanks, is taken as single
+    code points, so tokens do not shift with what stands before them. Each token is hashed once; the hash of `gram`
+    tokens is the polynomial in `BASE` modulo `PRIME` that a rolling update yields, here by Horner's rule over the token
+    hashes, as built-in functions have no state that rolls without copying it. Of each `window`
     hashes in a row the least is kept, the rightmost among equals, with its place. So two texts that share
     `gram + window - 1` tokens in a row share an entry's hash. Fewer tokens than a gram make one gram, fewer
     grams than a window one window; no tokens, no entries.
     """
     blank = BLANK.replace("\\", "\\\\")
-    tokens = f"regexp_extract_all(lower({text}), '([^{blank}]{{1,{TOKEN}}})', 1)"
-    more = "".join(f", get(t, i + {k})" for k in range(1, gram))
+    tokens = f"regexp_extract_all(lower({text}), '((?<![^{blank}])[^{blank}]{{1,{TOKEN}}}(?![^{blank}])|[^{blank}])', 1)"
+    tokens = f"transform({tokens}, x -> pmod(xxhash64(x), {PRIME}L))"
+    rolled = "x"
+    for k in range(1, gram):
+        rolled = f"pmod({rolled} * {BASE}L + coalesce(get(t, i + {k}), 0L), {PRIME}L)"
     top = (1 << PLACES) - 1
     grams = (f"transform(slice(t, 1, greatest(size(t) - {gram - 1}, least(size(t), 1))), (x, i) -> "
-             f"shiftleft(pmod(xxhash64(x{more}), {1 << 32}L), {PLACES}) | ({top}L - i))")
+             f"shiftleft({rolled}, {PLACES}) | ({top}L - i))")
     least = (f"case when size(g) = 0 then g else array_distinct(transform(sequence(1, greatest(size(g) - {window - 1}, 1)), "
              f"i -> array_min(slice(g, i, {window})))) end")
     return F.expr(_once(tokens, "t", _once(grams, "g", least)))

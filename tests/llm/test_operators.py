@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on given tables and on rows that are hard to get right."""
 
 import collections
+import ctypes
 import gzip
 import hashlib
 import os
@@ -11,6 +12,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -544,6 +546,27 @@ def slow_winnow(grams, window):
     return sorted(set(kept))
 
 
+def slow_fingerprint(text):
+    """(place, hash) of what winnowing keeps; the hash of a gram is rolled along the tokens."""
+    tokens = []
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text.lower()):
+        tokens += [word] if len(word) <= winnow.TOKEN else list(word)
+    prime, base, k = winnow.PRIME, winnow.BASE, winnow.GRAM
+    codes = [ctypes.c_int64(xxhash.xxh64_intdigest(t.encode(), 42)).value % prime for t in tokens]
+    codes += [0] * (k - len(codes) if codes else 0)
+    grams, value = [], 0
+    for i, code in enumerate(codes):
+        value = ((value - (codes[i - k] * pow(base, k - 1, prime) if i >= k else 0)) * base + code) % prime
+        if i >= k - 1:
+            grams.append(value)
+    return [(p, grams[p]) for p in slow_winnow(grams, winnow.WINDOW)]
+
+
+def alike(a, b):
+    a, b = ({h for _, h in x} for x in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_winnowing(spark, docs, real, none):
     for df in both(docs, real):
         rows = winnow.compare_with_next(df).collect()
@@ -559,6 +582,11 @@ def test_winnowing(spark, docs, real, none):
                 edited = t[:len(t) - k] + n[:k]
                 assert r["n_chars"] == len(t)
                 assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+                own, new, other = map(slow_fingerprint, (t, edited, n))
+                assert r["fingerprint"] == " ".join(f"{h:x}:{p}" for p, h in own)
+                assert r["edited_fingerprint"] == " ".join(f"{h:x}:{p}" for p, h in new)
+                assert r["near_edited"] == pytest.approx(alike(own, new), abs=1e-12)
+                assert r["near_next"] == pytest.approx(alike(own, other), abs=1e-12)
         for r in rows:
             assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
         plan = winnow.compare_with_next(df)._jdf.queryExecution().executedPlan().toString()
@@ -577,21 +605,20 @@ def test_winnowing_places_and_guarantee(spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(rng.choice(list("abcdef"), rng.integers(0, 60))) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    grams = ("transform(array(split(text, ' ')), t -> transform(slice(t, 1, greatest(size(t) - 2, least(size(t), 1))), "
-             "(x, i) -> pmod(xxhash64(x, get(t, i + 1), get(t, i + 2)), 4294967296L)))[0] as g")
-    hashed = df.withColumn("fp", winnow.fingerprint("text")).selectExpr("text", "fp", grams).collect()
-    for r in hashed:
-        if not r["text"]:
-            assert r["fp"] == []
-            continue
+    for r in df.withColumn("fp", winnow.fingerprint("text")).collect():
         got = [((1 << 31) - 1 - (x & (1 << 31) - 1), x >> 31) for x in r["fp"]]
-        want = slow_winnow(r["g"], winnow.WINDOW)
-        assert got == [(p, r["g"][p]) for p in want]
+        assert got == slow_fingerprint(r["text"])
     # texts that share gram + window - 1 tokens share an entry
     common = " ".join(f"c{i}" for i in range(winnow.GRAM + winnow.WINDOW - 1))
     two = spark.createDataFrame([(0, f"x1 x2 {common} x3"), (1, f"{common} y1 y2 y3 y4")], "doc_id long, text string")
     a, b = ({x >> 31 for x in r[0]} for r in two.select(winnow.fingerprint("text")).collect())
     assert a & b
+    # also inside text without blanks, whatever stands before
+    signs = "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 4000, 3000))
+    moved = spark.createDataFrame([(0, signs), (1, "\u4e00" + signs), (2, "abcdefghijklmnop" + signs[100:108] + "qrstuvwxyz" * 2)],
+                                  "doc_id long, text string")
+    a, b, c = ({x >> 31 for x in r[0]} for r in moved.select(winnow.fingerprint("text")).collect())
+    assert len(a & b) / len(a | b) > 0.99 and a & c
 
 
 # ---- 10 main text ------------------------------------------------------------------------------------------------
