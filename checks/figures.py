@@ -196,6 +196,22 @@ def q4(spark, sf):
     return r6(figures.before_release_summary(*_inputs(spark, sf), param="Z"))
 
 
+_AROUND_4000 = _AROUND.replace("param = 'Z'", "param = 'Z' and freq = 4000")
+
+
+@check("q3_around_release_at_frequency", f"""{_AROUND_4000}, a as (select * from tr where time_bin >= 0)
+{mean_se('a', 'gf, pair_ind, dose, treat2, time_bin')}""", "readings wide marks")
+def q3_freq(spark, sf):
+    return r6(figures.around_release_summary(*_inputs(spark, sf), param="Z", freq=4000))
+
+
+@check("q4_before_release_at_frequency", f"""{_AROUND_4000}, a as (select gf, pair_ind, date, time_bin, avg(value) as value from tr
+  where time_bin <= 0 group by gf, pair_ind, date, time_bin)
+{mean_se('a', 'gf, pair_ind, time_bin')}""", "readings wide marks")
+def q4_freq(spark, sf):
+    return r6(figures.before_release_summary(*_inputs(spark, sf), param="Z", freq=4000))
+
+
 # --- gene silencing -----------------------------------------------------------------------------------
 
 _PANELS = "(select 'VEGF' as panel, unnest(['VEGF', 'FBS_5']) as gf union all select 'FGF2', unnest(['bFGF', 'FBS_5'])) pn"

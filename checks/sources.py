@@ -222,6 +222,16 @@ def s15(spark, sf):
     return tables.read_table(spark, f"{sf}/part.parquet")
 
 
+_FIELDS = (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderdate", "timestamp_ntz"), ("o_totalprice", "double"))
+
+
+@check("s16_list_fields", " union all ".join(
+    f"select {i} as position, '{name}' as name, '{kind}' as type, count({name}) as present, count(*) - count({name}) as missing from orders"
+    for i, (name, kind) in enumerate(_FIELDS, 1)))
+def s16(spark, sf):
+    return tables.field_report(tables.read_table(spark, f"{sf}/orders.parquet").select(*[n for n, _ in _FIELDS]))
+
+
 @check("s17_csv_export", f"""select cast(row_number() over (order by date, param) as bigint) as row, date, param,
   {q6('avg(value)')} as mean, count(*) as n from readings group by date, param""", "readings")
 def s17(spark, sf):

@@ -99,6 +99,20 @@ def list_fields(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame(rows, "position int, name string, type string")
 
 
+def field_report(df: DataFrame) -> DataFrame:
+    """(position, name, type, present, missing): the fields of `df` in order, with how many rows have or lack a value.
+
+    One aggregate in one pass over the rows, combined inside the scan's tasks, however many fields there are; its one row
+    becomes one per field. An empty table has all its fields, with counts of zero.
+    """
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[
+        F.count(F.col(f"`{f.name}`")).alias(f"_{i}") for i, f in enumerate(df.schema.fields)])
+    fields = [F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"),
+                       F.col(f"_{i}").alias("present"), (F.col("rows") - F.col(f"_{i}")).alias("missing"))
+              for i, f in enumerate(df.schema.fields)]
+    return counts.select(F.explode(F.array(*fields)).alias("field")).select("field.*")
+
+
 def export_csv(df: DataFrame, path: str, order_by: Sequence[str]) -> None:
     """Header and a leading row number, in order.
 

@@ -144,3 +144,11 @@ def test_reload_of_workbooks(spark, tmp_path):
     assert held() == after
     load()
     assert held() == after
+
+
+def test_field_report(spark):
+    df = spark.createDataFrame([(1, None, ["a"]), (2, "x", None), (None, "", [])], "id long, `a.b` string, tags array<string>")
+    assert rows(tables.field_report(df)) == [
+        (1, "id", "bigint", 2, 1), (2, "a.b", "string", 2, 1), (3, "tags", "array<string>", 2, 1)]
+    assert rows(tables.field_report(df.limit(0))) == [
+        (1, "id", "bigint", 0, 0), (2, "a.b", "string", 0, 0), (3, "tags", "array<string>", 0, 0)]
