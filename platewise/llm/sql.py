@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from platewise.llm.quality import STOP_WORDS
+
 
 def _field(name: str) -> str:
     return (f"case when {name} is null then '-' else cast(octet_length(encode(cast({name} as varchar))) as varchar) || ':' || "
@@ -59,4 +61,25 @@ scored as (
 select item_id, cast(rank as integer) as rank, doc_id, score from (
   select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 20"""
 
-ORACLES = {"op12_lexical_search": LEXICAL, "op13_merkle_manifest": MERKLE}
+_STOP = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+
+QUALITY = rf"""with t as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from t),
+g as (select r, unnest(list_transform(range(1, len(ws) - 1), lambda i: [ws[i], ws[i + 1], ws[i + 2]])) as g,
+        unnest(range(1, len(ws) - 1)) as i from w where len(ws) > 2),
+again as (select r, i from (select r, i, count(*) over (partition by r, g) as times from g) where times > 1),
+c as (select r, count(distinct i + k) as n from again, (values (0), (1), (2)) as o(k) group by r),
+m as (select doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
+        cast(len(list_filter(ws, lambda x: x in ({_STOP}))) as bigint) as n_stop, coalesce(c.n, 0) as n_repeat_words,
+        cast(len(ls) as bigint) as n_lines, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines,
+        cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols
+  from w left join c on c.r = w.r),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
+select *, case when base_failed then false else
+    word_chars / n_words::double between 2.0::double and 12.0::double and n_symbols / n_words::double <= 0.1::double
+    and n_stop / n_words::double >= 0.03::double and n_dup_lines / greatest(n_lines, 1)::double <= 0.4::double
+    and n_repeat_words / n_words::double <= 0.5::double end as kept
+from f"""
+
+ORACLES = {"op9_quality_rules": QUALITY, "op12_lexical_search": LEXICAL, "op13_merkle_manifest": MERKLE}
