@@ -3,15 +3,15 @@
 `STAGES` lists (name, function) in order; each function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
 
-What each stage makes of hard rows (each is tested, as is every stage against a brute-force version):
+What each stage makes of hard rows (tested in `tests/llm`, as every stage is against a brute-force version):
 
 * an empty table gives an empty table with the same columns;
-* a null, empty or blank text has no words, so the quality rules reject it. A later stage given such rows keeps them: they
-  are near to nothing and hold no secret, the mix takes them as it takes any row of size zero, and packing gives one piece
-  that holds the end mark alone;
+* a null, empty or blank text has no words, so the quality rules reject it. Later stages given such rows: near duplicates
+  and the secret scan keep all of them, the mix takes them by whole multiples only, and packing gives null and empty texts
+  one piece that holds the end mark alone;
 * a null id is an id like another, a null source a source of its own (the last in order), a null language or length stays;
 * texts of any length are read whole;
-* rows that repeat whole are near copies of each other: one stays. Of near copies the least id stays; where several
+* rows with words that repeat whole are near copies of each other: one stays. Of near copies the least id stays; where several
   texts share that id, the one with the least hash;
 * other columns pass through as they are, whatever their names. Packing gives its own columns only.
 """
