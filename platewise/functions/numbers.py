@@ -74,6 +74,16 @@ def to_micromolar(c: Column | str) -> Column:
     return nearer.otherwise(above) / 100
 
 
+def to_places(c: Column | str, digits: int = 6, nudge: float = 1e-8) -> Column:
+    """A number at some decimal places; a little is added first, as numbers of few decimals often lie between two roundings.
+
+    The number is scaled as a double, rounded to a whole one, halves away from zero, and scaled back: so do engines that do
+    not round the decimal text of a double, and near a half the two part.
+    """
+    scale = 10.0 ** digits
+    return F.round((_col(c) + F.lit(nudge)) * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
+
+
 def safe_ratio(a: Column | str, b: Column | str) -> Column:
     """a / b, NULL where b is 0."""
     return F.try_divide(_col(a), _col(b))

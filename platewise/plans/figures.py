@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.functions.numbers import DOSE_BREAKS, cut_breaks, pool_values, safe_ratio, to_micromolar, unlog
+from platewise.functions.numbers import DOSE_BREAKS, cut_breaks, pool_values, safe_ratio, to_micromolar, to_places, unlog
 from platewise.functions.text import comparison_label
 from platewise.operators.joins import (
     annotate, attach, dates_with, dates_with_treated, keep_dates, pairs, replicated_series, widen_annotations,
@@ -425,10 +425,10 @@ def setup_overview(readings: DataFrame, annotations: DataFrame, marks: DataFrame
 
 def setup_overview_modelled(modelled: DataFrame, annotations: DataFrame, serum: str = "FBS",
                             experiments: DataFrame | None = None) -> DataFrame:
-    """Setup experiments by cell density from their first modelled value on."""
+    """Setup experiments by cell density from their first modelled value on, by times at six places."""
     modelled, annotations = of_class(experiments, modelled, annotations)
     rows, wells = modelled_wells(modelled, annotations, density=None, serum=serum)
-    rows = annotate(rows, wells.select(*WELL, "gf", "conc", "celldensity"))
+    rows = annotate(rows, wells.select(*WELL, "gf", "conc", "celldensity")).withColumn("time_h", to_places("time_h"))
     return mean_se(rows, ["date", "gf", "param", "conc", "celldensity", "time_h"])
 
 

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from platewise.functions.numbers import to_places
 from platewise.operators.summary import cells_mean_se
 from platewise.operators.timeline import hourly_cells
 from platewise.plans import figures
@@ -81,3 +82,27 @@ def test_workbooks_of_one_date_and_quoted_commas(spark):
     out = files.ingest(texts)
     assert rows(out["marks"]) == [("140419", 1.5, "Starv"), ("140419", 2.5, "GF"), ("140419", 3.5, "other")]
     assert ("140419", "Operator", "Smith, Jo") in rows(out["details"])
+
+
+def _close_times(spark):
+    """Two wells whose values lie a tenth of a microhour apart, and what belongs to them."""
+    notes = [("d", w, k, v) for w in ("A1", "A2") for k, v in (("GF", "VEGF"), ("conc_GF", "8"), ("serum", "FBS"),
+                                                                ("celldensity", "5000"))]
+    values = [("d", "A1", "Rb", 4000, 3.0, 1.0), ("d", "A1", "Rb", 4000, 4.0, 2.0), ("d", "A2", "Rb", 4000, 4.0000001, 4.0)]
+    marks = [("d", 1.0, "Starv"), ("d", 2.0, "GF added")]
+    return (spark.createDataFrame(values, "date string, well string, param string, freq int, time_h double, value double"),
+            spark.createDataFrame(notes, "date string, well string, layer string, value string"),
+            spark.createDataFrame(marks, "date string, time_h double, label string"))
+
+
+def test_modelled_setup_takes_times_at_six_places(spark):
+    values, notes, _ = _close_times(spark)
+    got = rows(figures.setup_overview_modelled(values.drop("freq"), notes).select("time_h", "y", "y_min"))
+    assert got == [(0.0, 1.0, None), (1.0, 3.0, 2.0)]
+
+
+def test_places_round_the_scaled_double(spark):
+    got = spark.range(1).select(to_places(F.lit(1.0000005), nudge=0).alias("a"), to_places(F.lit(-1e-9)).alias("b"),
+                                to_places(F.lit(8.5e-6 - 1e-8)).alias("c"), to_places(F.lit(None).cast("double")).alias("d"))
+    half = (8.5e-6 - 1e-8 + 1e-8) * 1e6
+    assert tuple(got.first()) == (math.floor(1.0000005 * 1e6 + 0.5) / 1e6, 0.0, math.floor(half + 0.5) / 1e6, None)
