@@ -416,10 +416,11 @@ def treatment_overview(readings: DataFrame, annotations: DataFrame, marks: DataF
 
 def setup_overview(readings: DataFrame, annotations: DataFrame, marks: DataFrame, serum: str = "FBS",
                    experiments: DataFrame | None = None) -> DataFrame:
-    """Setup experiments after release by cell density, every growth factor, parameter and frequency."""
+    """Setup experiments after release by cell density, every growth factor, parameter and frequency. Readings whose times
+    agree at six places are of one time."""
     readings, annotations, marks = of_class(experiments, readings, annotations, marks)
     rows, wells = release_rows(readings, annotations, marks, density=None, serum=serum)
-    rows = annotate(rows, wells.select(*WELL, "gf", "conc", "celldensity"))
+    rows = annotate(rows, wells.select(*WELL, "gf", "conc", "celldensity")).withColumn("time_h", to_places("time_h"))
     return mean_se(rows, ["date", "gf", "param", "freq", "conc", "celldensity", "time_h"])
 
 

@@ -106,3 +106,8 @@ def test_places_round_the_scaled_double(spark):
                                 to_places(F.lit(8.5e-6 - 1e-8)).alias("c"), to_places(F.lit(None).cast("double")).alias("d"))
     half = (8.5e-6 - 1e-8 + 1e-8) * 1e6
     assert tuple(got.first()) == (math.floor(1.0000005 * 1e6 + 0.5) / 1e6, 0.0, math.floor(half + 0.5) / 1e6, None)
+
+
+def test_setup_readings_take_times_at_six_places(spark):
+    got = rows(figures.setup_overview(*_close_times(spark)).select("time_h", "y", "y_min"))
+    assert got == [(0.0, 1.0, None), (1.0, 3.0, 2.0)]
