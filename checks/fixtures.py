@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt evenly by key. A table's file may be one task's, and every row here becomes a file's worth of text or rows:
+    such work is spread over the cluster, as files are, while the rows are still narrow."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _micros(ts) -> F.Column:
     """Microseconds since 2024-01-01 from the fields of a zone-free time stamp, whatever the session's zone."""
     day = F.datediff(F.to_date(ts), F.lit("2024-01-01")).cast("long")
@@ -194,7 +200,7 @@ def comment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four key/value rows per customer."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"), "c_custkey")
     rows = F.array(*[
         F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in
         [("Name", F.col("c_name")), ("Nation", F.col("c_nationkey").cast("string")),
@@ -222,7 +228,7 @@ def twin_detail_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detail_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A details sheet per customer: a title line and ten rows, of which eight count."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"), "c_custkey")
     day = F.concat(F.lit("2013-12-"), F.lpad((F.col("c_nationkey") + 1).cast("string"), 2, "0"))
     values = [F.col("c_name"), F.col("c_nationkey"), F.col("c_mktsegment"), F.col("c_custkey"), F.lit("a"), F.lit("b"),
               F.lit("c"), day, F.lit("not read"), F.lit("not read")]

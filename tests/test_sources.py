@@ -152,3 +152,12 @@ def test_field_report(spark):
         (1, "id", "bigint", 2, 1), (2, "a.b", "string", 2, 1), (3, "tags", "array<string>", 2, 1)]
     assert rows(tables.field_report(df.limit(0))) == [
         (1, "id", "bigint", 0, 0), (2, "a.b", "string", 0, 0), (3, "tags", "array<string>", 0, 0)]
+
+
+def test_work_on_details_is_spread(spark):
+    from checks import fixtures as X
+    # the customers lie in one file, which one task reads
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for made in (X.detail_texts, X.twin_detail_texts, X.detail_rows):
+        tasks = made(spark, "/root/testdata/sf0.001").rdd.glom().map(len).collect()
+        assert len(tasks) == parts and max(tasks) < sum(tasks) / 2
