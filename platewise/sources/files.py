@@ -53,8 +53,10 @@ def _lines(content: Column | str) -> Column:
 
 def _cells(line: Column) -> Column:
     """Cells of a line; a comma between double quotes does not end one."""
-    parts = F.when(F.contains(line, F.lit('"')), F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')).otherwise(F.split(line, ","))
-    return F.transform(parts, lambda x: F.trim(F.regexp_replace(x, '^\\s*"|"\\s*$', "")))
+    quoted = F.transform(F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)'),
+                         lambda x: F.trim(F.regexp_replace(x, '^\\s*"|"\\s*$', "")))
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(
+        F.transform(F.split(line, ","), lambda x: F.trim(x)))
 
 
 # --- wide sheets ------------------------------------------------------------------------------------

@@ -161,3 +161,11 @@ def test_work_on_details_is_spread(spark):
     for made in (X.detail_texts, X.twin_detail_texts, X.detail_rows):
         tasks = made(spark, "/root/testdata/sf0.001").rdd.glom().map(len).collect()
         assert len(tasks) == parts and max(tasks) < sum(tasks) / 2
+
+
+def test_plain_lines_need_no_pattern(spark):
+    lines = spark.createDataFrame([('a, b ,,c',), ('"x, y", "z" ,w',), (' "q"',), ('',), (None,)], "line string")
+    got = [r[0] for r in lines.select(files._cells(F.col("line"))).collect()]
+    assert got == [["a", "b", "", "c"], ["x, y", "z", "w"], ["q"], [""], None]
+    plan = lines.select(files._cells(F.col("line")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and plan.count("ELSE transform(split") == 1
