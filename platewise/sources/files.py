@@ -18,6 +18,7 @@ from platewise.functions.text import (
 )
 from platewise.operators.reshape import well_name
 from platewise.schema import MODEL_PARAMS, PLATE_COLS, PLATE_ROWS
+from platewise.session import new_path
 
 # Sheets that hold no readings.
 OTHER_SHEETS = ("Details", "Comments")
@@ -121,12 +122,20 @@ def split_variable(df: DataFrame, version: int = 2, variable: str = "variable")
 
 
 def readings_from_sheets(texts: DataFrame, version: int = 2, identity: bool = False) -> DataFrame:
-    """Sheet CSVs to the readings table, with `identity` beside the workbook that each comes from."""
-    long = split_variable(sheets_to_long(texts), version)
-    return long.select(
-        workbook_date("path", version).alias("date"), "well", "param",
-        freq_from_sheet("sheet", version).alias("freq"), "time_h", "value",
-        *([workbook_of("path").alias("workbook")] if identity else []))
+    """Sheet CSVs to the readings table, with `identity` beside the workbook that each comes from.
+
+    Names are taken apart once per file and column, before the file's cells become rows.
+    """
+    more = ["workbook"] if identity else []
+    sheets = data_sheets(texts.withColumn("sheet", sheet_from_path("path")))
+    headed = sheets.select(
+        workbook_date("path", version).alias("date"), freq_from_sheet("sheet", version).alias("freq"),
+        *([workbook_of("path").alias("workbook")] if identity else []), _lines("content").alias("_lines")).withColumn(
+        "_names", _cells(F.element_at("_lines", 1)))
+    named = headed.withColumn("_wells", F.transform("_names", lambda x: well_from_variable(x, version))).withColumn(
+        "_params", F.transform("_names", lambda x: param_from_variable(x, version)))
+    cells = _zipped(named, ["date", "freq", *more], {"well": "_wells", "param": "_params"}, 1)
+    return cells.select("date", "well", "param", "freq", "time_h", to_number("_text").alias("value"), *more)
 
 
 # --- comments and details ---------------------------------------------------------------------------
@@ -216,11 +225,11 @@ def union_layers(dfs: Sequence[DataFrame], defaults: Mapping[str, str] | None =
 
 # --- modelled parameters ----------------------------------------------------------------------------
 
-def _modelled_cells(texts: DataFrame) -> DataFrame:
-    headed = texts.select("path", _lines("content").alias("_lines")).select(
-        "path", _cells(F.try_element_at("_lines", F.lit(MODELLED_PARAM_LINE + 1))).alias("_params"),
+def _modelled_cells(texts: DataFrame, version: int) -> DataFrame:
+    headed = texts.select(date_from_path("path", version).alias("date"), _lines("content").alias("_lines")).select(
+        "date", _cells(F.try_element_at("_lines", F.lit(MODELLED_PARAM_LINE + 1))).alias("_params"),
         _cells(F.try_element_at("_lines", F.lit(MODELLED_WELL_LINE + 1))).alias("_wells"), "_lines")
-    return _zipped(headed, ["path"], {"param": "_params", "well": "_wells"}, MODELLED_FIRST_DATA_LINE)
+    return _zipped(headed, ["date"], {"param": "_params", "well": "_wells"}, MODELLED_FIRST_DATA_LINE)
 
 
 def read_modelled_v1(texts: DataFrame) -> DataFrame:
@@ -228,11 +237,11 @@ def read_modelled_v1(texts: DataFrame) -> DataFrame:
 
     (date, well, time_h, drift, rmse, param, value): drift and rmse stand beside Rb, Alpha and CellMCap.
     """
-    cells = _modelled_cells(texts)
+    cells = _modelled_cells(texts, 1)
     at, k = F.col("_at") - 1, len(MODEL_PARAMS)
     well_no = F.floor(at / k).cast("int")
     long = cells.select(
-        date_from_path("path", 1).alias("date"),
+        "date",
         well_name(well_no % PLATE_ROWS, F.floor(well_no / PLATE_ROWS).cast("int")).alias("well"), "time_h",
         F.element_at(F.array(*[F.lit(p) for p in MODEL_PARAMS]), (at % k + 1).cast("int")).alias("param"),
         to_number("_text").alias("value"))
@@ -244,9 +253,8 @@ def read_modelled_v1(texts: DataFrame) -> DataFrame:
 
 def read_modelled_v2(texts: DataFrame) -> DataFrame:
     """Modelled exports by their two header lines (parameters, wells): (date, well, param, time_h, value)."""
-    cells = _modelled_cells(texts)
-    return cells.select(
-        date_from_path("path", 2).alias("date"), "well", "param", "time_h", to_number("_text").alias("value"))
+    cells = _modelled_cells(texts, 2)
+    return cells.select("date", "well", "param", "time_h", to_number("_text").alias("value"))
 
 
 # --- everything -------------------------------------------------------------------------------------
@@ -262,20 +270,49 @@ def ingest_folder(spark: SparkSession, root: str, version: int = 2, identity: bo
                   layers=read_texts(spark, root, KIND_GLOBS["layer"]), modelled=read_texts(spark, root, KIND_GLOBS["modelled"]))
 
 
+def sorted_texts(texts: DataFrame, version: int = 2) -> DataFrame:
+    """(path, content, kind), written once in a folder per kind, so that a reader of one kind opens its own rows only: the
+    kinds of `input_kind`, and for a measurement's sheets `readings`, `Comments` or `Details`. Other rows are left out.
+
+    Kinds are told by file. The outer explode keeps that from being done again, below, for every row that a file is made of.
+    """
+    sheet, kind = sheet_from_path("path"), input_kind("path", version)
+    kinds = F.array(
+        F.when(input_kind(_workbook_path(), version) == "measurement",
+               F.when(sheet.isin(*OTHER_SHEETS), sheet).otherwise("readings")),
+        F.when(kind.isin("layer", "modelled"), kind))
+    told = texts.select("path", "content", F.explode_outer(F.array_compact(kinds)).alias("kind")).where("kind is not null")
+    spark, path = texts.sparkSession, new_path(texts.sparkSession, "texts")
+    told.write.mode("error").partitionBy("kind").parquet(path)
+    return spark.read.schema(told.schema).parquet(path)
+
+
+def _workbook_path() -> Column:
+    return F.regexp_extract("path", "^(.+\\.xlsx?)/[^/]+\\.csv$", 1)
+
+
 def ingest(texts: DataFrame, version: int = 2, identity: bool = False, layers: DataFrame | None = None,
            modelled: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables from one set of (path, content) rows, by file kind; `layers` and `modelled` hold the rows of these kinds
-    where they are read apart. With `identity`, readings, marks and details name their workbook."""
-    kind = input_kind("path", version)
-    workbook = F.regexp_extract("path", "^(.+\\.xlsx?)/[^/]+\\.csv$", 1)
-    sheets = texts.where(input_kind(workbook, version) == "measurement")
-    modelled = (texts if modelled is None else modelled).where(kind == "modelled")
+    where they are read apart. With `identity`, readings, marks and details name their workbook.
+
+    One set of all kinds is sorted by kind first (`sorted_texts`), which reads it once and not once per table.
+    """
+    if layers is None and modelled is None:
+        told = sorted_texts(texts, version)
+        readings, comments, sheets, layers, modelled = (
+            told.where(F.col("kind") == k) for k in ("readings", "Comments", "Details", "layer", "modelled"))
+    else:
+        kind = input_kind("path", version)
+        sheets = texts.where(input_kind(_workbook_path(), version) == "measurement")
+        readings = comments = sheets
+        layers = (texts if layers is None else layers).where(kind == "layer")
+        modelled = (texts if modelled is None else modelled).where(kind == "modelled")
     more = ["workbook"] if identity else []
     return {
-        "readings": readings_from_sheets(sheets, version, identity),
-        "marks": parse_marks(comment_lines(sheets, version, identity)),
+        "readings": readings_from_sheets(readings, version, identity),
+        "marks": parse_marks(comment_lines(comments, version, identity)),
         "details": detail_pairs(sheets, version, identity=identity).select("date", "key", "value", *more),
-        "annotations": plate_to_long((texts if layers is None else layers).where(kind == "layer"), version),
+        "annotations": plate_to_long(layers, version),
         "modelled": read_modelled_v1(modelled) if version == 1 else read_modelled_v2(modelled),
     }
-
