@@ -9,8 +9,8 @@ set form a class, and all further work is on classes:
    empty for both agree too; they are sent only by sets with at most H others, which is when they could be needed. Classes
    with an equal part form a bucket. No pair is lost, and a passage that many texts share does not fill a bucket by itself,
    since all that a text has in a part must be equal.
-2. *Leaders.* A bucket's leader is its least class. Every class is compared with the leader it shares most buckets with,
-   which is linear; verified links join dense groups of near copies into components at once.
+2. *Leaders.* A bucket's leader is its least class by the bits that travel; only leaders and their classes leave the task that
+   a bucket meets in. Every class is compared with the leader it shares most parts with, which is linear; verified links join dense groups of near copies into components at once.
 3. *Signature trees.* Only pairs of different components are left. All classes that share a leader form a group, so all
    that share a bucket are in one. Groups that still hold several components get a tree over their members (large ones one
    per pair of blocks), whose nodes hold OR-combined bitmaps of hashed shingles and size ranges. A dual traversal drops node
@@ -151,7 +151,8 @@ def light(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def buckets(docs: DataFrame, text: str, shingle_sum: int, percent: int, part_bytes: int = 12 << 20) -> DataFrame:
-    """(bucket, alias): classes that agree on a part with a different one."""
+    """(leader, alias, k): classes that agree on a part with a different one, each with the least of those that do, and on how
+    many parts. Buckets end in the task that they meet in; a leader and a class have a row per such task."""
     reducers = parts_for(shingle_sum * 6, part_bytes)  # 11 bytes for about half as many signatures as shingles
     bits = min(20, max(4, (8 * reducers).bit_length()))
 
@@ -216,13 +217,19 @@ def buckets(docs: DataFrame, text: str, shingle_sum: int, percent: int, part_byt
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(start, len(key)))
         keep = np.repeat(size > 1, size)
-        key, name = key[keep], name[keep]
-        for a in range(0, len(key), 200_000):
-            yield pa.RecordBatch.from_arrays([_signed(key[a:a + 200_000]), _signed(name[a:a + 200_000])],
-                                             ["bucket", "alias"])
+        if not keep.any():
+            return
+        first = np.repeat(name[start[size > 1]], size[size > 1])
+        name = name[keep]
+        order = np.lexsort((name, first))
+        first, name = first[order], name[order]
+        at = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (name[1:] != name[:-1]), [True])))
+        first, name, k = first[at[:-1]], name[at[:-1]], np.diff(at)
+        for a in range(0, len(k), 200_000):
+            yield pa.RecordBatch.from_arrays([_signed(x[a:a + 200_000]) for x in (first, name, k)], ["leader", "alias", "k"])
 
     packed = docs.select(text_of(text).alias("text")).mapInArrow(send, "r int, block binary")
-    return packed.repartition(reducers, "r").mapInArrow(meet, "bucket long, alias long")
+    return packed.repartition(reducers, "r").mapInArrow(meet, "leader long, alias long, k long")
 
 
 def _bitmap(s: np.ndarray) -> bytes:
@@ -474,22 +481,17 @@ def labelled(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     rows = scratch.keep(light(docs, id, text), "rows")
     classes = scratch.keep(rows.filter("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.max("n").alias("n")), "classes")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    met = scratch.keep(buckets(docs, text, total, percent), "buckets")
-    # buckets with the same members say the same
-    same = met.groupBy("bucket").agg(F.bit_xor("alias").alias("x"), F.bit_xor(F.xxhash64("alias")).alias("y"),
-                                     F.count("*").alias("k"))
-    one = scratch.keep(same.groupBy("x", "y", "k").agg(F.min("bucket").alias("bucket")).select("bucket"), "distinct")
-    names = classes.withColumn("alias", F.col("c").bitwiseAND(F.lit(ALIAS)))
-    members = scratch.keep(met.join(one, "bucket").join(names.select("alias", "c"), "alias").select("bucket", "c"), "members")
-    first = scratch.keep(members.groupBy("bucket").agg(F.min("c").alias("a")), "leaders")
     # classes that share a bucket share its leader: a group per leader has each class once, not once per bucket
-    groups = scratch.keep(members.join(first, "bucket").groupBy("a", "c").agg(F.count("*").alias("k")), "groups")
+    met = buckets(docs, text, total, percent).groupBy("leader", "alias").agg(F.sum("k").alias("k"))
+    names = classes.withColumn("alias", F.col("c").bitwiseAND(F.lit(ALIAS))).select("alias", "c")
+    heads = names.groupBy(F.col("alias").alias("leader")).agg(F.min("c").alias("a"))
+    groups = scratch.keep(met.join(names, "alias").join(heads, "leader").select("a", "c", "k"), "groups")
     # every class meets one leader, that with which it shares most buckets
     best = F.max_by("a", F.struct("k", -F.col("a").cast("decimal(20,0)")))
     pairs = groups.filter("a != c").groupBy("c").agg(best.alias("a")).select("a", F.col("c").alias("b"))
     pairs, salts = with_salts(pairs, scratch, "leader")
     # a class follows one leader at most, so both parts that it has to play stand in its row, with its text
-    wanted = (members.select("c").distinct().join(classes.select("c", "id"), "c")
+    wanted = (groups.select("c").distinct().join(classes.select("c", "id"), "c")
               .join(pairs.select(F.col("b").alias("c"), F.col("a").alias("leader"), "salt"), "c", "left")
               .join(salts.withColumnRenamed("a", "c"), "c", "left"))
     texts = scratch.keep(stored_texts(docs, scratch.keep(wanted, "wanted"), id, text), "texts")

@@ -846,3 +846,15 @@ def test_components(spark):
         groups[find(i)].add(got[i])
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
     assert set(got) == {x for e in edges if e[0] != e[1] for x in e}
+
+
+def test_buckets_leave_their_task_as_leaders(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join([*words[:400 - 4 * i], *[f"x{i}"] * i]) for i in range(4)] + ["some other words that no text has"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    names = sorted(simjoin.class_of(simjoin.shingles(t))[0] & simjoin.ALIAS for t in texts[:4])
+    got = simjoin.buckets(docs, "text", 1, 80).collect()  # one task
+    # all four share some part, so the least leads all others, with one row each however many parts they share
+    assert len(got) == len({(r["leader"], r["alias"]) for r in got})
+    led = {r["alias"]: r["k"] for r in got if r["leader"] == names[0]}
+    assert set(led) == set(names) and max(led.values()) > 10
