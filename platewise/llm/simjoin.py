@@ -8,15 +8,18 @@ set form a class, and all further work is on classes:
    pair agrees on a part. Each class sends a hash of each of its parts, packed into blocks by reducer. Parts that are
    empty for both agree too; they are sent only by sets with at most H others, which is when they could be needed. Classes
    with an equal part form a bucket. No pair is lost, and a passage that many texts share does not fill a bucket by itself,
-   since all that a text has in a part must be equal.
+   since all that a text has in a part must be equal. Since a shingle spoils one part at most, a linked pair agrees on as
+   many parts as a set fills beyond H; a class that meets others on fewer is linked with nothing and goes.
 2. *Leaders.* A bucket's leader is its least class by the bits that travel; only leaders and their classes leave the task that
    a bucket meets in. Every class is compared with the leader it shares most parts with, which is linear; verified links join dense groups of near copies into components at once.
+   A pair's bitmaps of hashed shingles are held together first, and only texts of pairs that these leave open are fetched.
 3. *Signature trees.* Only pairs of different components are left. All classes that share a leader form a group, so all
    that share a bucket are in one. Groups that still hold several components get a tree over their members (large ones one
    per pair of blocks), whose nodes hold OR-combined bitmaps of hashed shingles and size ranges. A dual traversal drops node
-   pairs whose sizes cannot go together or whose largest possible overlap is too small, and single pairs likewise; what
-   remains is held against the full sets in the task, where a link joins components, so that a group never gives more links
-   than it has components, and no pair is written.
+   pairs whose sizes cannot go together or whose largest possible overlap is too small, and single pairs likewise. It is done
+   without texts first, to see which members have a pair that remains. These get their texts, and their pairs are held
+   against the full sets in the task, where a link joins components, so that a group never gives more links than it has
+   components, and no pair is written.
 4. *Components* by stars (`graph.py`), in tables.
 """
 
@@ -43,7 +46,6 @@ _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63],
                 np.uint64)
-_KNOWN: dict[bytes, int] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,21 +60,14 @@ def shingles(text: str | None) -> np.ndarray:
     words = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_KNOWN) > 200_000:
-        _KNOWN.clear()
-    get, out = _KNOWN.get, []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _KNOWN[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    h = np.array(out, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = min(len(h), SHINGLE)
     last = len(h) - n + 1
     total = np.full(last, n, np.uint64)
     for i in range(n):
         total += h[i:i + last] * _ODD[i]
-    return np.unique(_mix(total))
+    total = np.sort(_mix(total))
+    return total[np.concatenate(([True], total[1:] != total[:-1]))]
 
 
 def class_of(s: np.ndarray) -> tuple[int, int]:
@@ -126,28 +121,44 @@ def signatures(s: np.ndarray, sizes: Sizes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def least_met(s: np.ndarray, sizes: Sizes) -> int:
+    """On how many of its signatures a set agrees with one that it links with, at least. A differing shingle spoils one
+    part; so of the parts that are not empty, all but H agree, and the other set sends these, too."""
+    out = []
+    for _, most in sizes.groups(len(s)):
+        m = most + 5 + most // 20
+        part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+        out.append(max(1, 1 + int(np.count_nonzero(part[1:] != part[:-1])) - most))
+    return min(out, default=1)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, pa.int64())
 
 
 # ---- passes over texts -------------------------------------------------------------------------------------------
 
-def light(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, h, n, c, c2) per row: a hash of the text, set size and digests."""
+def light(docs: DataFrame, id: str, text: str, percent: int) -> DataFrame:
+    """(id, h, n, c, need, bitmap) per row: a hash of the text, set size, class, `least_met` and bitmap."""
     plain = docs.select(F.col(id).alias("id"), text_of(text).alias("text")).withColumn("h", F.xxhash64("text"))
     kind = plain.schema["id"].dataType.simpleString()
 
     def run(batches):
+        sizes = Sizes(percent)
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [shingles(t) for t in part.column("text").to_pylist()]
-                digests = [class_of(s) for s in sets]
+                n, c, need, bitmaps = [], [], [], []
+                for t in part.column("text").to_pylist():
+                    s = shingles(t)
+                    n.append(len(s))
+                    c.append(class_of(s)[0])
+                    need.append(least_met(s, sizes))
+                    bitmaps.append(_bitmap(s) if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("h"), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())],
-                    ["id", "h", "n", "c", "c2"])
+                    [part.column("id"), part.column("h"), *(pa.array(x, pa.int64()) for x in (n, c, need)),
+                     pa.array(bitmaps, pa.binary())], ["id", "h", "n", "c", "need", "bitmap"])
 
-    return plain.mapInArrow(run, f"id {kind}, h long, n long, c long, c2 long")
+    return plain.mapInArrow(run, f"id {kind}, h long, n long, c long, need long, bitmap binary")
 
 
 def buckets(docs: DataFrame, text: str, shingle_sum: int, percent: int, part_bytes: int = 12 << 20) -> DataFrame:
@@ -277,34 +288,12 @@ def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def stored_texts(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
-    """(c, n, bitmap, text) of the classes of `wanted` (c, id), from one text each, with the other columns of `wanted`.
-    A text takes less room than the hashes of its set, which are made again where they are compared."""
-    plain = docs.select(F.col(id).alias("id"), text_of(text).alias("text"))
-    more = [f for f in wanted.schema.fields if f.name not in ("c", "id")]
-    names = ["c", "n", "bitmap", "text", *[f.name for f in more]]
-
-    def run(batches):
-        done = set()  # rows of an id come to one task, or are repeated, which does no harm
-        for batch in batches:
-            for part in slices(batch, "text"):
-                at, sizes, bitmaps = [], [], []
-                for i, (c, t) in enumerate(zip(part.column("c").to_pylist(), part.column("text").to_pylist(), strict=True)):
-                    if c in done:
-                        continue
-                    s = shingles(t)
-                    if class_of(s)[0] == c:  # an id may come with several texts, or more than once
-                        done.add(c)
-                        at.append(i)
-                        sizes.append(len(s))
-                        bitmaps.append(_bitmap(s))
-                kept = part.take(pa.array(at, pa.int64()))
-                made = {"n": pa.array(sizes, pa.int64()), "bitmap": pa.array(bitmaps, pa.binary())}
-                yield pa.RecordBatch.from_arrays([made[k] if k in made else kept.column(k) for k in names], names)
-
-    plain = _likely(plain, wanted)
-    named = plain.join(wanted, plain["id"].eqNullSafe(wanted["id"])).select("c", "text", *[f.name for f in more])
-    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in more)
-    return named.mapInArrow(run, f"c long, n long, bitmap binary, text string{kinds}")
+    """(c, text) of the classes of `wanted` (c, id, h), from one text each: that of a row with this id and hash. A text takes
+    less room than the hashes of its set, which are made again where they are compared."""
+    plain = _likely(docs.select(F.col(id).alias("id"), text_of(text).alias("text")), wanted)
+    named = plain.withColumn("h", F.xxhash64("text")).alias("t").join(
+        wanted.alias("w"), F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.h") == F.col("w.h")))
+    return named.groupBy("c").agg(F.first("text").alias("text"))  # rows may be repeated
 
 
 # ---- pairs -------------------------------------------------------------------------------------------------------
@@ -351,6 +340,29 @@ def linked(followers: DataFrame, leaders: DataFrame, percent: int, sets=shingles
     return rows.select("a", "b", "text").mapInArrow(compare, "a long, b long")
 
 
+def may_link(n: int, u: bytes, k: int, v: bytes, percent: int) -> bool:
+    """Whether two sets, of n and k shingles and with bitmaps u and v, may be alike enough: a bit that only one of them
+    has stands for a shingle, at least, that the other lacks."""
+    width = min(len(u), len(v)) // 8
+    u, v = (np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, width)) for x in (u, v))
+    most = min(n - int(np.bitwise_count(u & ~v).sum()), k - int(np.bitwise_count(v & ~u).sum()))
+    return most * (100 + percent) >= percent * (n + k)
+
+
+def open_pairs(pairs: DataFrame, salts: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of `pairs` (a, b, salt) that may link by sizes and bitmaps; cards: c, n, bitmap."""
+    first = (salts.join(cards.withColumnsRenamed({"c": "a", "n": "n_a", "bitmap": "bitmap_a"}), "a")
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"))
+    both = pairs.join(cards.withColumnRenamed("c", "b"), "b").join(first, ["a", "salt"])
+
+    def run(batches):
+        for batch in batches:
+            ok = [may_link(*row, percent) for row in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.select("a", "b", "n_a", "bitmap_a", "n", "bitmap").mapInArrow(run, "a long, b long")
+
+
 class Node:
     """A node of a signature tree: OR of the bitmaps below, range of sizes, most shingles beyond set bits, and the
     component if there is only one below."""
@@ -417,59 +429,98 @@ def tree_pairs(x: SignatureTree, y: SignatureTree, percent: int) -> Iterator[tup
             todo += [(a, k) for k in b.kids]
 
 
-def across(members: DataFrame, percent: int, block: int = 1024) -> DataFrame:
-    """Links (a, b) between different components among classes that share a bucket; members: bucket, c, n, bitmap, comp, text
-    and buckets (all that c is in, sorted). A pair belongs to the least bucket that it shares.
-
-    A bucket of more than `block` members is cut into blocks by hash, and every pair of blocks is a group of its own, so
-    that no task holds a bucket of any size. Pairs that the trees leave are held against the full sets at once.
-    """
+def dealt(members: DataFrame, block: int = 1024) -> DataFrame:
+    """`members` with the groups (bucket, i, j) that each belongs to, and its own block `mine`. A bucket of more than `block`
+    members is cut into blocks by hash, and every pair of blocks is a group of its own, so that no task holds a bucket of
+    any size."""
     many = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    rows = (members.join(many, "bucket").withColumn("mine", mine)
+    return (members.join(many, "bucket").withColumn("mine", mine)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "c", "n",
-                    "bitmap", "comp", "buckets", "text"))
-    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-
-    def of_group(group) -> Iterator[pa.RecordBatch]:
-        bucket, i, j, mine, c, n, bitmap, comp, others, texts = zip(*group, strict=True)
-        others, sets, found = [set(x) for x in others], {}, []
-        n, comp, mine = np.array(n, np.int64), np.array(comp, np.int64), np.array(mine)
-        width = min(len(b) for b in bitmap)
-        bits = np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, width // 8)) for b in bitmap])
-        x = np.flatnonzero(mine == i[0])
-        y = np.flatnonzero(mine == j[0])
-
-        def full(k: int) -> np.ndarray:
-            if k not in sets:
-                sets[k] = shingles(texts[k])
-            return sets[k]
-
-        if len(x) and len(y):
-            left = SignatureTree(n, bits, comp, x)
-            right = left if i[0] == j[0] else SignatureTree(n, bits, comp, y)
-            for p, q in tree_pairs(left, right, percent):
-                for u, v in zip(p.tolist(), q.tolist(), strict=True):
-                    # components join as links are found, so most pairs of a group of near copies need no look
-                    if comp[u] != comp[v] and min(others[u] & others[v]) == bucket[0] and linking(full(u), full(v), percent):
-                        found.append((c[u], c[v]))
-                        comp[comp == comp[v]] = comp[u]
-        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            .withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("blocks", "other"))
+
+
+def _pairs_of(group: dict[str, list], percent: int, comp: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of a group that trees leave open, of different components in `comp`, which may change meanwhile. A
+    pair belongs to the least bucket that it shares."""
+    n, mine, bucket = np.array(group["n"], np.int64), np.array(group["mine"]), group["bucket"][0]
+    x, y = np.flatnonzero(mine == group["i"][0]), np.flatnonzero(mine == group["j"][0])
+    if not len(x) or not len(y):
+        return
+    others = [set(b) for b in group["buckets"]]
+    width = min(len(b) for b in group["bitmap"])
+    bits = np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, width // 8)) for b in group["bitmap"]])
+    left = SignatureTree(n, bits, comp, x)
+    right = left if group["i"][0] == group["j"][0] else SignatureTree(n, bits, comp, y)
+    for p, q in tree_pairs(left, right, percent):
+        for u, v in zip(p.tolist(), q.tolist(), strict=True):
+            if comp[u] != comp[v] and min(others[u] & others[v]) == bucket:
+                yield u, v
+
+
+def _by_group(rows: DataFrame, names: list[str], of_group, schema: str) -> DataFrame:
+    """What `of_group` makes of the columns `names` of each group (bucket, i, j) of at least two rows."""
+    names = ["bucket", "i", "j", *names]
 
     def run(batches):
         key, group = None, []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in names), strict=True):
                 if row[:3] != key:
                     if len(group) > 1:
-                        yield from of_group(group)
+                        yield of_group(dict(zip(names, zip(*group, strict=True), strict=True)))
                     key, group = row[:3], []
                 group.append(row)
         if len(group) > 1:
-            yield from of_group(group)
+            yield of_group(dict(zip(names, zip(*group, strict=True), strict=True)))
+
+    rows = rows.select(*names).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return rows.mapInArrow(run, schema)
+
+
+def open_members(rows: DataFrame, percent: int) -> DataFrame:
+    """(bucket, i, j, c) of the rows of groups (see `dealt`; with n, bitmap, comp and buckets, all that c is in) that have a
+    pair which the trees leave open."""
+    def of_group(group) -> pa.RecordBatch:
+        comp, seen = np.array(group["comp"], np.int64), set()
+        for pair in _pairs_of(group, percent, comp):
+            seen.update(pair)
+        at = sorted(seen)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([group[k][x] for x in at], t) for k, t in _GROUP.items()], list(_GROUP))
+
+    return _by_group(rows, ["mine", "c", "n", "bitmap", "comp", "buckets"], of_group, "bucket long, i int, j int, c long")
+
+
+_GROUP = {"bucket": pa.int64(), "i": pa.int32(), "j": pa.int32(), "c": pa.int64()}
 
-    return rows.mapInArrow(run, "a long, b long")
+
+def confirmed(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components among rows of groups, with the columns of `open_members` and text: pairs
+    that the trees leave open are held against the full sets."""
+    def of_group(group) -> pa.RecordBatch:
+        comp, sets, found = np.array(group["comp"], np.int64), {}, []
+
+        def full(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles(group["text"][k])
+            return sets[k]
+
+        for u, v in _pairs_of(group, percent, comp):
+            # components join as links are found, so most pairs of a group of near copies need no look
+            if linking(full(u), full(v), percent):
+                found.append((group["c"][u], group["c"][v]))
+                comp[comp == comp[v]] = comp[u]
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return _by_group(rows, ["mine", "c", "n", "bitmap", "comp", "buckets", "text"], of_group, "a long, b long")
+
+
+def across(members: DataFrame, percent: int, block: int = 1024) -> DataFrame:
+    """Links (a, b) between different components among classes that share a bucket; members: bucket, c, n, bitmap, comp, text
+    and buckets (all that c is in, sorted)."""
+    rows = dealt(members, block)
+    return confirmed(rows.join(open_members(rows, percent), list(_GROUP), "left_semi"), percent)
 
 
 # ---- results -----------------------------------------------------------------------------------------------------
@@ -478,34 +529,46 @@ def labelled(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     """(id, h, n, c, root, least) per row of `docs`: hash of the text, set size, class, component and least id in it; the
     last two are null where the set is empty."""
     scratch = Scratch(docs.sparkSession, "simjoin")
-    rows = scratch.keep(light(docs, id, text), "rows")
-    classes = scratch.keep(rows.filter("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.max("n").alias("n")), "classes")
+    rows = scratch.keep(light(docs, id, text, percent), "rows")
+    classes = scratch.keep(rows.filter("n > 0").groupBy("c").agg(
+        F.min("id").alias("id"), F.max("need").alias("need"), F.min(F.struct("id", "h")).alias("of")), "classes")
     total = rows.agg(F.sum("n")).first()[0] or 0
     # classes that share a bucket share its leader: a group per leader has each class once, not once per bucket
     met = buckets(docs, text, total, percent).groupBy("leader", "alias").agg(F.sum("k").alias("k"))
-    names = classes.withColumn("alias", F.col("c").bitwiseAND(F.lit(ALIAS))).select("alias", "c")
+    names = classes.withColumn("alias", F.col("c").bitwiseAND(F.lit(ALIAS))).select("alias", "c", "need")
     heads = names.groupBy(F.col("alias").alias("leader")).agg(F.min("c").alias("a"))
-    groups = scratch.keep(met.join(names, "alias").join(heads, "leader").select("a", "c", "k"), "groups")
+    met = scratch.keep(met.join(names, "alias").join(heads, "leader").select("a", "c", "k", "need"), "met")
+    # a class that meets others on too few parts is linked with nothing
+    held = met.groupBy("c").agg(F.sum("k").alias("k"), F.max("need").alias("need")).filter("k >= need").select("c")
+    held = scratch.keep(held, "held")
+    groups = scratch.keep(met.select("a", "c", "k").join(held, "c", "left_semi"), "groups")
+    cards = scratch.keep(rows.filter("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+                         .join(held, "c", "left_semi"), "cards")
+
+    def texts_of(wanted: DataFrame, name: str) -> DataFrame:
+        wanted = scratch.keep(wanted.distinct().join(classes, "c").select("c", "of.id", "of.h"), f"{name}-wanted")
+        return scratch.keep(stored_texts(docs, wanted, id, text), f"{name}-texts")
+
     # every class meets one leader, that with which it shares most buckets
     best = F.max_by("a", F.struct("k", -F.col("a").cast("decimal(20,0)")))
-    pairs = groups.filter("a != c").groupBy("c").agg(best.alias("a")).select("a", F.col("c").alias("b"))
-    pairs, salts = with_salts(pairs, scratch, "leader")
-    # a class follows one leader at most, so both parts that it has to play stand in its row, with its text
-    wanted = (groups.select("c").distinct().join(classes.select("c", "id"), "c")
-              .join(pairs.select(F.col("b").alias("c"), F.col("a").alias("leader"), "salt"), "c", "left")
-              .join(salts.withColumnRenamed("a", "c"), "c", "left"))
-    texts = scratch.keep(stored_texts(docs, scratch.keep(wanted, "wanted"), id, text), "texts")
+    pairs = groups.filter("a != c").join(held.withColumnRenamed("c", "a"), "a", "left_semi")
+    pairs, salts = with_salts(pairs.groupBy("c").agg(best.alias("a")).select("a", F.col("c").alias("b")), scratch, "met")
+    pairs, salts = with_salts(open_pairs(pairs, salts, cards, percent), scratch, "leader")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("c")), "leader")
     links = scratch.keep(linked(
-        texts.filter("leader is not null").select(F.col("leader").alias("a"), "salt", F.col("c").alias("b"), "text"),
-        texts.filter("salts is not null").select(F.col("c").alias("a"), "salts", "text"), percent), "leader-links")
+        pairs.join(texts.withColumnRenamed("c", "b"), "b").select("a", "salt", "b", "text"),
+        salts.join(texts.withColumnRenamed("c", "a"), "a").select("a", "salts", "text"), percent), "leader-links")
     roots = components(links, scratch, "leader")
     # groups that still hold several components
     known = groups.join(roots, "c", "left").select(F.col("a").alias("bucket"), "c", F.coalesce("root", "c").alias("comp"))
     known = scratch.keep(known.join(groups.groupBy("c").agg(F.collect_list("a").alias("buckets")), "c"), "known")
     mixed = scratch.keep(known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                          .filter("lo != hi").select("bucket"), "mixed")
-    cards = texts.select("c", "n", "bitmap", "text")
-    more = scratch.keep(across(known.join(mixed, "bucket").join(cards, "c"), percent), "tree-links")
+    members = scratch.keep(dealt(known.join(mixed, "bucket")), "members")
+    seen = scratch.keep(open_members(members.join(cards, "c"), percent), "open")
+    texts = texts_of(seen.select("c"), "tree")
+    more = scratch.keep(confirmed(members.join(seen, list(_GROUP), "left_semi").join(cards, "c").join(texts, "c"), percent),
+                        "tree-links")
     roots = merged(roots, more, scratch, "tree")
     final = classes.join(roots, "c", "left").select("c", "id", F.coalesce("root", "c").alias("root"))
     final = scratch.keep(final, "final")

@@ -792,6 +792,63 @@ def test_linked_sets_share_a_signature():
             assert len(np.intersect1d(simjoin.signatures(a, sizes), simjoin.signatures(b, sizes)))
 
 
+def test_linked_sets_share_as_many_signatures_as_they_need():
+    rng = np.random.default_rng(12)
+    sizes, needs = simjoin.Sizes(), []
+    for _ in range(600):
+        n = int(rng.integers(1, 700))
+        a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        drop = int(rng.integers(0, n // 5 + 1))
+        add = max(0, int((n - drop) / 0.8 - n)) if n % 2 else 0  # at the limit, and inside
+        b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 64, add, np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 80 * (len(a) + len(b) - common) and not np.array_equal(a, b):
+            met = len(np.intersect1d(simjoin.signatures(a, sizes), simjoin.signatures(b, sizes)))
+            needs += [simjoin.least_met(a, sizes), simjoin.least_met(b, sizes)]
+            assert met >= max(needs[-2:])
+    assert max(needs) > 5
+
+
+def test_bitmaps_leave_linked_pairs_open():
+    rng = np.random.default_rng(13)
+    left = 0
+    for n in (2, 9, 40, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for part in (0.3, 0.8, 0.81, 0.95):
+            b = a[:max(1, round(part * len(a)))]
+            other = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            args = len(a), simjoin._bitmap(a), len(b), simjoin._bitmap(b), 80
+            assert simjoin.may_link(*args) or not simjoin.linking(a, b, 80)
+            left += simjoin.may_link(len(a), simjoin._bitmap(a), len(other), simjoin._bitmap(other), 80)
+    assert not left
+
+
+def test_only_likely_texts_are_fetched(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    shared = [f"s{i}" for i in range(120)]  # a passage that all texts have, which makes them meet
+    texts = [" ".join(shared + [f"q{k}r{i}" for i in range(100 + 3 * k)]) for k in range(60)]
+    texts += [" ".join(edited(rng, texts[0].split(), 0.01))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked, real = [], simjoin.stored_texts
+
+    def stored(docs, wanted, *args):
+        asked.append(wanted.select("c").distinct().count())
+        return real(docs, wanted, *args)
+
+    monkeypatch.setattr(simjoin, "stored_texts", stored)
+    same([tuple(r) for r in simjoin.join(docs).collect()], slow_components(pairs_of(docs)))
+    assert sum(asked) < 15  # all 61 before
+
+
+def test_texts_are_fetched_by_one_python_process_a_task(spark):
+    docs = spark.createDataFrame([(None, "a b"), (1, "c d"), (1, "e f"), (1, "c d"), (2, "g h")], "doc_id long, text string")
+    wanted = docs.filter("text in ('a b', 'c d')").distinct().select(
+        F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.xxhash64("text").alias("c"))
+    got = simjoin.stored_texts(docs, wanted, "doc_id", "text")
+    assert sorted(r["text"] for r in got.collect()) == ["a b", "c d"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_tree_drops_no_linked_pair():
     rng = np.random.default_rng(9)
     base = [rng.integers(0, 1 << 63, rng.integers(5, 60)).astype(np.uint64) for _ in range(20)]
