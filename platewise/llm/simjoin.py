@@ -252,12 +252,12 @@ def _bitmap(s: np.ndarray) -> bytes:
 
 
 def _may_hold(keys: DataFrame, most_bits: int = 1 << 27, block: int = 1 << 15) -> bytes:
-    """A Bloom filter of one hash over the longs `k` of `keys`: 16 bits or more per row, `most_bits` (16 MB) at most,
-    whatever the input. Past some 100 million rows it lets more through, and never keeps a row of `keys` back.
+    """A Bloom filter of one hash over the longs `k` of `keys`: 64 bits or more per row, `most_bits` (16 MB) at most,
+    whatever the input. Past some 10 million rows it lets more through, and never keeps a row of `keys` back.
 
     Blocks of it are made in tasks, each of at most `block` distinct places; the driver puts them in a row.
     """
-    bits = min(most_bits, max(block, 1 << (16 * keys.count()).bit_length()))
+    bits = min(most_bits, max(block, 1 << (64 * keys.count()).bit_length()))
     places = keys.select(F.pmod("k", F.lit(bits)).alias("place")).distinct().withColumn(
         "block", F.expr(f"place div {block}"))
 
@@ -273,27 +273,36 @@ def _may_hold(keys: DataFrame, most_bits: int = 1 << 27, block: int = 1 << 15) -
 
 
 def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of `texts` (id, text) whose id may be one of `wanted`, so that few others are shuffled."""
+    """The rows of `texts` whose id may be one of `wanted`, so that few others are shuffled."""
     held = texts.sparkSession.sparkContext.broadcast(_may_hold(wanted.select(F.xxhash64("id").alias("k"))))
+    names = texts.columns
 
     def run(batches):
         marks = np.frombuffer(held.value, np.uint8)
         for batch in batches:
-            place = batch.column("k").to_numpy() % (8 * len(marks))
+            place = batch.column("_k").to_numpy() % (8 * len(marks))
             on = marks[place >> 3] >> (place & 7).astype(np.uint8) & 1
-            yield batch.select(["id", "text"]).filter(pa.array(on.astype(bool)))
+            yield batch.select(names).filter(pa.array(on.astype(bool)))
 
-    kind = texts.schema["id"].dataType.simpleString()
-    return texts.withColumn("k", F.xxhash64("id")).mapInArrow(run, f"id {kind}, text string")
+    return texts.withColumn("_k", F.xxhash64("id")).mapInArrow(run, texts.schema)
 
 
 def stored_texts(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
     """(c, text) of the classes of `wanted` (c, id, h), from one text each: that of a row with this id and hash. A text takes
     less room than the hashes of its set, which are made again where they are compared."""
-    plain = _likely(docs.select(F.col(id).alias("id"), text_of(text).alias("text")), wanted)
-    named = plain.withColumn("h", F.xxhash64("text")).alias("t").join(
-        wanted.alias("w"), F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.h") == F.col("w.h")))
-    return named.groupBy("c").agg(F.first("text").alias("text"))  # rows may be repeated
+    plain = docs.select(F.col(id).alias("row_id"), text_of(text).alias("text")).withColumn("row_h", F.xxhash64("text"))
+    plain = plain.withColumn("id", F.xxhash64("row_id", "row_h"))
+    keyed = wanted.select("c", F.xxhash64("id", "h").alias("key"), F.col("id").alias("of_id"), F.col("h").alias("of_h"))
+    likely = _likely(plain, keyed.select(F.col("key").alias("id"))).withColumnRenamed("id", "key")
+    named = likely.join(keyed, "key").filter(F.col("row_id").eqNullSafe(F.col("of_id")) & (F.col("row_h") == F.col("of_h")))
+    return named.groupBy("key", "c").agg(F.first("text").alias("text")).drop("key")  # rows may be repeated
+
+
+def cards_of(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """(c, n, bitmap) of the classes `held` (c), from rows with these columns."""
+    likely = _likely(rows.select(F.col("c").alias("id"), "n", "bitmap"), held.select(F.col("c").alias("id")))
+    return (likely.withColumnRenamed("id", "c").groupBy("c").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+            .join(held, "c", "left_semi"))
 
 
 # ---- pairs -------------------------------------------------------------------------------------------------------
@@ -542,8 +551,7 @@ def labelled(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     held = met.groupBy("c").agg(F.sum("k").alias("k"), F.max("need").alias("need")).filter("k >= need").select("c")
     held = scratch.keep(held, "held")
     groups = scratch.keep(met.select("a", "c", "k").join(held, "c", "left_semi"), "groups")
-    cards = scratch.keep(rows.filter("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
-                         .join(held, "c", "left_semi"), "cards")
+    cards = scratch.keep(cards_of(rows.filter("n > 0"), held), "cards")
 
     def texts_of(wanted: DataFrame, name: str) -> DataFrame:
         wanted = scratch.keep(wanted.distinct().join(classes, "c").select("c", "of.id", "of.h"), f"{name}-wanted")
