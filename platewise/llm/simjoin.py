@@ -164,7 +164,7 @@ def light(docs: DataFrame, id: str, text: str, percent: int) -> DataFrame:
 def buckets(docs: DataFrame, text: str, shingle_sum: int, percent: int, part_bytes: int = 12 << 20) -> DataFrame:
     """(leader, alias, k): classes that agree on a part with a different one, each with the least of those that do, and on how
     many parts. Buckets end in the task that they meet in; a leader and a class have a row per such task."""
-    reducers = parts_for(shingle_sum * 6, part_bytes)  # 11 bytes for about half as many signatures as shingles
+    reducers = parts_for(shingle_sum * 6, part_bytes)  # 10 bytes for about half as many signatures as shingles
     bits = min(20, max(4, (8 * reducers).bit_length()))
 
     def pack(keys: list, names: list) -> pa.RecordBatch:
@@ -176,8 +176,9 @@ def buckets(docs: DataFrame, text: str, shingle_sum: int, percent: int, part_byt
         rows = []
         for a, b in zip(at[:-1], at[1:], strict=True):
             k, c = key[a:b], name[a:b]
+            # 32 bits of a key beside those of r: what these leave open makes a few more classes meet, and none fewer
             rows.append(b"".join(x.tobytes() for x in (
-                k.astype("<u4"), (k >> np.uint64(32)).astype(np.uint8), c.astype("<u4"), (c >> np.uint64(32)).astype("<u2"))))
+                k.astype("<u4"), c.astype("<u4"), (c >> np.uint64(32)).astype("<u2"))))
         return pa.RecordBatch.from_arrays([pa.array(r[at[:-1]], pa.int32()), pa.array(rows, pa.binary())], ["r", "block"])
 
     def send(batches):
@@ -202,10 +203,9 @@ def buckets(docs: DataFrame, text: str, shingle_sum: int, percent: int, part_byt
         for batch in batches:
             for r, block in zip(batch.column("r").to_pylist(), batch.column("block"), strict=True):
                 raw = np.frombuffer(block.as_buffer(), np.uint8)
-                n = len(raw) // 11
-                low, high, c_low, c_high = np.split(raw, [4 * n, 5 * n, 9 * n])
-                keys.append(low.view("<u4").astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-                            | np.uint64(r << 40))
+                n = len(raw) // 10
+                low, c_low, c_high = np.split(raw, [4 * n, 8 * n])
+                keys.append(low.view("<u4").astype(np.uint64) | np.uint64(r << 32))
                 names.append(c_low.view("<u4").astype(np.uint64) | c_high.view("<u2").astype(np.uint64) << np.uint64(32))
         if not keys:
             return
@@ -294,7 +294,9 @@ def stored_texts(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> Data
     plain = plain.withColumn("id", F.xxhash64("row_id", "row_h"))
     keyed = wanted.select("c", F.xxhash64("id", "h").alias("key"), F.col("id").alias("of_id"), F.col("h").alias("of_h"))
     likely = _likely(plain, keyed.select(F.col("key").alias("id"))).withColumnRenamed("id", "key")
-    named = likely.join(keyed, "key").filter(F.col("row_id").eqNullSafe(F.col("of_id")) & (F.col("row_h") == F.col("of_h")))
+    # one condition, of which Spark makes no keys: so the texts, dealt by `key`, are not dealt again for the groups below
+    same, no_id = F.col("row_h") == F.col("of_h"), F.col("row_id").isNull() & F.col("of_id").isNull()
+    named = likely.join(keyed, "key").filter(F.coalesce((F.col("row_id") == F.col("of_id")) & same, no_id & same))
     return named.groupBy("key", "c").agg(F.first("text").alias("text")).drop("key")  # rows may be repeated
 
 
@@ -575,7 +577,8 @@ def labelled(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     members = scratch.keep(dealt(known.join(mixed, "bucket")), "members")
     seen = scratch.keep(open_members(members.join(cards, "c"), percent), "open")
     texts = texts_of(seen.select("c"), "tree")
-    more = scratch.keep(confirmed(members.join(seen, list(_GROUP), "left_semi").join(cards, "c").join(texts, "c"), percent),
+    few = _likely(cards.withColumnRenamed("c", "id"), seen.select(F.col("c").alias("id"))).withColumnRenamed("id", "c")
+    more = scratch.keep(confirmed(members.join(seen, list(_GROUP), "left_semi").join(few, "c").join(texts, "c"), percent),
                         "tree-links")
     roots = merged(roots, more, scratch, "tree")
     final = classes.join(roots, "c", "left").select("c", "id", F.coalesce("root", "c").alias("root"))
@@ -597,11 +600,34 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int =
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
+def in_doubt(keyed: DataFrame, goes: DataFrame, stays: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the rows of `keyed` (with a long `_k`), those whose key is surely none of `goes`, and those whose key may be one of
+    either (both: long `k`). A key of `goes` that is surely none of `stays` needs no further look, nor does its row."""
+    context = keyed.sparkSession.sparkContext
+    held, safe = (context.broadcast(_may_hold(x)) for x in (goes, stays))
+
+    def has(raw: bytes, keys: np.ndarray) -> np.ndarray:
+        marks = np.frombuffer(raw, np.uint8)
+        place = keys % (8 * len(marks))
+        return (marks[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+    def rows(yes: bool):
+        def run(batches):
+            for batch in batches:
+                keys = batch.column("_k").to_numpy()
+                on = has(held.value, keys)
+                yield batch.filter(pa.array(on & has(safe.value, keys) if yes else ~on))
+        return keyed.mapInArrow(run, keyed.schema)
+
+    return rows(False), rows(True)
+
+
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """The rows of `docs`, all columns, of which one per component stays: that with the least id (of several texts under
     that id the least by hash, of repeated rows one). Rows without words all stay."""
     scratch = Scratch(docs.sparkSession, "first")
-    rows = scratch.keep(labelled(docs, id, text, percent).filter("n > 0"), "labels")
+    labels = scratch.keep(labelled(docs, id, text, percent), "labels")
+    rows = labels.filter("n > 0")
     first = scratch.keep(rows.filter(F.col("id").eqNullSafe(F.col("least"))).groupBy("root").agg(
         F.min(F.struct("h", "id")).alias("v")), "first")
     # rows that go, and those of which one stays; all others are let through as they are
@@ -609,22 +635,15 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", percent:
         "id", "h", "rows", (F.col("v.h").eqNullSafe(F.col("h")) & F.col("v.id").eqNullSafe(F.col("id"))).alias("stays"))
     named = scratch.keep(named.filter("not stays or rows > 1").select(
         F.col("id").alias("_of"), F.col("h").alias("_hash"), "stays"), "named")
-    held = docs.sparkSession.sparkContext.broadcast(_may_hold(named.select(F.xxhash64("_of", "_hash").alias("k"))))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(row.alias("_row"), F.col(id).alias("_id"), F.xxhash64(text_of(text)).alias("_h"))
     keyed = keyed.withColumn("_k", F.xxhash64("_id", "_h"))
-
-    def named_rows(yes: bool):
-        def run(batches):
-            marks = np.frombuffer(held.value, np.uint8)
-            for batch in batches:
-                place = batch.column("_k").to_numpy() % (8 * len(marks))
-                on = (marks[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-                yield batch.filter(pa.array(on == yes))
-        return keyed.mapInArrow(run, keyed.schema)
-
-    maybe = named_rows(True).join(named, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_hash")), "left")
+    # whatever does not go: rows of which one stays, all others, and those without words
+    left = labels.join(named.filter("not stays"), F.col("id").eqNullSafe(F.col("_of")) & (F.col("h") == F.col("_hash")),
+                       "left_anti").select(F.xxhash64("id", "h").alias("k"))
+    plain, maybe = in_doubt(keyed, named.select(F.xxhash64("_of", "_hash").alias("k")), scratch.keep(left, "left"))
+    maybe = maybe.join(named, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_hash")), "left")
     one = maybe.filter("stays").withColumn("_n", F.row_number().over(
         Window.partitionBy("_h", "_id").orderBy(F.xxhash64("_row"))))
-    out = named_rows(False).select("_row.*").unionByName(maybe.filter("stays is null").select("_row.*"))
+    out = plain.select("_row.*").unionByName(maybe.filter("stays is null").select("_row.*"))
     return out.unionByName(one.filter("_n = 1").select("_row.*"))

@@ -4,6 +4,7 @@ import collections
 import ctypes
 import gzip
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -223,6 +224,34 @@ def test_redact(spark, docs):
     assert texts[10] == "éclair \U0001f600 [secret] <|endoftext|> tail"
 
 
+def first_of_union(df):
+    """The first branch of the union that a plan ends in, joins as shuffles."""
+    df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    at = next(i for i, line in enumerate(lines) if line.strip(" +-*()0123456789") == "Union")
+    place = lines[at + 1].index(":")
+    return "\n".join(itertools.takewhile(lambda line: line[place] == ":", lines[at + 1:]))
+
+
+def test_single_texts_are_scanned_and_kept_where_they_lie(spark):
+    texts = [f"text {i} of its own" for i in range(300)] + ["copy secret: abcdefgh12"] * 2 + ["x password=abcdefgh1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = df.select(F.sha2("text", 256).alias("blob"), "text")
+    book = secrets.Ledger(spark, secrets.new_ledger(spark))
+    todo = Scratch(spark, "todo").keep(book.todo(rows), "todo")
+    assert secrets.with_hits(rows, todo.filter("rows > 1")).filter("hit").count() < 20
+    found = book.found(rows, todo)
+    assert "Scan" in first_of_union(found) and "Exchange" not in first_of_union(found)
+    assert found.count() == 2  # the copy's secret once
+    out = secrets.redact(df, secrets.new_ledger(spark))
+    assert "Scan" in first_of_union(out) and "Exchange" not in first_of_union(out)
+    want = [*texts[:300], *["copy [secret]"] * 2, "x [secret]"]
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == list(enumerate(want))
+
+
 def pem(body, kind="RSA PRIVATE KEY", end=None):
     return f"-----BEGIN {kind}-----{body}-----END {end or kind}-----"
 
@@ -769,6 +798,27 @@ def test_keep_first(spark, docs, none):
     assert simjoin.keep_first(none).count() == 0
 
 
+def test_rows_that_surely_go_are_not_looked_up(spark):
+    keyed = spark.range(3000).select("id", F.xxhash64("id").alias("_k"))
+    goes = keyed.filter("id % 3 = 0").select(F.col("_k").alias("k"))
+    stays = keyed.filter("id % 3 > 0 or id = 6").select(F.col("_k").alias("k"))  # two rows may share a key
+    plain, maybe = ({r["id"] for r in x.collect()} for x in simjoin.in_doubt(keyed, goes, stays))
+    assert not plain & maybe and not any(i % 3 == 0 for i in plain)
+    assert {i for i in range(3000) if i % 3} | {6} <= plain | maybe
+    assert len(maybe) < 150  # all 1000 that go before
+
+
+def test_fetched_texts_are_dealt_once(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    wanted = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col("doc_id").alias("c"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = simjoin.stored_texts(docs, wanted, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2  # one a side of the join, none for the groups after it
+
+
 def test_filter_of_ids_keeps_all_wanted(spark):
     texts = spark.range(4000).select(F.when(F.col("id") > 0, F.col("id")).alias("id"), F.lit("t").alias("text"))
     wanted = texts.filter("id is null or id % 40 = 0").select("id")
