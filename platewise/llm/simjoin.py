@@ -272,17 +272,21 @@ def _may_hold(keys: DataFrame, most_bits: int = 1 << 27, block: int = 1 << 15) -
     return bytes(out)
 
 
+def _among(raw: bytes, keys: np.ndarray) -> np.ndarray:
+    """For each of `keys` whether it may be among those that the filter `raw` was made of."""
+    marks = np.frombuffer(raw, np.uint8)
+    place = keys % (8 * len(marks))
+    return (marks[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of `texts` whose id may be one of `wanted`, so that few others are shuffled."""
     held = texts.sparkSession.sparkContext.broadcast(_may_hold(wanted.select(F.xxhash64("id").alias("k"))))
     names = texts.columns
 
     def run(batches):
-        marks = np.frombuffer(held.value, np.uint8)
         for batch in batches:
-            place = batch.column("_k").to_numpy() % (8 * len(marks))
-            on = marks[place >> 3] >> (place & 7).astype(np.uint8) & 1
-            yield batch.select(names).filter(pa.array(on.astype(bool)))
+            yield batch.select(names).filter(pa.array(_among(held.value, batch.column("_k").to_numpy())))
 
     return texts.withColumn("_k", F.xxhash64("id")).mapInArrow(run, texts.schema)
 
@@ -606,17 +610,12 @@ def in_doubt(keyed: DataFrame, goes: DataFrame, stays: DataFrame) -> tuple[DataF
     context = keyed.sparkSession.sparkContext
     held, safe = (context.broadcast(_may_hold(x)) for x in (goes, stays))
 
-    def has(raw: bytes, keys: np.ndarray) -> np.ndarray:
-        marks = np.frombuffer(raw, np.uint8)
-        place = keys % (8 * len(marks))
-        return (marks[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-
     def rows(yes: bool):
         def run(batches):
             for batch in batches:
                 keys = batch.column("_k").to_numpy()
-                on = has(held.value, keys)
-                yield batch.filter(pa.array(on & has(safe.value, keys) if yes else ~on))
+                on = _among(held.value, keys)
+                yield batch.filter(pa.array(on & _among(safe.value, keys) if yes else ~on))
         return keyed.mapInArrow(run, keyed.schema)
 
     return rows(False), rows(True)

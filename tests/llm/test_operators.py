@@ -242,12 +242,13 @@ def test_single_texts_are_scanned_and_kept_where_they_lie(spark):
     rows = df.select(F.sha2("text", 256).alias("blob"), "text")
     book = secrets.Ledger(spark, secrets.new_ledger(spark))
     todo = Scratch(spark, "todo").keep(book.todo(rows), "todo")
-    assert secrets.with_hits(rows, todo.filter("rows > 1")).filter("hit").count() < 20
+    assert secrets.dealt(rows, secrets.filter_of(todo.filter("rows > 1")), True).count() < 20
     found = book.found(rows, todo)
     assert "Scan" in first_of_union(found) and "Exchange" not in first_of_union(found)
     assert found.count() == 2  # the copy's secret once
     out = secrets.redact(df, secrets.new_ledger(spark))
     assert "Scan" in first_of_union(out) and "Exchange" not in first_of_union(out)
+    assert "EvalPython" not in first_of_union(out) and first_of_union(found).count("Python") == 0  # one process a task
     want = [*texts[:300], *["copy [secret]"] * 2, "x [secret]"]
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == list(enumerate(want))
 
